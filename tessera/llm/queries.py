@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, langid, packing, pii, simhash
+from tessera.llm import common, decontaminate, html, langid, packing, pii, repair, simhash, topk
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -44,3 +47,23 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs), declared=F.col("lang"), host=F.col("source"))
+
+
+@query
+def op7_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{common.shared_dir(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    repair.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
+    return repair.read(spark.read.parquet(path))
+
+
+@query
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op8_topk"] = topk.SQL
+
+
+@query
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
