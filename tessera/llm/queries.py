@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import common, decontaminate, html, langid, packing, pii, repair, simhash, topk
+from tessera.llm import common, decontaminate, html, langid, packing, pii, repair, simhash, suffixes, topk, windows
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -67,3 +67,13 @@ SQL["op8_topk"] = topk.SQL
 @query
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.near_passages(table(spark, sf_dir, "documents"))[1]
