@@ -1,3 +1,130 @@
 """DuckDB SQL by query name."""
 
-SQL = {}
+from __future__ import annotations
+
+from tessera.plans.registry import COLORS, SHAPES, N
+from tessera.sources.generators import STENCILS
+
+SQL: dict[str, str] = {}
+
+XY = "(SELECT (SELECT sum(l_quantity) FROM lineitem)::DOUBLE AS x, (SELECT count(*) FROM supplier)::DOUBLE AS y)"
+for name, value in {"neg": "-x", "add": "x + y", "sub": "x - y", "mul": "x * y", "div": "x / y", "sqrt": "sqrt(x)", "rsqrt": "1::DOUBLE / sqrt(y)", "div_zero": "'inf'::DOUBLE"}.items():
+    SQL[f"scalar_{name}"] = f"SELECT {value} AS value FROM {XY}"
+for n, value in enumerate(("1::DOUBLE", "x", "x / y", "x * y / (y + 1)", "x * y / ((y + 1) * (x + 3))")):
+    SQL[f"alpha_{n}"] = f"SELECT {value} AS value FROM {XY}"
+
+for name, value in {
+    "fill": "2.5::DOUBLE", "zero_fill": "0::DOUBLE", "copy": "u", "scal": "w * 0.5::DOUBLE", "axpy": "u + 0.5::DOUBLE * w", "axpy_ratio": "u + 0.75::DOUBLE * w",
+    "axpy_ratio3": "u + 1.875::DOUBLE * w", "xpay": "-2::DOUBLE * u + w", "xpay_ratio": "0.125::DOUBLE * u + w",
+}.items():
+    SQL[f"vec_{name}"] = f"SELECT p_partkey AS i, {value} AS v FROM (SELECT p_partkey, p_size::DOUBLE AS u, p_retailprice::DOUBLE AS w FROM part)"
+SQL["vec_dot"] = "SELECT sum(p_size * 2 * p_size)::DOUBLE AS value FROM part"
+SQL["vec_norm2"] = "SELECT sqrt(sum(p_size * p_size)::DOUBLE) AS value FROM part"
+SQL["vec_dot_float"] = "SELECT p_partkey AS i, (0.5 * p_size)::FLOAT AS v FROM part"
+
+A = "(SELECT l_partkey AS row, l_suppkey AS col, sum(l_quantity)::DOUBLE AS entry FROM lineitem GROUP BY ALL)"
+S = "(SELECT s_suppkey AS i, (1 + s_suppkey % 7)::DOUBLE AS v FROM supplier)"
+U = "(SELECT p_partkey AS i, p_size::DOUBLE AS v FROM part)"
+MATVEC = f"SELECT u.i AS i, coalesce(s.v, 0)::DOUBLE AS v FROM {U} u LEFT JOIN (SELECT row, sum(entry * x.v) AS v FROM {A} a JOIN {S} x ON a.col = x.i GROUP BY row) s ON u.i = s.row"
+RMATVEC = f"SELECT u.i AS i, coalesce(s.v, 0)::DOUBLE AS v FROM {S} u LEFT JOIN (SELECT col, sum(entry * x.v) AS v FROM {A} a JOIN {U} x ON a.row = x.i GROUP BY col) s ON u.i = s.col"
+SQL |= {"coo_matvec": MATVEC, "coo_matvec_duplicates": MATVEC, "csr_matvec": MATVEC, "coo_rmatvec": RMATVEC, "csr_rmatvec": RMATVEC}
+SQL["coo_print"] = f"SELECT (row * (SELECT max(s_suppkey) + 1 FROM supplier) + col)::BIGINT AS k, entry, row, col FROM {A}"
+SQL["csr_print"] = f"SELECT (row_number() OVER (ORDER BY row, col) - 1)::BIGINT AS k, entry, row, col FROM {A}"
+SQL["csr_rowptr"] = f"SELECT i AS row, (h - n)::BIGINT AS lo, (h - 1)::BIGINT AS hi FROM (SELECT i, n, sum(n) OVER (ORDER BY i) AS h FROM (SELECT i, count(row) AS n FROM {U} LEFT JOIN {A} ON row = i GROUP BY i))"
+SQL["block_matvec"] = f"SELECT 0::INTEGER AS space, i, v FROM ({MATVEC}) UNION ALL SELECT 1::INTEGER, i, v FROM ({RMATVEC})"
+SQL["multi_space_dot"] = f"SELECT (SELECT sum(2 * v * v) FROM {U}) + (SELECT sum(2 * v * v) FROM {S}) AS value"
+
+ENTRIES = f"(SELECT k, (k + 1) // 3 AS row, k - 2 * ((k + 1) // 3) AS col, CASE WHEN k % 3 = 0 THEN 2.0 ELSE -1.0 END::DOUBLE AS entry FROM (SELECT range AS k FROM range({3 * N - 2})))"
+PART = f"(SELECT (range * {COLORS} // {N})::INTEGER AS color, range AS i FROM range({N}))"
+SQL["laplacian_1d_coo"] = SQL["laplacian_1d_csr"] = f"SELECT * FROM {ENTRIES}"
+ROWPTR = f"SELECT range AS row, greatest(3 * range - 1, 0)::BIGINT AS lo, least(3 * range + 1, {3 * N - 3})::BIGINT AS hi FROM range({N})"
+SQL["laplacian_1d_rowptr"] = ROWPTR
+SQL["part_equal"] = f"SELECT * FROM {PART}"
+_step = lambda part, key, to: f"(SELECT DISTINCT color, {to} AS i FROM {ENTRIES} e JOIN {part} p ON e.{key} = p.i)"
+_kr, _kd = _step(PART, "row", "k"), _step(PART, "col", "k")
+_dr, _rd = _step(_kr, "k", "col"), _step(_kd, "k", "row")
+for of in ("coo", "csr"):
+    for name, q in {"k_from_r": _kr, "k_from_d": _kd, "d_from_k": _dr, "r_from_k": _rd, "d_from_r": _dr, "r_from_d": _rd}.items():
+        SQL[f"{of}_{name}"] = f"SELECT * FROM {q}"
+SQL["part_overlaps"] = f"SELECT i FROM {_dr} GROUP BY i HAVING count(*) > 1"
+SQL["part_missing"] = f"SELECT i FROM {PART} WHERE color = 3"
+SQL["csr_local_pointers"] = f"SELECT color, row, lo - min(lo) OVER (PARTITION BY color) AS begin FROM ({ROWPTR}) JOIN {PART} ON row = i"
+
+
+def stencil(name: str, shape: tuple[int, ...], column: bool = False) -> str:
+    """Entries in order of row, then of offset, by a join of all points with the offsets."""
+    dims = range(len(shape))
+    major = list(reversed(dims)) if column else list(dims)
+    step = {}
+    s = 1
+    for d in reversed(major):
+        step[d], s = s, s * shape[d]
+    values = ", ".join(f"({', '.join(map(str, o))}, {v!r}::DOUBLE)" for o, v in STENCILS[name])
+    offsets = f"(VALUES {values}) o({', '.join(f'o{d}' for d in dims)}, entry)"
+    points = ", ".join(f"range({n}) r{d}(c{d})" for d, n in enumerate(shape))
+    row = " + ".join(f"c{d} * {step[d]}" for d in dims)
+    col = " + ".join(f"(c{d} + o{d}) * {step[d]}" for d in dims)
+    inside = " AND ".join(f"c{d} + o{d} BETWEEN 0 AND {n - 1}" for d, n in enumerate(shape))
+    order = ", ".join(f"o{d}" for d in major)
+    return f"SELECT (row_number() OVER (ORDER BY {row}, {order}, entry) - 1)::BIGINT AS k, ({row})::BIGINT AS row, ({col})::BIGINT AS col, entry FROM {points}, {offsets} WHERE {inside}"
+
+
+for name, shape in SHAPES.items():
+    SQL[f"stencil_{name}_row_major"] = stencil(name, shape)
+    SQL[f"stencil_{name}_column_major"] = stencil(name, shape, True)
+    SQL[f"stencil_{name}_rowptr"] = f"SELECT row, min(k) AS lo, max(k) AS hi FROM ({stencil(name, shape)}) GROUP BY row"
+SQL["stencil_size"] = " UNION ALL ".join(f"SELECT '{n}' AS stencil, count(*) AS nnz FROM ({stencil(n, s)})" for n, s in SHAPES.items())
+
+
+def cg(a: str, b: str, steps: int, out: str = "rr") -> str:
+    """A chain of tables, one set per iteration. a: (row, col, entry); b: (i, v)."""
+    t = [f"a AS MATERIALIZED ({a})", f"b AS MATERIALIZED ({b})", "s0 AS MATERIALIZED (SELECT i, v AS r, v AS p FROM b)", "h0 AS MATERIALIZED (SELECT sum(r * r) AS rr FROM s0)"]
+    for k in range(steps):
+        t += [
+            f"q{k} AS MATERIALIZED (SELECT row AS i, sum(entry * p) AS q FROM a JOIN s{k} ON col = i GROUP BY row)",
+            f"f{k} AS MATERIALIZED (SELECT s.i, p, q, r FROM s{k} s JOIN q{k} ON s.i = q{k}.i)",
+            f"l{k} AS MATERIALIZED (SELECT (SELECT rr FROM h{k}) / sum(p * q) AS x FROM f{k})",
+            f"g{k} AS MATERIALIZED (SELECT i, p, r - x * q AS r FROM f{k}, l{k})",
+            f"h{k + 1} AS MATERIALIZED (SELECT sum(r * r) AS rr FROM g{k})",
+            f"s{k + 1} AS MATERIALIZED (SELECT i, r, r + (SELECT rr FROM h{k + 1}) / (SELECT rr FROM h{k}) * p AS p FROM g{k})",
+        ]
+    rows = " UNION ALL ".join(f"SELECT {k}::INTEGER AS it, rr FROM h{k}" for k in range(steps + 1))
+    return f"WITH {', '.join(t)} SELECT it, {out} AS rr FROM ({rows})"
+
+
+def ones(n: int) -> str:
+    return f"SELECT range AS i, 1::DOUBLE AS v FROM range({n})"
+
+
+LAPLACE = "SELECT (k + 1) // 3 AS row, k - 2 * ((k + 1) // 3) AS col, CASE WHEN k % 3 = 0 THEN 2.0 ELSE -1.0 END::DOUBLE AS entry FROM (SELECT range AS k FROM range(298))"
+SQL["cg_laplacian_1d"] = SQL["cg_laplacian_1d_csr"] = cg(LAPLACE, ones(100), 10)
+SQL["double_cg_laplacian_1d"] = cg(LAPLACE, ones(100), 10, "round(rr, 6)")
+SQL["cg_stencil_2d"] = cg(stencil("2d5", (16, 16)), ones(256), 5, "round(rr, 4)")
+SQL["cg_two_copies_3d27"] = cg(stencil("3d27", (8, 8, 8)), ones(512), 4, "round(2 * rr, 4)")
+PAIRS = "(SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem)"
+W = f"(SELECT a.s AS s, b.s AS t, count(*)::DOUBLE AS w FROM {PAIRS} a JOIN {PAIRS} b ON a.p = b.p AND a.s <> b.s GROUP BY ALL)"
+GRAPH = f"SELECT s AS row, t AS col, -w AS entry FROM {W} UNION ALL SELECT s_suppkey, s_suppkey, 1 + coalesce(w, 0) FROM supplier LEFT JOIN (SELECT s, sum(w) AS w FROM {W} GROUP BY s) ON s = s_suppkey"
+SQL["cg_supplier_graph"] = cg(GRAPH, f"SELECT * FROM {S}", 3, "round(rr / (SELECT rr FROM h0), 4)")
+
+
+def bicgstab(a: str, b: str, steps: int, out: str) -> str:
+    product = lambda name, of, x: f"{name} AS MATERIALIZED (SELECT row AS i, sum(entry * {x}) AS y FROM a JOIN {of} ON col = i GROUP BY row)"
+    t = [f"a AS MATERIALIZED ({a})", f"b AS MATERIALIZED ({b})", "s0 AS MATERIALIZED (SELECT i, v AS z, v AS r, 0::DOUBLE AS p, 0::DOUBLE AS v FROM b)", "c0 AS MATERIALIZED (SELECT 1::DOUBLE AS rho, 0::DOUBLE AS al, 1::DOUBLE AS om)", "h0 AS MATERIALIZED (SELECT sum(z * r) AS zr, sum(r * r) AS rr FROM s0)"]
+    for k in range(steps):
+        t += [
+            f"p{k} AS MATERIALIZED (SELECT i, z, r, ((SELECT zr FROM h{k}) / rho) * (al / om) * (p - om * v) + r AS p FROM s{k}, c{k})",
+            product(f"v{k}", f"p{k}", "p"),
+            f"w{k} AS MATERIALIZED (SELECT x.i, z, r, p, y AS v FROM p{k} x JOIN v{k} y ON x.i = y.i)",
+            f"l{k} AS MATERIALIZED (SELECT (SELECT zr FROM h{k}) / sum(z * v) AS al FROM w{k})",
+            f"x{k} AS MATERIALIZED (SELECT i, z, p, v, r - al * v AS s FROM w{k}, l{k})",
+            product(f"u{k}", f"x{k}", "s"),
+            f"y{k} AS MATERIALIZED (SELECT x.i, z, p, v, s, y AS u FROM x{k} x JOIN u{k} y ON x.i = y.i)",
+            f"c{k + 1} AS MATERIALIZED (SELECT (SELECT zr FROM h{k}) AS rho, (SELECT al FROM l{k}) AS al, sum(s * u) / sum(u * u) AS om FROM y{k})",
+            f"s{k + 1} AS MATERIALIZED (SELECT i, z, s - om * u AS r, p, v FROM y{k}, c{k + 1})",
+            f"h{k + 1} AS MATERIALIZED (SELECT sum(z * r) AS zr, sum(r * r) AS rr FROM s{k + 1})",
+        ]
+    rows = " UNION ALL ".join(f"SELECT {k}::INTEGER AS it, rr FROM h{k}" for k in range(steps + 1))
+    return f"WITH {', '.join(t)} SELECT it, {out} AS rr FROM ({rows})"
+
+
+SQL["bicgstab_stencil_2d"] = bicgstab(stencil("2d5", (16, 16)), ones(256), 4, "round(rr, 4)")
