@@ -10,10 +10,12 @@ No symbol spans two documents, so one document is decoded from its own symbols a
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,18 +28,21 @@ from tessera.llm import common
 END = 2
 MAGIC = b"RPG1"
 HASH_BITS = 20
+SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class Encoder:
     """Ids of whole texts, by way of a table of the chunks between ASCII white space, which the tokenizer's own splitting never crosses.
 
-    The table holds at most `most` chunks and starts anew beyond that."""
+    A chunk of Latin letters and then ASCII signs is put together from these two parts, which the tokenizer splits and
+    lower-cases the same way; so variants of a word are tokenized once. Both tables hold about `most` entries and start anew beyond that."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok, self.most = Tokenizer.from_file(path), most
+        self.parts: dict[str, list[int]] = {"": []}
         self.reset()
 
     def reset(self) -> None:
@@ -45,8 +50,14 @@ class Encoder:
         self.ids, self.start, self.size = array("i", [END]), array("q", [0]), array("i", [1])
 
     def learn(self, chunks: list[bytes]) -> None:
-        for c, e in zip(chunks, self.tok.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False), strict=True):
-            ids = e.ids
+        if len(self.parts) > self.most:
+            self.parts = {"": []}
+        split = [(m[1].lower(), m[2]) if (m := SIMPLE.fullmatch(t)) else (t, "") for t in (c.decode() for c in chunks)]
+        new = list({x for pair in split for x in pair}.difference(self.parts))
+        for x, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.parts[x] = e.ids
+        for c, (a, b) in zip(chunks, split, strict=True):
+            ids = self.parts[a] + self.parts[b]
             self.at[c] = len(self.start)
             self.start.append(len(self.ids))
             self.size.append(len(ids))
@@ -73,7 +84,13 @@ class Encoder:
         return out.astype(np.uint32), np.diff(upto[np.array(ends, np.int64) - 1], prepend=0)
 
 
-def compress(ids: np.ndarray, levels: int = 6, most: int = 4096, least: int = 8) -> tuple[np.ndarray, list[np.ndarray], int]:
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a Python worker."""
+    return Encoder(path)
+
+
+def compress(ids: np.ndarray, levels: int = 3, most: int = 4096, least: int = 8) -> tuple[np.ndarray, list[np.ndarray], int]:
     """(symbols, per level the rules' pairs, the first rule's symbol).
 
     At each level the pairs that occur most, at most `most` of them and each at least `least` times, get a nonterminal
@@ -141,7 +158,7 @@ def _lengths(rules: list[np.ndarray], first: int) -> np.ndarray:
     return size
 
 
-def to_blob(ids: np.ndarray, tokens: np.ndarray, levels: int = 6) -> bytes:
+def to_blob(ids: np.ndarray, tokens: np.ndarray, levels: int = 3) -> bytes:
     """A shard of documents with so many tokens each."""
     seq, rules, first = compress(ids, levels)
     size = _lengths(rules, first)
@@ -190,7 +207,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", te
     empty table gives an empty one. Each part is written by Spark's committer, so a lost task is just run again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seq = Encoder(tokenizer), 0
+        own_encoder, seq = encoder(tokenizer), 0
         ids, tokens, parts, total = [], [], [], 0
 
         def shard() -> pa.RecordBatch:
@@ -203,7 +220,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", te
                 text.append(t)
                 size += len(t)
                 if size >= 1_000_000 or i == b.num_rows - 1:
-                    x, n = encoder.encode(text)
+                    x, n = own_encoder.encode(text)
                     parts.append(x)
                     tokens.append(n)
                     ids += own[i + 1 - len(text) : i + 1]
