@@ -123,3 +123,9 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     for i in range(n):
         out = out * np.uint64(0x9E3779B97F4A7C15) + x[i : i + m]
     return mix(out)
+
+
+def row_hashes(x: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of unsigned integers of up to 32 bits."""
+    weight = np.random.default_rng(5).integers(0, 1 << 63, x.shape[1], np.uint64) | np.uint64(1)
+    return mix((mix(x.astype(np.uint64) + np.arange(x.shape[1], dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)) * weight).sum(axis=1, dtype=np.uint64))

@@ -19,7 +19,7 @@ from tessera.llm import common
 
 K = 10
 #: Suffixes of one hash that a task compares by itself; the passages of a larger run are aggregated by Spark.
-RUN = 200_000
+RUN = 60_000
 
 
 def minimisers(values: np.ndarray, valid: np.ndarray, window: int) -> np.ndarray:
@@ -75,12 +75,25 @@ def _suffixes(length: int):
                 for i in range(0, len(at), 20_000):
                     p = at[i : i + 20_000]
                     ctx = (h.view(np.uint64) >> np.uint64(48)).astype(np.uint16)[np.clip(p[:, None] + np.arange(-left, right), 0, len(h) - 1)]
+                    p, last, ctx = _chains(p, g[p], doc[p], ctx, (p - begin[doc[p]] >= left) & (room[p] >= right), length)
                     d = doc[p]
-                    yield pa.RecordBatch.from_arrays([pa.array(g[p].view(np.int64)), pa.array(np.array(own, np.int64)[d]), pa.array((p - begin[d]).astype(np.int32)), pa.array(size[d].astype(np.int32)), binary(ctx)], ["key", "doc_id", "pos", "n", "ctx"])
+                    yield pa.RecordBatch.from_arrays([pa.array(g[p].view(np.int64)), pa.array(np.array(own, np.int64)[d]), *(pa.array(x.astype(np.int32)) for x in (p - begin[d], last - begin[d], size[d])), binary(ctx)], ["key", "doc_id", "pos", "last", "n", "ctx"])
 
     return run
 
 
+def _chains(p: np.ndarray, key: np.ndarray, doc: np.ndarray, ctx: np.ndarray, whole: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first position, last position, words around) of chains: positions of one document whose suffixes and contexts are
+    equal, each at most `length` after the one before. Their passages are the same and join, so periodic text makes one row."""
+    seen = common.mix(common.row_hashes(ctx) ^ key)
+    order = np.lexsort((p, seen, doc))
+    p, seen, doc, whole = p[order], seen[order], doc[order], whole[order]
+    new = np.ones(len(p), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (seen[1:] != seen[:-1]) | (np.diff(p) > length) | ~whole[1:] | ~whole[:-1]
+    first = np.flatnonzero(new)
+    return p[first], p[np.append(first[1:], len(p)) - 1] if len(p) else p, ctx[order[first]]
+
+
 def _passages(key: np.ndarray, pos: np.ndarray, n: np.ndarray, ctx: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, words before the position, hash) of every passage around the rows' positions."""
     rng = np.random.default_rng(5)
@@ -95,28 +108,28 @@ def _passages(key: np.ndarray, pos: np.ndarray, n: np.ndarray, ctx: np.ndarray,
     return row, at, h[row, at]
 
 
-def _spans(doc: np.ndarray, start: np.ndarray, source: np.ndarray, length: int) -> pa.RecordBatch:
+def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray, source: np.ndarray) -> pa.RecordBatch:
     """Passages, joined where they follow on each other."""
     earlier = (source < doc).astype(np.int64)
     order = np.lexsort((start, earlier, doc))
-    doc, start, source, earlier = doc[order], start[order], source[order], earlier[order]
+    doc, start, end, source, earlier = (x[order] for x in (doc, start, end, source, earlier))
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (earlier[1:] != earlier[:-1]) | (start[1:] > start[:-1] + 1)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(doc)) - 1
     low = np.minimum.reduceat(source, first) if len(doc) else source
-    return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(start[first].astype(np.int64)), pa.array(start[last].astype(np.int64) + length), pa.array(low), pa.nulls(len(first), pa.int64())], ["doc_id", "start", "end", "source", "hash"])
+    high = np.maximum.reduceat(end, first) if len(doc) else end
+    return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(start[first].astype(np.int64)), pa.array(high.astype(np.int64)), pa.array(low), pa.nulls(len(first), pa.int64())], ["doc_id", "start", "end", "source", "hash"])
 
 
 def _neighbours(length: int, most: int):
     """Suffixes in order of key to spans (doc_id, start, end, source, null); of runs over `most`, all passages with their hash."""
 
-    def resolved(key, doc, pos, n, ctx) -> pa.RecordBatch | None:
+    def resolved(key, doc, pos, last, n, ctx) -> pa.RecordBatch | None:
         same = np.zeros(len(key), bool)
         eq = key[1:] == key[:-1]
         same[1:] |= eq
         same[:-1] |= eq
-        key, doc, pos, n, ctx = (x[same] for x in (key, doc, pos, n, ctx))
+        key, doc, pos, last, n, ctx = (x[same] for x in (key, doc, pos, last, n, ctx))
         if not len(key):
             return None
         row, o, h = _passages(key, pos, n, ctx, length)
@@ -128,14 +141,15 @@ def _neighbours(length: int, most: int):
         low, high = np.minimum.reduceat(doc[row], first), np.maximum.reduceat(doc[row], first)
         size = np.diff(np.append(first, len(h)))
         hit = np.repeat(low < high, size)
-        return _spans(doc[row[hit]], (pos[row] - o)[hit], np.repeat(low, size)[hit], length)
+        row, o = row[hit], o[hit]
+        return _spans(doc[row], pos[row] - o, last[row] - o + length, np.repeat(low, size)[hit])
 
-    def raw(key, doc, pos, n, ctx) -> Iterator[pa.RecordBatch]:
+    def raw(key, doc, pos, last, n, ctx) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(key), 10_000):
             s = slice(i, i + 10_000)
             row, o, h = _passages(key[s], pos[s], n[s], ctx[s], length)
-            start = (pos[s][row] - o).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[s][row]), pa.array(start), pa.array(start + length), pa.nulls(len(row), pa.int64()), pa.array(h.view(np.int64))], ["doc_id", "start", "end", "source", "hash"])
+            start, end = ((x[s][row] - o).astype(np.int64) for x in (pos, last + length))
+            yield pa.RecordBatch.from_arrays([pa.array(doc[s][row]), pa.array(start), pa.array(end), pa.nulls(len(row), pa.int64()), pa.array(h.view(np.int64))], ["doc_id", "start", "end", "source", "hash"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -149,7 +163,7 @@ def _neighbours(length: int, most: int):
                 continue
             ctx = b.column("ctx").cast(pa.binary())
             data = np.frombuffer(ctx.buffers()[2], np.uint8)[ctx.offset * 2 * (2 * length - K) :][: b.num_rows * 2 * (2 * length - K)]
-            own = (*(b.column(c).to_numpy() for c in ("key", "doc_id", "pos", "n")), data.view(np.uint16).reshape(b.num_rows, -1))
+            own = (*(b.column(c).to_numpy() for c in ("key", "doc_id", "pos", "last", "n")), data.view(np.uint16).reshape(b.num_rows, -1))
             if over is not None:
                 cut = int(np.searchsorted(own[0], over, "right"))
                 yield from raw(*(x[:cut] for x in own))
@@ -223,7 +237,7 @@ def repeated_passages(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
     Documents send one row per 21 words or so. A task compares runs of at most `run` suffixes of one hash; the passages
     of longer runs are counted by a grouped aggregation, so a passage that a third of all documents share fits too."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    kept = rows.mapInArrow(_suffixes(length), "key long, doc_id long, pos int, n int, ctx binary")
+    kept = rows.mapInArrow(_suffixes(length), "key long, doc_id long, pos int, last int, n int, ctx binary")
     found = kept.repartition("key").sortWithinPartitions("key").mapInArrow(_neighbours(length, run), "doc_id long, start long, end long, source long, hash long")
     found = common.stash(found).df
     spans = found.where("hash is null").drop("hash")
