@@ -3,8 +3,14 @@
 For each of several hash functions, a document's five-word shingles form a Cartesian tree by hash. A node of it, at c,
 whose subtree spans [l, r] says that c is the min-hash of every subsequence that begins in [l, c] and ends in [c, r];
 nodes of at least `width` shingles stand for all subsequences that long. They are found as the minima of sliding windows,
-their spans by doubling range minima, which gives the same tree without a loop over words. Nodes that share a min-hash
-are joined; pairs whose spans overlap under enough functions are verified on the passages themselves."""
+their spans by doubling range minima, which gives the same tree without a loop over words.
+
+1. Nodes are grouped by min-hash; those of one document alone go, and so do copies of a whole document, but one.
+2. In each document the intervals of nodes of two functions are joined: where both cover one passage, the pair of
+   min-hashes is a signature that all passages there share.
+3. Signatures are grouped. Equal surroundings link at once, each document to the smallest of them.
+4. Where documents not yet connected share a signature, the passages around it are compared and verified. Within a
+   signature a spanning forest is built: each passage reached is compared with all those not yet reached, so none is left out."""
 
 from __future__ import annotations
 
@@ -17,8 +23,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common, suffixes
 
-SHINGLE, WORDS, FUNCTIONS, ENOUGH, SIMILARITY = 5, 50, 4, 2, 0.8
-
+SHINGLE, WORDS, FUNCTIONS, SIMILARITY = 5, 50, 4, 0.8
+#: Passages of one signature that a task compares by itself; a larger group is dealt out in pairs of blocks.
+BLOCK = 4096
+ODD = np.uint64(0x9E3779B97F4A7C15)
 
 def spans(v: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How far each position of `at` is the smallest (leftmost if equal), within [low, high): the spans of its Cartesian tree node, inclusive."""
@@ -39,7 +47,16 @@ def spans(v: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> t
     return l, r
 
 
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
 def _nodes(width: int, functions: int):
+    """Documents to nodes: key, doc_id, whole (hash of all shingles), around (hash of those within width - 1), c, and shape: function, c - l, r - c, up to 255, and if it's the first."""
+    inverse = np.uint64(pow(int(ODD), -1, 1 << 64))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = common.Words()
         for b in batches:
@@ -51,86 +68,178 @@ def _nodes(width: int, functions: int):
                 doc = np.repeat(np.arange(len(own)), size)[: len(g)]
                 low, high = begin[:-1][doc], np.maximum(begin[1:][doc] - SHINGLE + 1, begin[:-1][doc])
                 valid = (np.arange(len(g)) < high) & (high - low >= width)
+                sums = np.zeros(len(g) + 1, np.uint64)
+                np.cumsum(g * _powers(ODD, len(g)), out=sums[1:])
+                back = _powers(inverse, len(g) + 1)
+                told = lambda a, e: common.mix((sums[e] - sums[a]) * back[a] + (e - a).astype(np.uint64))  # noqa: B023,E731
+                found = []
                 for f in range(functions):
                     v = common.mix(g + np.uint64((f + 1) * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF))
                     at = suffixes.minimisers(v, valid, width)
                     l, r = spans(v, at, low[at], high[at])
                     ok = r - l + 1 >= width
                     at, l, r = at[ok], l[ok], r[ok]
-                    d, base = doc[at], low[at]
-                    yield pa.RecordBatch.from_arrays([pa.array(v[at].view(np.int64)), pa.array(np.array(own, np.int64)[d]), pa.array(np.full(len(at), f, np.int32)), *(pa.array((x - base).astype(np.int32)) for x in (l, at, r))], ["key", "doc_id", "f", "l", "c", "r"])
+                    found.append((v[at], at, f | np.minimum(at - l, 255) << 8 | np.minimum(r - at, 255) << 16))
+                key, at, shape = (np.concatenate(x) for x in zip(*found, strict=True))
+                if not len(at):
+                    continue
+                lo, hi = low[at], high[at]
+                first = np.unique(doc[at], return_index=True)[1]
+                shape[first] |= 1 << 24
+                around = told(np.maximum(lo, at - width + 1), np.minimum(hi, at + width))
+                around ^= common.mix((at - np.maximum(lo, at - width + 1)).astype(np.uint64))
+                whole = told(lo, hi)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (key, whole, around)), pa.array(np.array(own, np.int64)[doc[at]]), pa.array((at - lo).astype(np.int32)), pa.array(shape.astype(np.int32))], ["key", "whole", "around", "doc_id", "c", "shape"])
 
     return run
 
 
-def _candidates(width: int):
-    """Nodes in order of key and document to pairs: each node with the first and with the one before of its key, if a passage of the width fits both."""
-    names = ["doc_id", "f", "l", "c", "r"]
+def _runs(batches: Iterator[pa.RecordBatch], keep: int) -> Iterator[tuple[list[np.ndarray], np.ndarray, int]]:
+    """(columns, begins of runs of the first column, rows in front that were seen before). A run goes on into the next
+    batch: its first row and its last `keep` rows are shown there again."""
+    held: list[np.ndarray] | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        x = [b.column(i).to_numpy() for i in range(b.num_columns)]
+        seen = 0
+        if held is not None:
+            seen = len(held[0])
+            x = [np.concatenate([h, c]) for h, c in zip(held, x, strict=True)]
+        new = np.r_[True, x[0][1:] != x[0][:-1]]
+        yield x, np.flatnonzero(new), seen
+        at = int(np.flatnonzero(new)[-1])
+        rows = np.unique(np.r_[at, np.arange(max(at, len(new) - keep), len(new))])
+        held = [c[rows] for c in x]
 
-    def pairs(x: list[np.ndarray], y: list[np.ndarray]) -> list[np.ndarray]:
-        span = np.minimum(x[3] - x[2], y[3] - y[2]) + np.minimum(x[4] - x[3], y[4] - y[3]) + 1
-        ok = (x[0] != y[0]) & (span >= width * SIMILARITY)
-        swap = x[0] > y[0]
-        a, b, ca, cb = np.where(swap, y[0], x[0]), np.where(swap, x[0], y[0]), np.where(swap, y[3], x[3]), np.where(swap, x[3], y[3])
-        return [z[ok] for z in (a, b, x[1], np.minimum(span, 1 << 20), ca, cb)]
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes in order of key, whole, c and document to those whose key several texts have, one document of each text; and rows (doc_id, copy_of)."""
+    wait: list[np.ndarray] | None = None  # the nodes of a key's first text, until there is a second
+    for x, begin, seen in _runs(batches, 1):
+        key, whole, c, doc, around, shape = x
+        i = np.arange(len(key))
+        run = np.searchsorted(begin, i, "right") - 1
+        same = np.r_[False, (key[1:] == key[:-1]) & (whole[1:] == whole[:-1])]
+        lead = np.maximum.accumulate(np.where(~(same & np.r_[False, c[1:] == c[:-1]]), i, 0))
+        fresh = i >= seen
+        copy = fresh & (lead < i) & (doc != doc[lead])
+        text = np.maximum.accumulate(np.where(~same, i, 0))
+        mixed = np.zeros(len(begin), bool)
+        np.logical_or.at(mixed, run, text != begin[run])
+        nodes = fresh & (lead == i)
+        out = nodes & mixed[run]
+        parts = [[k[out] for k in (doc, key, c, shape, around)]]
+        if wait is not None and len(wait[0]):
+            if key[0] != wait[1][0]:
+                wait = None
+            elif mixed[0]:
+                parts.append(wait)
+                wait = None
+        if not mixed[-1]:
+            tail = nodes & (run == len(begin) - 1)
+            more = [k[tail] for k in (doc, key, c, shape, around)]
+            wait = [np.concatenate(y) for y in zip(wait, more, strict=True)] if wait is not None and len(begin) == 1 else more
+        else:
+            wait = None
+        doc_id, k, at, sh, ar = (np.concatenate(y) for y in zip(*parts, strict=True))
+        n = int((copy & (shape >> 24 == 1)).sum())
+        told = copy & (shape >> 24 == 1)
+        null = pa.nulls(n, pa.int64())
+        cat = lambda a, b: pa.concat_arrays([pa.array(a), b])
+        yield pa.RecordBatch.from_arrays([
+            cat(doc_id, pa.array(doc[told])), cat(k, null), cat(at, pa.nulls(n, pa.int32())), cat(sh, pa.nulls(n, pa.int32())), cat(ar, null), pa.concat_arrays([pa.nulls(len(doc_id), pa.int64()), pa.array(doc[lead[told]])]),
+        ], ["doc_id", "key", "c", "shape", "around", "copy_of"])
+
+
+def _signatures(width: int):
+    """Nodes in order of document and c to (key, around, doc_id, c) for each two of different functions that cover one passage."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None  # the last key's first node and its last
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key = b.column("key").to_numpy()
-            x = [b.column(c).to_numpy() for c in names]
-            if held is not None:
-                key, x = np.concatenate([held[0], key]), [np.concatenate([h, c]) for h, c in zip(held[1:], x, strict=True)]
-            new = np.r_[True, key[1:] != key[:-1]]
-            first = np.flatnonzero(new)[np.cumsum(new) - 1]
-            begin = 2 if held is not None else 0  # these were paired before
-            i = np.arange(len(key))
-            with_first = i[(i > first) & (i >= begin)]
-            with_last = i[(i > first + 1) & (i >= begin)]
-            out = [pairs([c[j] for c in x], [c[k] for c in x]) for j, k in ((with_first, first[with_first]), (with_last, with_last - 1))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "f", "span", "ca", "cb"])
-            keep = np.array([first[-1], len(key) - 1])
-            held = [key[keep], *(c[keep] for c in x)]
+        for x, _, seen in _runs(batches, 8 * width):
+            doc, c, key, shape, around = x
+            f, l, r = shape & 0xFF, shape >> 8 & 0xFF, shape >> 16 & 0xFF
+            found = []
+            for lag in range(1, len(doc)):
+                i = np.arange(max(0, seen - lag), len(doc) - lag)
+                j = i + lag
+                near = (doc[i] == doc[j]) & (c[j] - c[i] < width)
+                if not near.any():
+                    break
+                i, j = i[near], j[near]
+                span = np.minimum(r[i], r[j] + c[j] - c[i]) + np.minimum(l[j] - c[j] + c[i], l[i]) + 1
+                ok = (f[i] != f[j]) & (span >= width) & (j >= seen)
+                i, j = i[ok], j[ok]
+                swap = f[i] > f[j]
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                found.append((common.mix(key[i].view(np.uint64) * ODD + key[j].view(np.uint64)).view(np.int64), around[i], doc[i], c[i]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(y)) for y in zip(*found, strict=True)], ["key", "around", "doc_id", "c"])
 
     return run
 
 
+def _equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Signatures in order of key, surroundings and document to links (a, b, null, null) of equal surroundings and, where
+    a key has several surroundings, one passage (document, null, key, c) of each."""
+    wait: tuple | None = None  # a key's first passage, until there is a second
+    for (key, around, doc, c), begin, seen in _runs(batches, 1):
+        i = np.arange(len(key))
+        run = np.searchsorted(begin, i, "right") - 1
+        lead = np.maximum.accumulate(np.where(np.r_[True, (key[1:] != key[:-1]) | (around[1:] != around[:-1])], i, 0))
+        fresh = i >= seen
+        # The rows shown again are the key's first and its last, and the last may not be the first of its surroundings: links then chain.
+        link = fresh & (doc != doc[lead])
+        pairs = np.unique(np.stack([doc[lead[link]], doc[link]], 1), axis=0)
+        mixed = np.zeros(len(begin), bool)
+        np.logical_or.at(mixed, run, lead != begin[run])
+        ask = fresh & (lead == i) & mixed[run]
+        asked = [(doc[ask], key[ask], c[ask])]
+        if wait is not None and key[0] == wait[1][0] and mixed[0]:
+            asked.append(wait)
+            wait = None
+        if wait is not None and (len(begin) > 1 or key[0] != wait[1][0]):
+            wait = None
+        if not mixed[-1] and begin[-1] >= seen:
+            wait = tuple(y[begin[-1] : begin[-1] + 1] for y in (doc, key, c))
+        d, k, at = (np.concatenate(y) for y in zip(*asked, strict=True))
+        n = len(pairs)
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(pairs[:, 0]), pa.array(d)]), pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(d), pa.int64())]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(k)]), pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(at)])], ["a", "b", "key", "c"])
+
+
 def _excerpts(width: int):
-    """Documents with what is asked of them, to the shingles within width - 1 of each place asked for."""
+    """Documents with what is asked of them to the shingles within width - 1 of each place; missing ones are 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = common.Words()
         for b in batches:
             at = 0
-            asked = b.column("asked").to_pylist()
+            asked = b.column("asked")
             for own, h, begin in suffixes.word_groups(b, words):
-                g = (common.grams(h, SHINGLE) >> np.uint64(32)).astype(np.uint32)
-                out: list[tuple] = []
-                for i in range(len(own)):
-                    low, high = int(begin[i]), max(int(begin[i]), int(begin[i + 1]) - SHINGLE + 1)
-                    for x in asked[at + i]:
-                        c = low + x["c"]
-                        if c < high:
-                            p = max(low, c - width + 1)
-                            out.append((x["a"], x["b"], x["f"], x["side"], c - p, g[p : min(high, c + width)].tobytes()))
+                g = (common.grams(h, SHINGLE) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+                part = asked.slice(at, len(own))
                 at += len(own)
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["a", "b", "f", "side", "at", "g"])
+                flat = part.flatten()
+                key, c = flat.field("key").to_numpy(zero_copy_only=False), flat.field("c").to_numpy(zero_copy_only=False).astype(np.int64)
+                d = np.repeat(np.arange(len(own)), np.diff(part.offsets.to_numpy()))
+                for i in range(0, len(c), 10_000):
+                    k, e = c[i : i + 10_000] + begin[:-1][d[i : i + 10_000]], d[i : i + 10_000]
+                    where = k[:, None] + np.arange(1 - width, width)
+                    inside = (where >= begin[:-1][e][:, None]) & (where <= begin[1:][e][:, None] - SHINGLE)
+                    rows = np.where(inside, g[np.clip(where, 0, max(0, len(g) - 1))] if len(g) else np.uint32(0), np.uint32(0))
+                    yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 10_000]), pa.array(np.array(own, np.int64)[e]), suffixes.binary(rows)], ["key", "doc_id", "g"])
 
     return run
 
 
-def similar(x: np.ndarray, at_x: int, y: np.ndarray, at_y: int, width: int, least: float) -> float:
-    """The highest Jaccard similarity of two aligned passages of `width` shingles that hold the common one."""
+def similar(x: np.ndarray, y: np.ndarray, width: int, least: float, first: int = 0) -> float:
+    """The Jaccard similarity, if `least` or more, of two passages of `width` shingles that hold the middle one at one
+    place; the highest if there is no such pair. x and y are shingles around it, 0 where there are none; `first` is the place tried first."""
     best = 0.0
-    before = min(at_x, at_y, width - 1)
-    for o in range(before, -1, -1):
-        p, q = x[at_x - o : at_x - o + width], y[at_y - o : at_y - o + width]
-        if len(p) < width or len(q) < width:
+    for o in (first, *range(width)):
+        p, q = set(x[o : o + width].tolist()), set(y[o : o + width].tolist())
+        if 0 in p or 0 in q:
             continue
-        p, q = set(p.tolist()), set(q.tolist())
         n = len(p & q)
         best = max(best, n / (len(p) + len(q) - n))
         if best >= least:
@@ -138,45 +247,131 @@ def similar(x: np.ndarray, at_x: int, y: np.ndarray, at_y: int, width: int, leas
     return best
 
 
-def _verify(width: int, least: float):
+def forest(doc: np.ndarray, g: np.ndarray, width: int, least: float) -> list[tuple[int, int, float]]:
+    """Links (a, b, similarity) of a spanning forest of the rows' similar passages.
+
+    Each row reached is compared with all rows not yet reached. A passage whose shingles are all different can be
+    similar only to one of which least * width shingles are among its own, which a bitmap tells for all rows at once."""
+    order = np.sort(g, axis=1)
+    repeats = ((order[:, 1:] == order[:, :-1]) & (order[:, 1:] > 0)).any(axis=1)
+    low = (g & np.uint32(0xFFFF)).astype(np.uint16)
+    there = np.zeros((len(g), g.shape[1] + 1), np.int16)
+    np.cumsum(g == 0, axis=1, out=there[:, 1:])
+    whole = there[:, width:] == there[:, :-width]
+    need, out = int(np.ceil(least * width)), []
+    left = np.arange(len(g))
+    while len(left):
+        todo, left = [int(left[0])], left[1:]
+        while todo and len(left):
+            i = todo.pop()
+            known = np.zeros(1 << 16, bool)
+            known[low[i]] = True
+            hits = np.zeros((len(left), g.shape[1] + 1), np.int16)
+            np.cumsum(known[low[left]], axis=1, out=hits[:, 1:])
+            count = np.where(whole[left] & whole[i], hits[:, width:] - hits[:, :-width], -1)
+            most = count.max(axis=1)
+            may = np.flatnonzero((most >= 0) & ((most >= need) | repeats[i] | repeats[left]))
+            reached = []
+            for k in may.tolist():
+                j = int(left[k])
+                s = similar(g[i], g[j], width, least, int(count[k].argmax()))
+                if s >= least:
+                    reached.append(k)
+                    todo.append(j)
+                    if doc[i] != doc[j]:
+                        out.append((int(min(doc[i], doc[j])), int(max(doc[i], doc[j])), s))
+            left = np.delete(left, reached)
+    return out
+
+
+def _compare(width: int, least: float, block: int):
+    """Passages (key, document, shingles) in order of key to links (a, b, similarity) and, of a key with over `block`, the passages with their block's number."""
+    names = ["a", "b", "similarity", "part", "g"]
+
+    def links(doc: np.ndarray, g: np.ndarray) -> pa.RecordBatch:
+        found = forest(doc, g, width, least)
+        a, b, s = zip(*found, strict=True) if found else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64()), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.binary())], names)
+
+    def over(key: int, doc: np.ndarray, g: np.ndarray, part: int) -> pa.RecordBatch:
+        n = len(doc)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array(doc), pa.nulls(n, pa.float64()), pa.array(np.full(n, part, np.int64)), suffixes.binary(g)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, docs, rows, n, part = None, [], [], 0, 0
+
+        def end() -> Iterator[pa.RecordBatch]:
+            nonlocal docs, rows, n, part
+            if n:
+                doc, g = np.concatenate(docs), np.concatenate(rows)
+                yield over(now, doc, g, part) if part else links(doc, g)
+            docs, rows, n, part = [], [], 0, 0
+
         for b in batches:
-            out = []
-            for p, q, s, t, x, y in zip(*(b.column(c).to_pylist() for c in ("a", "b", "at", "at2", "g", "g2")), strict=True):
-                j = similar(np.frombuffer(x, np.uint32), s, np.frombuffer(y, np.uint32), t, width, least)
-                if j >= least:
-                    out.append((p, q, j))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["a", "b", "similarity"])
+            if not b.num_rows:
+                continue
+            key, doc, w = b.column("key").to_numpy(), b.column("doc_id").to_numpy(), 2 * width - 1
+            col = b.column("g").cast(pa.binary())
+            g = np.frombuffer(col.buffers()[2], np.uint8)[col.offset * 4 * w :][: b.num_rows * 4 * w].view(np.uint32).reshape(-1, w)
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            for s, e in zip(first.tolist(), np.append(first[1:], len(key)).tolist(), strict=True):
+                if key[s] != now:
+                    yield from end()
+                    now = key[s]
+                docs.append(doc[s:e].copy())
+                rows.append(g[s:e].copy())
+                n += e - s
+                while n > block:
+                    d, r = np.concatenate(docs), np.concatenate(rows)
+                    yield over(now, d[:block], r[:block], part)
+                    docs, rows, n, part = [d[block:]], [r[block:]], n - block, part + 1
+        yield from end()
 
     return run
 
 
-def near_passages(docs: DataFrame, words: int = WORDS, functions: int = FUNCTIONS, enough: int = ENOUGH, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(links, classes): links (a, b, similarity), a < b, and one row (doc_id, class_id, n_links) for each document with a link.
+def near_passages(docs: DataFrame, words: int = WORDS, functions: int = FUNCTIONS, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(links, classes): links (a, b, similarity), and one row (doc_id, class_id, n_docs) for each document with a link.
 
-    A link is a pair with passages of `words` words, aligned at a common min-hash, whose five-word shingles have a
-    Jaccard similarity of `least` or more; similarity is that of the first such passage found. Within a min-hash each
-    document is paired with the first and with its predecessor, so a passage that m documents share gives 2 m candidates at
-    most, and class_id, the smallest document reachable by links, gathers them. Two documents that only differ
-    from both of these partners under every function aren't compared. A pair is verified if `enough` functions propose it.
-    Shorter, empty and null texts have no passage. Rows of one doc_id are one document, of which the excerpt verified is one row's; null ids are left out. Other
-    columns are ignored; an empty table gives empty ones. Candidates of one min-hash are streamed in order, so memory doesn't grow with them."""
+    Two documents link if both hold a passage of `words` words, the two passages have the same min-hash under two
+    functions, and, laid on each other at the first of these, have five-word shingles of a Jaccard similarity of `least`
+    or more. class_id is the smallest document reachable, n_docs how many documents have it. The links returned connect
+    all that link: copies link to the smallest of them, and within a signature a spanning forest stands for all pairs.
+    Under f functions, two passages of similarity s have two in common with a chance of 1 - (1-s)^f - f s (1-s)^(f-1).
+    Shorter, empty and null texts have no passage. Rows of one doc_id are one document, of which the excerpt verified is
+    one row's; null ids are left out. Other columns are ignored; an empty table gives empty ones. Nodes and signatures are
+    streamed in order, so a task's memory doesn't grow with a group; a signature of over `block` different passages of
+    unconnected documents is compared by several tasks, each of which holds two blocks."""
     width = words - SHINGLE + 1
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    nodes = rows.mapInArrow(_nodes(width, functions), "key long, doc_id long, f int, l int, c int, r int")
-    pairs = nodes.repartition("key").sortWithinPartitions("key", "doc_id", "c").mapInArrow(_candidates(width), "a long, b long, f int, span int, ca int, cb int")
-    best = pairs.groupBy("a", "b", "f").agg(F.max(F.struct("span", "ca", "cb")).alias("m"))
-    chosen = common.stash(best.groupBy("a", "b").agg(F.collect_list(F.struct("f", "m.ca", "m.cb")).alias("m")).where(F.size("m") >= enough)).df
-    flat = chosen.select("a", "b", F.explode("m").alias("m")).select("a", "b", "m.f", "m.ca", "m.cb")
-    side = lambda i, d, c: F.struct(F.col(d).alias("doc_id"), F.lit(i).alias("side"), F.col(c).alias("c"))
-    asked = flat.select("a", "b", "f", F.explode(F.array(side(0, "a", "ca"), side(1, "b", "cb"))).alias("s")).select("s.doc_id", "a", "b", "f", "s.side", "s.c")
-    asked = asked.withColumn("lot", F.pmod(F.xxhash64("a", "b"), F.lit(64)))  # a document that many ask for is read in lots
-    by_doc = asked.groupBy("doc_id", "lot").agg(F.collect_list(F.struct("a", "b", "f", "side", "c")).alias("asked"))
-    found = common.stash(rows.join(by_doc, "doc_id").select("doc_id", "text", "asked").mapInArrow(_excerpts(width), "a long, b long, f int, side int, at int, g binary")).df
-    other = found.where("side = 1").select("a", "b", "f", F.col("at").alias("at2"), F.col("g").alias("g2"))
-    links = found.where("side = 0").join(other, ["a", "b", "f"]).mapInArrow(_verify(width, least), "a long, b long, similarity double")
-    links = common.stash(links.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))).df
+    nodes = rows.mapInArrow(_nodes(width, functions), "key long, whole long, around long, doc_id long, c int, shape int")
+    order = ["key", "whole", "c", "doc_id"]
+    shared = nodes.select(*order, "around", "shape").repartition("key").sortWithinPartitions(*order).mapInArrow(_shared, "doc_id long, key long, c int, shape int, around long, copy_of long")
+    shared = common.stash(shared)
+    copies = shared.df.where("copy_of is not null").select(F.col("copy_of").alias("a"), F.col("doc_id").alias("b")).distinct()
+    own = shared.df.where("copy_of is null").select("doc_id", "c", "key", "shape", "around").repartition("doc_id").sortWithinPartitions("doc_id", "c", "shape")
+    signatures = own.mapInArrow(_signatures(width), "key long, around long, doc_id long, c int")
+    found = common.stash(signatures.repartition("key").sortWithinPartitions("key", "around", "doc_id").mapInArrow(_equal, "a long, b long, key long, c int")).df
+    equal = common.stash(found.where("key is null").select("a", "b").union(copies).distinct()).df
+    roots = common.stash(common.components(equal)).df
+    asked = found.where("key is not null").select(F.col("a").alias("doc_id"), "key", "c").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    asked = common.stash(asked.select("doc_id", "key", "c", F.coalesce("root", "doc_id").alias("root"))).df
+    apart = asked.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    by_doc = asked.join(apart, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "c")).alias("asked"))
+    by_doc = common.stash(by_doc).df
+    texts = rows.join(common.small(by_doc.select("doc_id")), "doc_id", "left_semi").join(by_doc, "doc_id")
+    passages = texts.select("doc_id", "text", "asked").mapInArrow(_excerpts(width), "key long, doc_id long, g binary")
+    schema = "a long, b long, similarity double, part long, g binary"
+    compared = common.stash(passages.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(width, least, block), schema)).df
+    near = compared.where("part is null").select("a", "b", "similarity")
+    large = compared.where("part is not null").select(F.col("a").alias("key"), F.col("b").alias("doc_id"), "part", "g")
+    if large.limit(1).count():
+        parts = large.groupBy("key").agg((F.max("part") + 1).alias("n"))
+        pairs = large.join(parts, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        job = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))
+        dealt = pairs.select(job.alias("key"), "doc_id", "g").repartition("key").sortWithinPartitions("key")
+        near = near.union(dealt.mapInArrow(_compare(width, least, 1 << 62), schema).select("a", "b", "similarity"))
+    near = common.stash(near.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))).df
+    links = equal.withColumn("similarity", F.lit(1.0)).unionByName(near).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
     classes = common.components(links.select("a", "b")).select(F.col("node").alias("doc_id"), F.col("root").alias("class_id"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n_links"))
-    return links, classes.join(degree, "doc_id")
+    return links, classes.join(classes.groupBy("class_id").agg(F.count("*").alias("n_docs")), "class_id").select("doc_id", "class_id", "n_docs")
