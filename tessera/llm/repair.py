@@ -13,7 +13,6 @@ import os
 import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,61 +26,92 @@ from tessera.llm import common
 
 END = 2
 MAGIC = b"RPG1"
-HASH_BITS = 20
-SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+HASH_BITS = 18
+#: What a text may hold to be split here: of these characters the tokenizer's own normalizing only changes letters' case.
+PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
+#: The tokenizer's own pattern within these characters, in lower case.
+PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
+
+
+class Parts(dict):
+    """Numbers of parts in order of their first look-up."""
+
+    def __init__(self):
+        super().__init__({" ": 0})  # no part; stands for the end of a document
+        self.new: list[str] = []
+
+    def __missing__(self, part: str) -> int:
+        n = self[part] = len(self)
+        self.new.append(part)
+        return n
 
 
 class Encoder:
-    """Ids of whole texts, by way of a table of the chunks between ASCII white space, which the tokenizer's own splitting never crosses.
+    """Ids of whole texts, by way of a table of their parts, each of which the tokenizer encodes by itself.
 
-    A chunk of Latin letters and then ASCII signs is put together from these two parts, which the tokenizer splits and
-    lower-cases the same way; so variants of a word are tokenized once. Both tables hold about `most` entries and start anew beyond that."""
+    A part is a word, digit or run of signs of a plain text. Other texts are cut at ASCII white space only, which no
+    token crosses; such a part has a space before it and goes through the whole tokenizer. The table starts anew at `most` parts."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tok, self.most = Tokenizer.from_file(path), most
-        self.parts: dict[str, list[int]] = {"": []}
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tok, self.bare, self.most = Tokenizer.from_file(path), Tokenizer.from_file(path), most
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tok.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.reset()
 
     def reset(self) -> None:
-        self.at: dict[bytes, int] = {b" ": 0}  # no chunk; stands for the end of a document
-        self.ids, self.start, self.size = array("i", [END]), array("q", [0]), array("i", [1])
-
-    def learn(self, chunks: list[bytes]) -> None:
-        if len(self.parts) > self.most:
-            self.parts = {"": []}
-        split = [(m[1].lower(), m[2]) if (m := SIMPLE.fullmatch(t)) else (t, "") for t in (c.decode() for c in chunks)]
-        new = list({x for pair in split for x in pair}.difference(self.parts))
-        for x, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.parts[x] = e.ids
-        for c, (a, b) in zip(chunks, split, strict=True):
-            ids = self.parts[a] + self.parts[b]
-            self.at[c] = len(self.start)
-            self.start.append(len(self.ids))
-            self.size.append(len(ids))
-            self.ids.extend(ids)
+        self.at = Parts()
+        self.ids, self.start, self.size = np.array([END], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
+
+    def learn(self) -> None:
+        """Encode the parts that are new. Words go many at once; a word's last token shows where it ends."""
+        new, self.at.new = self.at.new, []
+        words = [i for i, x in enumerate(new) if x[0] != " "]
+        size = np.zeros(len(new), np.int64)
+        found: list[int] = []
+        for i in range(0, len(words), 1000):
+            found += self.bare.encode(" ".join([new[k] for k in words[i : i + 1000]]), add_special_tokens=False).ids
+        ids = np.array(found, np.uint32)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words):
+            raise ValueError("this tokenizer doesn't mark the ends of words")
+        size[words] = np.diff(ends, prepend=0)
+        if len(words) < len(new):
+            rest = [i for i, x in enumerate(new) if x[0] == " "]
+            own = [e.ids for e in self.tok.encode_batch_fast([new[i][1:] for i in rest], add_special_tokens=False)]
+            size[rest] = [len(x) for x in own]
+            of_words = np.split(ids, ends[:-1]) if words else []
+            each: list = [None] * len(new)
+            for i, x in (*zip(words, of_words, strict=True), *zip(rest, own, strict=True)):
+                each[i] = np.array(x, np.uint32)
+            ids = np.concatenate(each)
+        self.start = np.append(self.start, len(self.ids) + np.cumsum(size) - size)
+        self.size = np.append(self.size, size)
+        self.ids = np.append(self.ids, ids)
 
     def encode(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each document's followed by END, and the number of each document's."""
-        flat: list[bytes] = []
+        flat: list[str] = []
         ends = []
         for t in docs:
-            flat += t.split()
-            flat.append(b" ")
+            x = t.decode()
+            flat += PART.findall(x.lower()) if PLAIN.fullmatch(x) and "<|" not in x else [f" {c.decode()}" for c in t.split()]
+            flat.append(" ")
             ends.append(len(flat))
         if len(self.at) > self.most:
             self.reset()
-        try:
-            w = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
-        except KeyError:
-            self.learn(list(set(flat).difference(self.at)))
-            w = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
-        start, size, ids = np.frombuffer(self.start, np.int64)[w], np.frombuffer(self.size, np.int32)[w].astype(np.int64), np.frombuffer(self.ids, np.int32)
+        w = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
+        if self.at.new:
+            self.learn()
+        start, size = self.start[w], self.size[w]
         upto = np.cumsum(size)
-        out = ids[np.repeat(start - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)]
-        return out.astype(np.uint32), np.diff(upto[np.array(ends, np.int64) - 1], prepend=0)
+        out = self.ids[np.repeat(start - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)]
+        return out, np.diff(upto[np.array(ends, np.int64) - 1], prepend=0)
 
 
 @lru_cache(1)
