@@ -41,6 +41,11 @@ def drop(spark: SparkSession, *stashes: Stash) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of what is written and read no more: it does so as the driver collects its garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, limit: int | None = None) -> DataFrame:
     """df with a broadcast hint if it has at most limit rows, which are counted; else df, for a shuffle join.
 

@@ -54,7 +54,10 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 def _nodes(width: int, functions: int):
-    """Documents to nodes: key, doc_id, whole (hash of all shingles), around (hash of those within width - 1), c, and shape: function, c - l, r - c, up to 255, and if it's the first."""
+    """Documents to nodes. Of a chain of equal min-hashes, as periodic text has, the first and the last stay: each passage there
+    is one that holds either.
+
+    key, doc_id, whole (hash of all shingles), around (hash of those within width - 1), c, and shape: function, c - l, r - c, up to 255, and if it's the first."""
     inverse = np.uint64(pow(int(ODD), -1, 1 << 64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,6 +82,10 @@ def _nodes(width: int, functions: int):
                     l, r = spans(v, at, low[at], high[at])
                     ok = r - l + 1 >= width
                     at, l, r = at[ok], l[ok], r[ok]
+                    again = np.zeros(len(at) + 1, bool)
+                    again[1:-1] = (v[at[1:]] == v[at[:-1]]) & (doc[at[1:]] == doc[at[:-1]]) & (np.diff(at) < width)
+                    ok = ~(again[:-1] & again[1:])
+                    at, l, r = at[ok], l[ok], r[ok]
                     found.append((v[at], at, f | np.minimum(at - l, 255) << 8 | np.minimum(r - at, 255) << 16))
                 key, at, shape = (np.concatenate(x) for x in zip(*found, strict=True))
                 if not len(at):
@@ -220,6 +227,7 @@ def _excerpts(width: int):
                 part = asked.slice(at, len(own))
                 at += len(own)
                 flat = part.flatten()
+                roots = b.column("root").to_numpy()[at - len(own) : at]
                 key, c = flat.field("key").to_numpy(zero_copy_only=False), flat.field("c").to_numpy(zero_copy_only=False).astype(np.int64)
                 d = np.repeat(np.arange(len(own)), np.diff(part.offsets.to_numpy()))
                 for i in range(0, len(c), 10_000):
@@ -227,7 +235,7 @@ def _excerpts(width: int):
                     where = k[:, None] + np.arange(1 - width, width)
                     inside = (where >= begin[:-1][e][:, None]) & (where <= begin[1:][e][:, None] - SHINGLE)
                     rows = np.where(inside, g[np.clip(where, 0, max(0, len(g) - 1))] if len(g) else np.uint32(0), np.uint32(0))
-                    yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 10_000]), pa.array(np.array(own, np.int64)[e]), suffixes.binary(rows)], ["key", "doc_id", "g"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 10_000]), pa.array(np.array(own, np.int64)[e]), pa.array(roots[e]), suffixes.binary(rows)], ["key", "doc_id", "root", "g"])
 
     return run
 
@@ -247,70 +255,104 @@ def similar(x: np.ndarray, y: np.ndarray, width: int, least: float, first: int =
     return best
 
 
-def forest(doc: np.ndarray, g: np.ndarray, width: int, least: float) -> list[tuple[int, int, float]]:
-    """Links (a, b, similarity) of a spanning forest of the rows' similar passages.
+class Joined:
+    """What links of this task have joined so far, to spare the same pair in other signatures. Forgets beyond `most` entries."""
+
+    def __init__(self, most: int = 500_000):
+        self.most, self.up = most, {}
+
+    def find(self, x: int) -> int:
+        up = self.up
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        if len(self.up) > self.most:
+            self.up.clear()
+        self.up[self.find(x)] = self.find(y)
 
-    Each row reached is compared with all rows not yet reached. A passage whose shingles are all different can be
-    similar only to one of which least * width shingles are among its own, which a bitmap tells for all rows at once."""
+
+def forest(doc: np.ndarray, root: np.ndarray, g: np.ndarray, width: int, least: float, joined: Joined) -> list[tuple[int, int, float]]:
+    """Links (a, b, similarity) that join what similar passages join and neither roots nor earlier links do.
+
+    Each row reached is compared with all rows not yet reached; with a row, all of its component are. Of two passages
+    whose shingles are all different, each has 2 least / (1 + least) * width of the other's at least, where one repeats
+    some, the other has least * width; a bitmap tells how many, for all rows at once."""
+    comp = np.array([joined.find(x) for x in root.tolist()])
+    if (comp == comp[0]).all():
+        return []
     order = np.sort(g, axis=1)
     repeats = ((order[:, 1:] == order[:, :-1]) & (order[:, 1:] > 0)).any(axis=1)
     low = (g & np.uint32(0xFFFF)).astype(np.uint16)
     there = np.zeros((len(g), g.shape[1] + 1), np.int16)
     np.cumsum(g == 0, axis=1, out=there[:, 1:])
     whole = there[:, width:] == there[:, :-width]
-    need, out = int(np.ceil(least * width)), []
+    need = int(np.ceil(2 * least / (1 + least) * width - 1e-9))
+    known, out = np.zeros(1 << 16, bool), []
     left = np.arange(len(g))
     while len(left):
-        todo, left = [int(left[0])], left[1:]
+        mine = comp[left] == comp[left[0]]
+        todo, left = left[mine].tolist(), left[~mine]
         while todo and len(left):
             i = todo.pop()
-            known = np.zeros(1 << 16, bool)
             known[low[i]] = True
             hits = np.zeros((len(left), g.shape[1] + 1), np.int16)
             np.cumsum(known[low[left]], axis=1, out=hits[:, 1:])
+            known[low[i]] = False
             count = np.where(whole[left] & whole[i], hits[:, width:] - hits[:, :-width], -1)
             most = count.max(axis=1)
             may = np.flatnonzero((most >= 0) & ((most >= need) | repeats[i] | repeats[left]))
-            reached = []
+            reached: set[int] = set()
             for k in may.tolist():
                 j = int(left[k])
+                if comp[j] in reached:
+                    continue
                 s = similar(g[i], g[j], width, least, int(count[k].argmax()))
                 if s >= least:
-                    reached.append(k)
-                    todo.append(j)
-                    if doc[i] != doc[j]:
-                        out.append((int(min(doc[i], doc[j])), int(max(doc[i], doc[j])), s))
-            left = np.delete(left, reached)
+                    reached.add(comp[j])
+                    joined.join(int(root[i]), int(root[j]))
+                    out.append((int(min(doc[i], doc[j])), int(max(doc[i], doc[j])), s))
+            if reached:
+                mine = np.isin(comp[left], list(reached))
+                todo += left[mine].tolist()
+                left = left[~mine]
     return out
 
 
 def _compare(width: int, least: float, block: int):
-    """Passages (key, document, shingles) in order of key to links (a, b, similarity) and, of a key with over `block`, the passages with their block's number."""
-    names = ["a", "b", "similarity", "part", "g"]
-
-    def links(doc: np.ndarray, g: np.ndarray) -> pa.RecordBatch:
-        found = forest(doc, g, width, least)
-        a, b, s = zip(*found, strict=True) if found else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64()), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.binary())], names)
-
-    def over(key: int, doc: np.ndarray, g: np.ndarray, part: int) -> pa.RecordBatch:
+    """Passages (key, document, root, shingles) in order of key to links (a, b, similarity) and, of a key with over `block`, the passages with their block's number."""
+    names = ["a", "b", "similarity", "part", "root", "g"]
+
+    def links(doc: np.ndarray, root: np.ndarray, g: np.ndarray, joined: Joined) -> pa.RecordBatch | None:
+        found = forest(doc, root, g, width, least, joined)
+        if not found:
+            return None
+        a, b, s = zip(*found, strict=True)
+        null = pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64()), null, null, pa.nulls(len(a), pa.binary())], names)
+
+    def over(key: int, doc: np.ndarray, root: np.ndarray, g: np.ndarray, part: int) -> pa.RecordBatch:
         n = len(doc)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array(doc), pa.nulls(n, pa.float64()), pa.array(np.full(n, part, np.int64)), suffixes.binary(g)], names)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array(doc), pa.nulls(n, pa.float64()), pa.array(np.full(n, part, np.int64)), pa.array(root), suffixes.binary(g)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, docs, rows, n, part = None, [], [], 0, 0
+        now, held, n, part, joined = None, [], 0, 0, Joined()
 
         def end() -> Iterator[pa.RecordBatch]:
-            nonlocal docs, rows, n, part
+            nonlocal held, n, part
             if n:
-                doc, g = np.concatenate(docs), np.concatenate(rows)
-                yield over(now, doc, g, part) if part else links(doc, g)
-            docs, rows, n, part = [], [], 0, 0
+                own = [np.concatenate(x) for x in zip(*held, strict=True)] if len(held) > 1 else held[0]
+                if part:
+                    yield over(now, *own, part)
+                elif n > 1 and (x := links(*own, joined)):
+                    yield x
+            held, n, part = [], 0, 0
 
         for b in batches:
             if not b.num_rows:
                 continue
-            key, doc, w = b.column("key").to_numpy(), b.column("doc_id").to_numpy(), 2 * width - 1
+            key, doc, root, w = b.column("key").to_numpy(), b.column("doc_id").to_numpy(), b.column("root").to_numpy(), 2 * width - 1
             col = b.column("g").cast(pa.binary())
             g = np.frombuffer(col.buffers()[2], np.uint8)[col.offset * 4 * w :][: b.num_rows * 4 * w].view(np.uint32).reshape(-1, w)
             first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -318,13 +360,12 @@ def _compare(width: int, least: float, block: int):
                 if key[s] != now:
                     yield from end()
                     now = key[s]
-                docs.append(doc[s:e].copy())
-                rows.append(g[s:e].copy())
+                held.append((doc[s:e], root[s:e], g[s:e]))
                 n += e - s
                 while n > block:
-                    d, r = np.concatenate(docs), np.concatenate(rows)
-                    yield over(now, d[:block], r[:block], part)
-                    docs, rows, n, part = [d[block:]], [r[block:]], n - block, part + 1
+                    own = [np.concatenate(x) for x in zip(*held, strict=True)]
+                    yield over(now, *(x[:block] for x in own), part)
+                    held, n, part = [tuple(x[block:] for x in own)], n - block, part + 1
         yield from end()
 
     return run
@@ -348,28 +389,30 @@ def near_passages(docs: DataFrame, words: int = WORDS, functions: int = FUNCTION
     order = ["key", "whole", "c", "doc_id"]
     shared = nodes.select(*order, "around", "shape").repartition("key").sortWithinPartitions(*order).mapInArrow(_shared, "doc_id long, key long, c int, shape int, around long, copy_of long")
     shared = common.stash(shared)
+    common.release(docs.sparkSession)
     copies = shared.df.where("copy_of is not null").select(F.col("copy_of").alias("a"), F.col("doc_id").alias("b")).distinct()
     own = shared.df.where("copy_of is null").select("doc_id", "c", "key", "shape", "around").repartition("doc_id").sortWithinPartitions("doc_id", "c", "shape")
     signatures = own.mapInArrow(_signatures(width), "key long, around long, doc_id long, c int")
     found = common.stash(signatures.repartition("key").sortWithinPartitions("key", "around", "doc_id").mapInArrow(_equal, "a long, b long, key long, c int")).df
+    common.release(docs.sparkSession)
     equal = common.stash(found.where("key is null").select("a", "b").union(copies).distinct()).df
     roots = common.stash(common.components(equal)).df
     asked = found.where("key is not null").select(F.col("a").alias("doc_id"), "key", "c").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     asked = common.stash(asked.select("doc_id", "key", "c", F.coalesce("root", "doc_id").alias("root"))).df
     apart = asked.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    by_doc = asked.join(apart, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "c")).alias("asked"))
+    by_doc = asked.join(apart, "key").groupBy("doc_id", "root").agg(F.collect_list(F.struct("key", "c")).alias("asked"))
     by_doc = common.stash(by_doc).df
     texts = rows.join(common.small(by_doc.select("doc_id")), "doc_id", "left_semi").join(by_doc, "doc_id")
-    passages = texts.select("doc_id", "text", "asked").mapInArrow(_excerpts(width), "key long, doc_id long, g binary")
-    schema = "a long, b long, similarity double, part long, g binary"
+    passages = texts.select("doc_id", "root", "text", "asked").mapInArrow(_excerpts(width), "key long, doc_id long, root long, g binary")
+    schema = "a long, b long, similarity double, part long, root long, g binary"
     compared = common.stash(passages.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(width, least, block), schema)).df
     near = compared.where("part is null").select("a", "b", "similarity")
-    large = compared.where("part is not null").select(F.col("a").alias("key"), F.col("b").alias("doc_id"), "part", "g")
+    large = compared.where("part is not null").select(F.col("a").alias("key"), F.col("b").alias("doc_id"), "root", "part", "g")
     if large.limit(1).count():
         parts = large.groupBy("key").agg((F.max("part") + 1).alias("n"))
         pairs = large.join(parts, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
         job = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))
-        dealt = pairs.select(job.alias("key"), "doc_id", "g").repartition("key").sortWithinPartitions("key")
+        dealt = pairs.select(job.alias("key"), "doc_id", "root", "g").repartition("key").sortWithinPartitions("key")
         near = near.union(dealt.mapInArrow(_compare(width, least, 1 << 62), schema).select("a", "b", "similarity"))
     near = common.stash(near.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))).df
     links = equal.withColumn("similarity", F.lit(1.0)).unionByName(near).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))

@@ -77,7 +77,10 @@ def test_forest_leaves_out_no_row():
         g[i, : rng.integers(0, 30)] = 0
     doc = np.arange(90)
     want = classes([(i, j) for i in range(90) for j in range(i) if windows.similar(g[i], g[j], 46, 0.8) >= 0.8])
-    assert classes([(a, b) for a, b, _ in windows.forest(doc, g, 46, 0.8)]) == want
+    assert classes([(a, b) for a, b, _ in windows.forest(doc, doc, g, 46, 0.8, windows.Joined())]) == want
+    root = doc // 2 * 2
+    got = [(a, b) for a, b, _ in windows.forest(doc, root, g, 46, 0.8, windows.Joined(10))]
+    assert classes([*got, *((i, i // 2 * 2) for i in range(90))]) == classes([*want.items(), *((i, i // 2 * 2) for i in range(90))])
 
 
 def test_against_brute_force(spark):
