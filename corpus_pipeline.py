@@ -16,9 +16,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     without an id are judged with the others but can't be named, so they go."""
     model = langid.train(docs)
     found = langid.identify(docs, model, declared=F.col("lang"), host=F.col("source")).where("kept and doc_id is not null")
-    found = found.groupBy("doc_id").agg(F.max(F.struct("prob", "lang")).alias("f")).select(F.col("doc_id").alias("__id"), F.col("f.lang").alias("__lang"))
-    joined = docs.join(found, F.col("doc_id") == F.col("__id"))
-    return joined.withColumn("lang", F.col("__lang")).select(*docs.columns)
+    own, lang = common.fresh(docs, "own_id", "own_lang")
+    found = found.groupBy("doc_id").agg(F.max(F.struct("prob", "lang")).alias("f")).select(F.col("doc_id").alias(own), F.col("f.lang").alias(lang))
+    joined = docs.join(found, F.col("doc_id") == F.col(own))
+    return joined.withColumn("lang", F.col(lang)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,6 +41,16 @@ def drop(spark: SparkSession, *stashes: Stash) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores in front until no column of df has it."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of what is written and read no more: it does so as the driver collects its garbage."""
     spark.sparkContext._jvm.System.gc()

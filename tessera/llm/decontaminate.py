@@ -87,5 +87,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, min_literal
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs without the contaminated documents. Rows with a null id stay."""
-    found = common.stash(contaminated(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("__out")).distinct()).df
-    return docs.join(common.small(found), F.col(id_col) == F.col("__out"), "left_anti")
+    (out,) = common.fresh(docs, "out_id")
+    found = common.stash(contaminated(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias(out)).distinct()).df
+    return docs.join(common.small(found), F.col(id_col) == F.col(out), "left_anti")

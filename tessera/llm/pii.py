@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import common
+
 BASE = ("email", "ip", "card", "phone")
 LOCAL = r"[A-Za-z0-9._%+-]"
 PATTERNS = {
@@ -64,12 +66,12 @@ def valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _matched(df: DataFrame, kind: str, text: str) -> DataFrame:
-    """With m_<kind>, all raw matches, and p_<kind>, the pieces of text between them."""
+def _matched(df: DataFrame, kind: str, text: str, m_name: str, p_name: str) -> DataFrame:
+    """With columns of all raw matches and of the pieces of text between them."""
     none = F.array().cast("array<string>")
     m = F.regexp_extract_all(F.col(text), F.lit(PATTERNS[kind]), F.lit(0))
-    df = df.withColumn(f"m_{kind}", F.when(F.instr(text, HINT[kind]) > 0, m).otherwise(none) if kind in HINT else m)
-    return df.withColumn(f"p_{kind}", F.when(F.size(f"m_{kind}") > 0, F.split(F.col(text), PATTERNS[kind], -1)).otherwise(none))
+    df = df.withColumn(m_name, F.when(F.instr(text, HINT[kind]) > 0, m).otherwise(none) if kind in HINT else m)
+    return df.withColumn(p_name, F.when(F.size(m_name) > 0, F.split(F.col(text), PATTERNS[kind], -1)).otherwise(none))
 
 
 def _spans(kind: str) -> Column:
@@ -92,7 +94,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sc
     the number of matches it has of a kind."""
     df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     for kind in PATTERNS:
-        df = _matched(df, kind, "text")
+        df = _matched(df, kind, "text", f"m_{kind}", f"p_{kind}")
     df = df.drop("text")
     for kind in PATTERNS:
         at, spans = _spans(kind)
@@ -114,8 +116,8 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with each confirmed value replaced by <kind>, kind after kind, so that a span that one kind's removal lays bare is caught too. A null text stays null."""
     columns = docs.columns
     for kind in (*BASE, "iban", "ssn"):
-        df = _matched(docs, kind, text_col)
-        m, p = f"m_{kind}", f"p_{kind}"
+        m, p = common.fresh(docs, "m", "p")
+        df = _matched(docs, kind, text_col, m, p)
         out = F.concat(F.array_join(F.zip_with(F.slice(p, F.lit(1), F.size(m)), m, lambda a, b: F.concat(a, F.when(valid(kind, b), f"<{kind}>").otherwise(b))), ""), F.element_at(p, -1))
         docs = df.withColumn(text_col, F.when(F.size(m) > 0, out).otherwise(F.col(text_col))).select(*columns)
     return docs

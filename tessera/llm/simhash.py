@@ -267,7 +267,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group: that with the smallest id. Of rows with one id, one stays.
     Rows without an id pass unchanged, as nothing can name them."""
-    kept = near_duplicates(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    kept, n = common.fresh(docs, "kept", "n")
+    rows = near_duplicates(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct()
     first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    own = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("__kept"), "left_semi")
-    return own.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n").unionByName(docs.where(F.col(id_col).isNull()))
+    own = docs.where(F.col(id_col).isNotNull()).join(rows, F.col(id_col) == F.col(kept), "left_semi")
+    return own.withColumn(n, F.row_number().over(first)).where(F.col(n) == 1).drop(n).unionByName(docs.where(F.col(id_col).isNull()))

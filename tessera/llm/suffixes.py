@@ -250,9 +250,10 @@ def repeated_passages(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
 
 def cut(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the words of their later spans; a text that changes has single spaces. Documents without such a span stay as they are."""
-    found = passages.where("later != ''").select(F.col("doc_id").alias("__id"), F.col("later").alias("__later"))
+    own, later = common.fresh(docs, "own_id", "later")
+    found = passages.where("later != ''").select(F.col("doc_id").alias(own), F.col("later").alias(later))
     word = F.split(F.trim(F.regexp_replace(text_col, r"[ \t-\r]+", " ")), " ")
-    spans = F.transform(F.split("__later", ","), lambda s: F.transform(F.split(s, ":"), lambda x: x.cast("int")))
+    spans = F.transform(F.split(later, ","), lambda s: F.transform(F.split(s, ":"), lambda x: x.cast("int")))
     outside = F.filter(F.sequence(F.lit(0), F.size(word) - 1), lambda i: ~F.exists(spans, lambda s: (s[0] <= i) & (i < s[1])))
-    text = F.when(F.col("__later").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(outside, lambda i: word[i]), " "))
-    return docs.join(found, F.col(id_col) == F.col("__id"), "left").withColumn(text_col, text).select(*docs.columns)
+    text = F.when(F.col(later).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(outside, lambda i: word[i]), " "))
+    return docs.join(found, F.col(id_col) == F.col(own), "left").withColumn(text_col, text).select(*docs.columns)

@@ -24,7 +24,7 @@ def odd(spark):
         (5, "a tie", "en", "s", 5), (5, "a tie", "en", "s", 5), (6, "a tie", None, "s", 5), (7, long, "xx", None, len(long)), (None, None, None, None, None),
     ]
     df = spark.createDataFrame(rows, DOCS)
-    clash = ("key", "fp", "hash", "h", "n", "part", "a", "b", "c", "shard", "found", "words", "start", "best", "__id", "label", "item_id", "source_")
+    clash = ("key", "fp", "hash", "h", "n", "part", "a", "b", "c", "shard", "found", "words", "start", "best", "label", "__id", "own_id", "own_lang", "kept", "out_id", "later", "m", "p", "item_id", "source_")
     for c in clash:
         df = df.selectExpr("*", f"'x' as `{c}`")
     return df
