@@ -240,11 +240,11 @@ def _excerpts(width: int):
     return run
 
 
-def similar(x: np.ndarray, y: np.ndarray, width: int, least: float, first: int = 0) -> float:
+def similar(x: np.ndarray, y: np.ndarray, width: int, least: float, places: list[int] | None = None) -> float:
     """The Jaccard similarity, if `least` or more, of two passages of `width` shingles that hold the middle one at one
-    place; the highest if there is no such pair. x and y are shingles around it, 0 where there are none; `first` is the place tried first."""
+    of the places (all, if not given); the highest if there is no such pair. x and y are shingles around it, 0 where there are none."""
     best = 0.0
-    for o in (first, *range(width)):
+    for o in range(width) if places is None else places:
         p, q = set(x[o : o + width].tolist()), set(y[o : o + width].tolist())
         if 0 in p or 0 in q:
             continue
@@ -276,19 +276,36 @@ class Joined:
 def forest(doc: np.ndarray, root: np.ndarray, g: np.ndarray, width: int, least: float, joined: Joined) -> list[tuple[int, int, float]]:
     """Links (a, b, similarity) that join what similar passages join and neither roots nor earlier links do.
 
-    Each row reached is compared with all rows not yet reached; with a row, all of its component are. Of two passages
-    whose shingles are all different, each has 2 least / (1 + least) * width of the other's at least, where one repeats
-    some, the other has least * width; a bitmap tells how many, for all rows at once."""
+    Each row reached is compared with all rows not yet reached; with a row, all of its component are. Two similar passages
+    have at least least / (1 + least) times as many different shingles in common as they have together; a bitmap of one
+    row's shingles tells for all rows at once where that may be, and those places are compared exactly."""
     comp = np.array([joined.find(x) for x in root.tolist()])
     if (comp == comp[0]).all():
         return []
-    order = np.sort(g, axis=1)
-    repeats = ((order[:, 1:] == order[:, :-1]) & (order[:, 1:] > 0)).any(axis=1)
-    low = (g & np.uint32(0xFFFF)).astype(np.uint16)
-    there = np.zeros((len(g), g.shape[1] + 1), np.int16)
+    n, wide = g.shape
+    places = wide - width + 1
+    order = np.argsort(g, axis=1, kind="stable")
+    ranked = np.take_along_axis(g, order, 1)
+    before = np.where(ranked[:, 1:] == ranked[:, :-1], order[:, :-1], -1)
+    last = np.full(g.shape, -1, np.int64)
+    np.put_along_axis(last, order[:, 1:], before, 1)
+    # A shingle counts, as its first in the passage, at the places from `begin` to its own position.
+    begin = np.maximum(last + 1, np.arange(wide) - width + 1)
+    end = np.minimum(np.arange(wide), places - 1) + 1
+
+    def distinct(rows: np.ndarray, hit: np.ndarray) -> np.ndarray:
+        """How many different shingles of those hit each passage of the rows has."""
+        r, p = np.nonzero(hit & (begin[rows] < end))
+        at = r * (places + 1)
+        steps = np.bincount(at + begin[rows[r], p], minlength=len(rows) * (places + 1)) - np.bincount(at + end[p], minlength=len(rows) * (places + 1))
+        return np.cumsum(steps.reshape(len(rows), places + 1), axis=1)[:, :-1]
+
+    there = np.zeros((n, wide + 1), np.int16)
     np.cumsum(g == 0, axis=1, out=there[:, 1:])
-    whole = there[:, width:] == there[:, :-width]
-    need = int(np.ceil(2 * least / (1 + least) * width - 1e-9))
+    size = np.where(there[:, width:] == there[:, :-width], distinct(np.arange(n), g > 0), 0)
+    least_size = np.where(size > 0, size, wide).min(axis=1)
+    low = (g & np.uint32(0xFFFF)).astype(np.uint16)
+    share = least / (1 + least)
     known, out = np.zeros(1 << 16, bool), []
     left = np.arange(len(g))
     while len(left):
@@ -297,18 +314,18 @@ def forest(doc: np.ndarray, root: np.ndarray, g: np.ndarray, width: int, least:
         while todo and len(left):
             i = todo.pop()
             known[low[i]] = True
-            hits = np.zeros((len(left), g.shape[1] + 1), np.int16)
-            np.cumsum(known[low[left]], axis=1, out=hits[:, 1:])
+            own = known[low[left]] & (g[left] > 0)
             known[low[i]] = False
-            count = np.where(whole[left] & whole[i], hits[:, width:] - hits[:, :-width], -1)
-            most = count.max(axis=1)
-            may = np.flatnonzero((most >= 0) & ((most >= need) | repeats[i] | repeats[left]))
+            some = np.flatnonzero(own.sum(axis=1) >= share * (least_size[left] + least_size[i]) - 1e-9)
+            count = distinct(left[some], own[some])
+            fits = (size[left[some]] > 0) & (size[i] > 0) & (count >= share * (size[left[some]] + size[i]) - 1e-9)
+            may = np.flatnonzero(fits.any(axis=1))
             reached: set[int] = set()
             for k in may.tolist():
-                j = int(left[k])
+                j = int(left[some[k]])
                 if comp[j] in reached:
                     continue
-                s = similar(g[i], g[j], width, least, int(count[k].argmax()))
+                s = similar(g[i], g[j], width, least, np.flatnonzero(fits[k]).tolist())
                 if s >= least:
                     reached.add(comp[j])
                     joined.join(int(root[i]), int(root[j]))
