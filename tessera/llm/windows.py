@@ -54,8 +54,11 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 def _nodes(width: int, functions: int):
-    """Documents to nodes. Of a chain of equal min-hashes, as periodic text has, the first and the last stay: each passage there
-    is one that holds either.
+    """Documents to nodes. Of a function's nodes in one document whose passages (of width shingles, by
+    their text) are the same, as in periodic text, the first stays.
+
+    No passage is lost: its text tells its nodes. If one was dropped, the passage stands further in front too; where it
+    stands first, all its nodes are kept.
 
     key, doc_id, whole (hash of all shingles), around (hash of those within width - 1), c, and shape: function, c - l, r - c, up to 255, and if it's the first."""
     inverse = np.uint64(pow(int(ODD), -1, 1 << 64))
@@ -82,9 +85,9 @@ def _nodes(width: int, functions: int):
                     l, r = spans(v, at, low[at], high[at])
                     ok = r - l + 1 >= width
                     at, l, r = at[ok], l[ok], r[ok]
-                    again = np.zeros(len(at) + 1, bool)
-                    again[1:-1] = (v[at[1:]] == v[at[:-1]]) & (doc[at[1:]] == doc[at[:-1]]) & (np.diff(at) < width)
-                    ok = ~(again[:-1] & again[1:])
+                    start = np.maximum(l, at - width + 1)
+                    own_text = told(start, np.minimum(r, at + width - 1) + 1) ^ common.mix((doc[at] << 8) + at - start + 1)
+                    ok = np.sort(np.unique(own_text, return_index=True)[1])
                     at, l, r = at[ok], l[ok], r[ok]
                     found.append((v[at], at, f | np.minimum(at - l, 255) << 8 | np.minimum(r - at, 255) << 16))
                 key, at, shape = (np.concatenate(x) for x in zip(*found, strict=True))

@@ -99,3 +99,17 @@ def test_odd_cases(spark):
     got = {r.doc_id: (r.class_id, r.n_docs) for r in windows.near_passages(data.odd(spark))[1].collect()}
     assert got == {4: (4, 2), 7: (4, 2)}
     assert windows.near_passages(data.empty(spark))[1].count() == 0
+
+
+def test_exact_passages_of_templated_text(spark):
+    rng = random.Random(6)
+    texts = []
+    for _ in range(40):
+        form, records = data.words(rng, 24), []
+        for k in range(20):
+            records += form + [f"v{rng.randrange(10**9)}" for _ in range(8)]
+        at = rng.randrange(200, 400)
+        own = [[f"w{rng.randrange(10**9)}" for _ in range(40)] for _ in range(2)]
+        texts += [" ".join(records), " ".join(own[0] + records[at : at + 60] + own[1])]
+    got = {r.doc_id: r.class_id for r in windows.near_passages(data.frame(spark, texts))[1].collect()}
+    assert [i for i in range(0, 80, 2) if i not in got or got[i] != got.get(i + 1)] == []
