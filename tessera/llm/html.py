@@ -17,7 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|select|textarea)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea)(?=[\s/>]|\Z).*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
+#: Elements whose content is no text of the page, with their end tags; where there is none, only the tag is skipped.
+HIDDEN = {x: re.compile(rf"</{x}(?:\s[^>]*)?>", re.I) for x in ("template", "svg", "iframe", "select")}
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|data-y)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 WORD = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,6 +41,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...], bool]] = []
     text: list[str] = []
     linked = at = 0
+    open_ended: set[str] = set()  # names of HIDDEN with no end tag further on
 
     def flush() -> None:
         nonlocal linked
@@ -55,7 +58,7 @@ def blocks(page: str) -> list[Block]:
             flush()
         del stack[depth:]
 
-    for m in MARKUP.finditer(page):
+    while m := MARKUP.search(page, at):
         if m.start() > at:
             t = page[at : m.start()]
             text.append(t)
@@ -65,6 +68,13 @@ def blocks(page: str) -> list[Block]:
         name = (m[3] or "").lower()
         if not name:
             continue
+        if name in HIDDEN and not m[2]:
+            if name not in open_ended and not (name == "svg" and m[4].rstrip().endswith("/")):
+                if end := HIDDEN[name].search(page, at):
+                    at = end.end()
+                else:
+                    open_ended.add(name)
+            continue
         if m[2]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:

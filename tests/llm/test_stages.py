@@ -132,6 +132,13 @@ def test_main_text_odd_cases(spark):
     assert html.extract(df.where("false")).count() == 0
 
 
+def test_markup_without_end_hides_no_text():
+    text = lambda page: " ".join(b.text for b in html.blocks(page))
+    for x in ('<svg viewBox="0 0 1 1"/>', "<svg-icon name=x></svg-icon>", "<template-card>", "<svg>", "<iframe src=x>", "<select>", "<object>", "<noscript>"):
+        assert text(f"<p>One.</p>{x}<p>Two.</p>") == "One. Two.", x
+    assert text("<p>One.</p><svg><text>no</text></svg ><template><p>no</p></template><script>no</script><object>Two.</object><noscript>Three.</noscript><style>no") == "One. Two. Three."
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     kept = docs
