@@ -39,9 +39,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, min_literal
 
     Windows have n words, for an item of at least min_literals but fewer than n words its whole length. A window of the
     benchmark counts if min_literals of its words are not placeholders. Along one alignment of document and item, a
-    value in the item's slots must always meet the same value in the document's, and the other way round; else the
-    alignment doesn't count. n_windows: matched windows of the best alignment; n_words: words of the item they cover,
-    of which overlaps count once when windows are contiguous; exact: all slot values are equal.
+    value in the item's slots must always meet the same value in the document's, and the other way round; windows with a
+    pair of values that conflicts with another don't count, unless all their values are equal to the item's. n_windows:
+    windows of the best alignment that count; n_words: words of the item they cover, of which overlaps count once when
+    windows are contiguous; exact: all their slot values are equal.
     Null and empty texts match nothing. Rows of one doc_id (or item_id) count as one document (item). Null ids are left
     out, as nothing can name them. Other columns are ignored; an empty table on either side gives an empty result.
     The benchmark's windows are broadcast only if few (common.small), else shuffled, hot keys split by Spark; texts are read again for
@@ -77,10 +78,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, min_literal
     found = common.stash(found).df
     line = ["doc_id", "item_id", "n", "diag"]
     values = found.where("size(pairs) > 0").select(*line, F.explode("pairs").alias("p")).select(*line, "p.a", "p.b").distinct()
-    bad = values.groupBy(*line).agg(F.count("*").alias("k"), F.count_distinct("a").alias("ka"), F.count_distinct("b").alias("kb")).where("k > ka or k > kb").select(*line)
+    values = values.groupBy(*line).agg(F.collect_list(F.struct("a", "b")).alias("v"))
+    bad = values.where("size(v) > size(array_distinct(v.a)) or size(v) > size(array_distinct(v.b))")
+    conflict = "exists(pairs, x -> exists(v, y -> (x.a = y.a) != (x.b = y.b)))"
+    found = found.join(bad, line, "left").where(f"v is null or forall(pairs, x -> x.a = x.b) or not {conflict}")
     differs = F.max(F.expr("exists(pairs, x -> x.a != x.b)"))
     lines = found.groupBy(*line).agg(F.count_distinct("ipos").alias("n_windows"), F.min("ipos").alias("lo"), F.max("ipos").alias("hi"), (~differs).alias("exact"))
-    good = lines.join(bad, line, "left_anti").withColumn("n_words", F.least(F.col("n_windows") * F.col("n"), F.col("hi") - F.col("lo") + F.col("n")))
+    good = lines.withColumn("n_words", F.least(F.col("n_windows") * F.col("n"), F.col("hi") - F.col("lo") + F.col("n")))
     best = F.max(F.struct("n_windows", "n_words", "exact")).alias("b")
     return good.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("b.n_windows").alias("n_windows"), F.col("b.n_words").cast("long").alias("n_words"), F.col("b.exact").alias("exact"))
 

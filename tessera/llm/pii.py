@@ -85,6 +85,18 @@ def _spans(kind: str) -> Column:
     return at, F.when(F.size(m) > 0, F.transform(indexes, span)).otherwise(none)
 
 
+def _with_found(df: DataFrame, text: str, keep: list[str], min_score: float) -> DataFrame:
+    """The columns `keep` of df, and found. No column of df may be called as the helpers here are."""
+    for kind in PATTERNS:
+        df = _matched(df, kind, text, f"m_{kind}", f"p_{kind}")
+    for kind in PATTERNS:
+        at, spans = _spans(kind)
+        df = df.withColumn(f"at_{kind}", F.when(F.size(f"m_{kind}") > 0, at)).withColumn(f"s_{kind}", spans)
+    strict = F.filter("s_phone_strict", lambda x: (x["score"] >= min_score) & ~F.exists("s_phone", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    added = [F.filter("s_iban", lambda x: x["score"] >= min_score), F.filter("s_ssn", lambda x: x["score"] >= min_score), strict]
+    return df.select(*keep, F.concat(*(F.col(f"s_{k}") for k in BASE), *added).alias("found"))
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: float = 0.6) -> DataFrame:
     """One row (doc_id, found) per row of docs; found: array of (kind, start, end, value, score), in code points, end exclusive.
 
@@ -93,15 +105,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sc
     table gives an empty one. No shuffle: each row is worked on by itself, in time linear in its text, but quadratic in
     the number of matches it has of a kind."""
     df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    for kind in PATTERNS:
-        df = _matched(df, kind, "text", f"m_{kind}", f"p_{kind}")
-    df = df.drop("text")
-    for kind in PATTERNS:
-        at, spans = _spans(kind)
-        df = df.withColumn(f"at_{kind}", F.when(F.size(f"m_{kind}") > 0, at)).withColumn(f"s_{kind}", spans)
-    strict = F.filter("s_phone_strict", lambda x: (x["score"] >= min_score) & ~F.exists("s_phone", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    added = [F.filter("s_iban", lambda x: x["score"] >= min_score), F.filter("s_ssn", lambda x: x["score"] >= min_score), strict]
-    return df.select("doc_id", F.concat(*(F.col(f"s_{k}") for k in BASE), *added).alias("found"))
+    return _with_found(df, "text", ["doc_id"], min_score)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -112,12 +116,19 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *(count(k) for k in BASE), F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(F.col("found")).alias("spans"))
 
 
-def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with each confirmed value replaced by <kind>, kind after kind, so that a span that one kind's removal lays bare is caught too. A null text stays null."""
+def redact(docs: DataFrame, text_col: str = "text", min_score: float = 0.6) -> DataFrame:
+    """docs with each span that find() reports replaced by <kind>; overlapping spans are one, of the first's kind.
+
+    What find() reports of the result, where a removal lays a span bare, is replaced too, once. The kinds written count
+    as no context there. A null text stays null."""
     columns = docs.columns
-    for kind in (*BASE, "iban", "ssn"):
-        m, p = common.fresh(docs, "m", "p")
-        df = _matched(docs, kind, text_col, m, p)
-        out = F.concat(F.array_join(F.zip_with(F.slice(p, F.lit(1), F.size(m)), m, lambda a, b: F.concat(a, F.when(valid(kind, b), f"<{kind}>").otherwise(b))), ""), F.element_at(p, -1))
-        docs = df.withColumn(text_col, F.when(F.size(m) > 0, out).otherwise(F.col(text_col))).select(*columns)
-    return docs
+    df = docs.select(F.struct(*(docs[f"`{c}`"] for c in columns)).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    for _ in range(2):
+        df = _with_found(df, "text", ["row", "text"], min_score)
+        spans = F.array_sort(F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+        # Spans in order: up to where the text is written, and what is written. A kind is led by x, so that it isn't a word of its own.
+        step = "if(x.start < acc.pos, struct(greatest(acc.pos, x.end) as pos, acc.out as out), struct(x.end as pos, concat(acc.out, substring(text, cast(acc.pos + 1 as int), cast(x.start - acc.pos as int)), '<x', x.kind, '>') as out))"
+        out = F.expr(f"aggregate(spans, struct(0L as pos, '' as out), (acc, x) -> {step}, acc -> concat(acc.out, substring(text, cast(acc.pos + 1 as int))))")
+        df = df.withColumn("spans", spans).select("row", F.when(F.size("spans") > 0, out).otherwise(F.col("text")).alias("text"))
+    text = F.regexp_replace("text", f"<x({'|'.join(PATTERNS)})>", "<$1>")
+    return df.select(*(F.when(F.col("row")[c].isNotNull(), text).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in columns))

@@ -61,6 +61,17 @@ def test_redacted_text_has_none_left(spark):
     assert pii.redact(plain).first().text == "write to <email> or <ip>, nothing else: 123"
 
 
+def test_redacted_are_the_spans_found(spark):
+    texts = ["tel +1 (234) 555-6789 2024 1999 07", "part 123-45-6789 of it", "my ssn is 123-45-6789", "x 4111111111111111@x.org y", "4111 1111 1111 1111 1.2.3.4", "ssn 123-45-6789 " + "z" * 60 + " 223-45-6789", "𝔘 1.2.3.4 é"]
+    got = {r.doc_id: r.text for r in pii.redact(data.frame(spark, texts)).collect()}
+    assert got == {0: "tel <phone_strict> 2024 1999 07", 1: texts[1], 2: "my ssn is <ssn>", 3: "x <email> y", 4: "<card> <ip>", 5: "ssn <ssn> " + "z" * 60 + " 223-45-6789", 6: "𝔘 <ip> é"}
+    texts = corpus()
+    found = {r.doc_id: r.found for r in pii.find(data.frame(spark, texts)).collect()}
+    for r in pii.redact(data.frame(spark, texts)).collect():
+        t = texts[r.doc_id]
+        assert (r.text == t) == (not found[r.doc_id]), t
+
+
 def test_odd_cases(spark):
     docs = data.odd(spark)
     got = pii.digest(pii.find(docs)).collect()

@@ -62,6 +62,16 @@ def test_slots_must_be_consistent(spark):
     assert [r.doc_id for r in decontaminate.contaminated(data.frame(spark, texts), bench, n=17).collect()] == [0]
 
 
+def test_one_altered_slot_leaves_the_other_windows(spark):
+    item = "the committee bought 40 chairs for the new hall and asked every member to pay a small share of the cost before winter came and then 40 chairs were delivered to the wrong door"
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    texts = [item, item.replace("then 40", "then 41"), item.replace("40", "41"), item.replace("bought 40", "bought 41")]
+    got = {r.doc_id: (r.n_windows, r.exact) for r in decontaminate.contaminated(data.frame(spark, texts), bench).collect()}
+    n, kept = len(item.split()) - 9, lambda at: [i for i in range(len(item.split()) - 9) if not i <= at < i + 10]
+    first, second = (i for i, w in enumerate(item.split()) if w == "40")
+    assert got == {0: (n, True), 1: (len(kept(second)), True), 2: (n, False), 3: (len(kept(first)), True)}
+
+
 def test_decontamination_odd_cases(spark):
     docs, bench = data.odd(spark), spark.createDataFrame(ITEMS, "item_id long, text string")
     assert decontaminate.contaminated(docs, bench).count() == 0
