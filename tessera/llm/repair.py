@@ -1,14 +1,15 @@
 """Token ids in grammar-compressed shards (Re-Pair), and their reader.
 
 A table of shards has the columns part and seq (their order), doc_ids and blob. A blob:
-  magic "RPG1"; six little-endian uint32: documents, symbols, levels, rules, first rule's symbol, 0
-  per level uint32: its rules' number; per rule uint32 left, uint32 right, uint32 expansion length
+  magic "RPG1"; six little-endian uint32: documents, symbols, rounds, rules, first rule's symbol, width
+  per round uint32: its rules' number; per rule uint32 left, uint32 right, uint32 expansion length
   per document uint32: where its symbols begin; uint64: its tokens
-  per symbol 3 bytes, little-endian
+  per symbol `width` bytes, little-endian: 2 if that is enough, else 3
 No symbol spans two documents, so one document is decoded from its own symbols and the rules alone."""
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -18,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,92 +28,127 @@ from tessera.llm import common
 
 END = 2
 MAGIC = b"RPG1"
-HASH_BITS = 18
-#: What a text may hold to be split here: of these characters the tokenizer's own normalizing only changes letters' case.
-PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
-#: The tokenizer's own pattern within these characters, in lower case.
-PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
-
-
-class Parts(dict):
-    """Numbers of parts in order of their first look-up."""
-
-    def __init__(self):
-        super().__init__({" ": 0})  # no part; stands for the end of a document
-        self.new: list[str] = []
+#: A rule takes 12 bytes and saves 2 or 3 each time it is used, so one used 7 times pays.
+LEAST = 8
+#: What a word may hold to be split here: of these characters the tokenizer's own normalizing only changes letters' case.
+PLAIN = "^[\x21-\x7eÀ-ÖØ-öø-ÿ]*$"
+#: The tokenizer's own pattern within these characters, in lower case, but for white space.
+PART = r"('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+)"
+LETTERS = "^[a-zß-öø-ÿ]+$"
+#: What a tokenizer's file must say for this splitting to hold. Other tokenizers get whole texts.
+SPLITS = (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}])
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ..., start[0] + size[0] - 1, start[1], ..."""
+    upto = np.cumsum(size, dtype=np.int64)
+    return np.repeat(start - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)
+
+
+class Table:
+    """Numbers of strings in order of their first look-up, and the ids of each."""
+
+    def __init__(self, *known: tuple[str, list[int]]):
+        self.at = {x: i for i, (x, _) in enumerate(known)}
+        self.size = np.array([len(x) for _, x in known], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.ids = np.array([i for _, x in known for i in x], np.uint32)
+
+    def add(self, names: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        self.at.update(zip(names, range(len(self.at), len(self.at) + len(names)), strict=True))
+        self.start = np.append(self.start, len(self.ids) + np.cumsum(size) - size)
+        self.size, self.ids = np.append(self.size, size), np.append(self.ids, ids)
 
-    def __missing__(self, part: str) -> int:
-        n = self[part] = len(self)
-        self.new.append(part)
-        return n
+    def get(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the numbered strings, one after the other, and how many each has."""
+        size = self.size[numbers]
+        return self.ids[_ranges(self.start[numbers], size)], size
 
 
 class Encoder:
-    """Ids of whole texts, by way of a table of their parts, each of which the tokenizer encodes by itself.
+    """Ids of whole texts.
 
-    A part is a word, digit or run of signs of a plain text. Other texts are cut at ASCII white space only, which no
-    token crosses; such a part has a space before it and goes through the whole tokenizer. The table starts anew at `most` parts."""
+    Of a tokenizer that splits as SPLITS says, no token crosses ASCII white space. A batch's different words are taken:
+    PLAIN ones are split to parts, each of which the tokenizer is asked for once, by itself; others go through the whole
+    tokenizer, once each. The table of parts and such words starts anew at `most` entries."""
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tok, self.bare, self.most = Tokenizer.from_file(path), Tokenizer.from_file(path), most
-        self.bare.normalizer = normalizers.Sequence([])
-        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.tok, self.most = Tokenizer.from_file(path), most
+        normalizer, pre = (json.loads(x.__getstate__()) if x else {} for x in (self.tok.normalizer, self.tok.pre_tokenizer))
+        splits = [x["pattern"].get("Regex") for x in pre.get("pretokenizers", []) if x.get("type") == "Split"]
+        self.known = (splits, normalizer.get("normalizers")) == ([SPLITS[0]], SPLITS[1]) and all(x.content.startswith("<|") for x in self.tok.get_added_tokens_decoder().values())
+        self.whole = self.tok.normalizer, self.tok.pre_tokenizer
+        self.bare = normalizers.Sequence([]), pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tok.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.reset()
-
-    def reset(self) -> None:
-        self.at = Parts()
-        self.ids, self.start, self.size = np.array([END], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
-
-    def learn(self) -> None:
-        """Encode the parts that are new. Words go many at once; a word's last token shows where it ends."""
-        new, self.at.new = self.at.new, []
-        words = [i for i, x in enumerate(new) if x[0] != " "]
-        size = np.zeros(len(new), np.int64)
-        found: list[int] = []
-        for i in range(0, len(words), 1000):
-            found += self.bare.encode(" ".join([new[k] for k in words[i : i + 1000]]), add_special_tokens=False).ids
-        ids = np.array(found, np.uint32)
-        ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) != len(words):
-            raise ValueError("this tokenizer doesn't mark the ends of words")
-        size[words] = np.diff(ends, prepend=0)
-        if len(words) < len(new):
-            rest = [i for i, x in enumerate(new) if x[0] == " "]
-            own = [e.ids for e in self.tok.encode_batch_fast([new[i][1:] for i in rest], add_special_tokens=False)]
-            size[rest] = [len(x) for x in own]
-            of_words = np.split(ids, ends[:-1]) if words else []
-            each: list = [None] * len(new)
-            for i, x in (*zip(words, of_words, strict=True), *zip(rest, own, strict=True)):
-                each[i] = np.array(x, np.uint32)
-            ids = np.concatenate(each)
-        self.start = np.append(self.start, len(self.ids) + np.cumsum(size) - size)
-        self.size = np.append(self.size, size)
-        self.ids = np.append(self.ids, ids)
-
-    def encode(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, each document's followed by END, and the number of each document's."""
-        flat: list[str] = []
-        ends = []
-        for t in docs:
-            x = t.decode()
-            flat += PART.findall(x.lower()) if PLAIN.fullmatch(x) and "<|" not in x else [f" {c.decode()}" for c in t.split()]
-            flat.append(" ")
-            ends.append(len(flat))
-        if len(self.at) > self.most:
-            self.reset()
-        w = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
-        if self.at.new:
-            self.learn()
-        start, size = self.start[w], self.size[w]
-        upto = np.cumsum(size)
-        out = self.ids[np.repeat(start - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)]
-        return out, np.diff(upto[np.array(ends, np.int64) - 1], prepend=0)
+        self.table = self.fresh()
+
+    def fresh(self) -> Table:
+        return Table(("", []))
+
+    def _ask(self, texts: list[str], bare: bool) -> list[list[int]]:
+        self.tok.normalizer, self.tok.pre_tokenizer = self.bare if bare else self.whole
+        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Parts many at once, as a part's last token shows where it ends; words, which have a line break in front, one by one."""
+        parts = [x for x in new if x[0] != "\n"]
+        found = [np.array(x, np.uint32) for x in self._ask([" ".join(parts[i : i + 1000]) for i in range(0, len(parts), 1000)], True)]
+        if found:
+            ids = np.concatenate(found)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(parts):
+                raise ValueError("this tokenizer doesn't mark the ends of words")
+            self.table.add(parts, ids, np.diff(ends, prepend=0))
+        words = [x for x in new if x[0] == "\n"]
+        if words:
+            own = self._ask([x[1:] for x in words], False)
+            self.table.add(words, np.array([i for x in own for i in x], np.uint32), np.array([len(x) for x in own], np.int64))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, each text's followed by END, and the number of each text's. A null is empty."""
+        if not len(texts):
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        texts = pc.fill_null(texts, "")
+        if not self.known:
+            own = [[*x, END] for x in self._ask(texts.to_pylist(), False)]
+            return np.array([i for x in own for i in x], np.uint32), np.array([len(x) for x in own], np.int64)
+        words = pc.ascii_split_whitespace(texts)
+        found = words.flatten().dictionary_encode()
+        each = found.dictionary
+        plain = pc.and_(pc.match_substring_regex(each, PLAIN), pc.invert(pc.match_substring(each, "<|")))
+        low = pc.utf8_lower(each)
+        one = pc.match_substring_regex(low, LETTERS)  # a part as it is
+        split = pc.replace_substring_regex(pc.if_else(one, "", low), PART, r"\1 ")
+        parts = pc.ascii_split_whitespace(pc.if_else(one, low, pc.if_else(plain, split, "")))
+        strings = pa.concat_arrays([parts.flatten(), pc.binary_join_element_wise("\n", each.filter(pc.invert(plain)), "")]).dictionary_encode()
+        names = strings.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.table.at) > self.most:
+            self.table = self.fresh()
+        at = self.table.at
+        known = list(map(at.get, names))
+        if None in known:
+            self._learn([x for x, i in zip(names, known, strict=True) if i is None])
+            known = list(map(at.get, names))
+        numbers = np.array(known, np.int64)[strings.indices.to_numpy()]
+        # The entries of each different word: its parts, or the one that stands behind all parts.
+        start = parts.offsets.to_numpy().astype(np.int64)
+        size, start = np.diff(start), start[:-1]
+        rest = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        start[rest], size[rest] = np.arange(len(numbers) - len(rest), len(numbers)), 1
+        ids, n = self.table.get(numbers[_ranges(start, size)])
+        upto = np.append(0, np.cumsum(n))[np.append(0, np.cumsum(size))]
+        # The words' ids side by side, END behind them; then all words of the texts, in order.
+        ids, start, size = np.append(ids, np.uint32(END)), np.append(upto[:-1], len(ids)), np.append(np.diff(upto), 1)
+        offsets = words.offsets.to_numpy().astype(np.int64)
+        ends = offsets[1:] - offsets[0]
+        number = np.insert(found.indices.to_numpy().astype(np.int64), ends, len(each))
+        size = size[number]
+        return ids[_ranges(start[number], size)], np.diff(np.cumsum(size)[ends + np.arange(len(ends))], prepend=0)
 
 
 @lru_cache(1)
@@ -120,51 +157,96 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def compress(ids: np.ndarray, levels: int = 3, most: int = 4096, least: int = 8) -> tuple[np.ndarray, list[np.ndarray], int]:
-    """(symbols, per level the rules' pairs, the first rule's symbol).
-
-    At each level the pairs that occur most, at most `most` of them and each at least `least` times, get a nonterminal
-    each; every occurrence is replaced, from the left where they overlap. A pair whose left part ends a document is none."""
-    first = int(ids.max(initial=END)) + 1
-    seq, rules, base = ids.astype(np.uint64), [], first
-    ends = np.zeros(first + levels * most, bool)
-    ends[END] = True
-    for _ in range(levels):
-        if len(seq) < 2:
+def _slot(left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
+    return (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits)
+
+
+def compress(ids: np.ndarray, least: int = LEAST, span: int = 6) -> tuple[np.ndarray, list[np.ndarray], int]:
+    """(symbols, per round the rules' pairs, the first rule's symbol).
+
+    Each round counts all pairs exactly, overlaps of a symbol with itself once, and takes those at least 2**-span times as
+    frequent as the most frequent one, and no less than `least`. Where two of them overlap the more frequent one is
+    replaced, and the other waits for a later round. Rounds go on until no pair occurs `least` times. A pair whose left
+    part ends a document is none.
+
+    A count of old symbols never rises, so only places whose pair was frequent enough, and those beside a new symbol, are
+    looked at again; the sequence is a linked list until the end."""
+    if least < 2:
+        raise ValueError("a pair that occurs once can't be shared")
+    n, first = len(ids), int(ids.max(initial=END)) + 1
+    base, rules = first, []
+    seq = np.append(ids, END).astype(np.uint32)
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    before[0] = n
+    last = np.append(ids == END, True)  # ends a document, or is gone
+    gone = np.zeros(n + 1, bool)
+    none = np.int32(2**31 - 1)
+    rank = np.full(n + 1, none, np.int32)
+    at = np.flatnonzero(~last).astype(np.int32)
+    while len(at):
+        left, right = seq[at], seq[after[at]]
+        bits = min(20, max(8, len(at).bit_length()))
+        slot = _slot(left, right, bits)
+        # A slot's count is no less than that of any of its pairs.
+        may = np.flatnonzero((np.bincount(slot, minlength=1 << bits) >= least)[slot])
+        at, left, right, slot = at[may], left[may], right[may], slot[may]
+        key = left.astype(np.int64) << 24 | right
+        second = np.zeros(len(at), bool)  # of a run of one symbol, pairs that overlap the one before
+        twins = np.flatnonzero(left == right)
+        if len(twins):
+            own, i = at[twins], np.arange(len(twins))
+            begin = np.maximum.accumulate(np.where(np.r_[True, after[own[:-1]] != own[1:]], i, 0))
+            second[twins[(i - begin) % 2 == 1]] = True
+            counted = np.sort(key[~second])
+        else:
+            counted = np.sort(key)
+        begin = np.flatnonzero(np.r_[True, counted[1:] != counted[:-1]]) if len(counted) else np.empty(0, np.int64)
+        count = np.diff(np.append(begin, len(counted)))
+        top = int(count.max(initial=0))
+        if top < least:
             break
-        key = seq[:-1] << np.uint64(32) | seq[1:]
-        h = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)).astype(np.int32)
-        may = ~ends[seq[:-1].astype(np.int32)]
-        one = np.zeros(1 << HASH_BITS, np.uint64)  # a pair of each bucket
-        one[h] = key
-        hit = (one[h] == key) & may
-        count = np.bincount(h[hit], minlength=1 << HASH_BITS)
-        bar = max(least, int(np.partition(count, -most)[-most]))
-        chosen = np.flatnonzero(count >= bar)
-        chosen = chosen[np.argsort(-count[chosen], kind="stable")][:most]
-        if not len(chosen):
+        frequent = np.flatnonzero(count >= max(least, top >> span))
+        frequent = frequent[np.argsort(-count[frequent], kind="stable")][: (1 << 24) - base]
+        pairs = counted[begin[frequent]]
+        if not len(pairs):  # no symbol is left to name one
             break
-        number = np.full(1 << HASH_BITS, -1, np.int64)
-        number[chosen] = np.arange(len(chosen))
-        at = np.flatnonzero(hit & (number[h] >= 0))
-        new_run = np.r_[True, np.diff(at) > 1]
-        run = at[new_run][np.cumsum(new_run) - 1]
-        at = at[(at - run) % 2 == 0]
-        pairs = np.stack([one[chosen] >> np.uint64(32), one[chosen] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
-        ends[base : base + len(chosen)] = ends[pairs[:, 1]]
-        seq[at] = (number[h[at]] + base).astype(np.uint64)
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq = seq[keep]
-        rules.append(pairs)
-        base += len(chosen)
-    if base > 1 << 24:
-        raise ValueError("ids and rules need more than 24 bits")
-    return seq.astype(np.uint32), rules, first
+        pair = np.stack([pairs >> 24, pairs & 0xFFFFFF], 1).astype(np.uint32)
+        where = _slot(pair[:, 0], pair[:, 1], bits)
+        number, holder = np.zeros(1 << bits, np.int32), np.full(1 << bits, -1, np.int64)
+        number[where[::-1]] = np.arange(len(pairs))[::-1]  # of pairs in one slot the most frequent; others wait
+        own = number[where] == np.arange(len(pairs))
+        holder[where[own]] = pairs[own]
+        hit = np.flatnonzero((holder[slot] == key) & ~second)
+        place, r = at[hit], number[slot[hit]]
+        rank[place] = r
+        chosen = (r < rank[before[place]]) & (r < rank[after[place]])
+        rank[place] = none
+        place, r = place[chosen], r[chosen]
+        good = np.bincount(r, minlength=len(pairs)) >= least
+        chosen = good[r]
+        place, r = place[chosen], (np.cumsum(good) - 1)[r[chosen]]
+        taken = after[place]
+        seq[place] = (r + base).astype(np.uint32)
+        last[place] = last[taken]
+        last[taken] = gone[taken] = True
+        after[place] = after[taken]
+        before[after[place]] = place
+        if len(at) > n // 16:
+            again = np.zeros(n + 1, bool)
+            again[at] = again[place] = again[before[place]] = True
+            at = np.flatnonzero(again & ~last).astype(np.int32)
+        else:
+            at = np.unique(np.concatenate([at, place, before[place]]))
+            at = at[~last[at]]
+        rules.append(pair[good])
+        base += len(rules[-1])
+    if first > 1 << 24:
+        raise ValueError("ids need more than 24 bits")
+    return seq[:-1][~gone[:-1]], rules, first
 
 
 def expand(seq: np.ndarray, rules: list[np.ndarray], first: int) -> np.ndarray:
-    """Undo compress, the last level first."""
+    """Undo compress, the last round first."""
     base = first + sum(map(len, rules))
     for pairs in reversed(rules):
         base -= len(pairs)
@@ -188,23 +270,48 @@ def _lengths(rules: list[np.ndarray], first: int) -> np.ndarray:
     return size
 
 
-def to_blob(ids: np.ndarray, tokens: np.ndarray, levels: int = 3) -> bytes:
+class Expansions:
+    """All symbols' ids, side by side, to decode by one look-up. Where they would hold more than `most` ids, rounds are undone one by one."""
+
+    def __init__(self, rules: list[np.ndarray], first: int, most: int):
+        self.rules, self.first, self.ids = rules, first, None
+        size = _lengths(rules, first).astype(np.int64)
+        if size.sum() > most + first:
+            return
+        self.size, self.start = size, np.cumsum(size) - size
+        self.ids = np.empty(int(size.sum()), np.uint32)
+        self.ids[:first] = np.arange(first)
+        base = first
+        for pairs in rules:
+            flat = pairs.ravel()
+            own = self.ids[_ranges(self.start[flat], size[flat])]
+            self.ids[self.start[base] : self.start[base] + len(own)] = own
+            base += len(pairs)
+
+    def __call__(self, seq: np.ndarray) -> np.ndarray:
+        if self.ids is None:
+            return expand(seq, self.rules, self.first)
+        return self.ids[_ranges(self.start[seq], self.size[seq])]
+
+
+def to_blob(ids: np.ndarray, tokens: np.ndarray, least: int = LEAST) -> bytes:
     """A shard of documents with so many tokens each."""
-    seq, rules, first = compress(ids, levels)
+    seq, rules, first = compress(ids, least)
     size = _lengths(rules, first)
     upto = np.cumsum(size[seq].astype(np.int64))
     start = np.searchsorted(upto, np.cumsum(tokens) - tokens, "right").astype("<u4")
     flat = np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
+    width = 2 if first + len(flat) <= 1 << 16 else 3
     table = np.concatenate([flat, size[first:, None]], 1).astype("<u4")
-    head = struct.pack("<6I", len(tokens), len(seq), len(rules), len(flat), first, 0) + np.array([len(r) for r in rules], "<u4").tobytes()
-    return MAGIC + head + table.tobytes() + start.tobytes() + tokens.astype("<u8").tobytes() + seq.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+    head = struct.pack("<6I", len(tokens), len(seq), len(rules), len(flat), first, width) + np.array([len(r) for r in rules], "<u4").tobytes()
+    return MAGIC + head + table.tobytes() + start.tobytes() + tokens.astype("<u8").tobytes() + seq.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
 
 
 class Blob:
     def __init__(self, data: bytes):
         if data[:4] != MAGIC:
             raise ValueError("not a shard of this format")
-        docs, symbols, levels, rules, self.first, _ = struct.unpack_from("<6I", data, 4)
+        docs, symbols, levels, rules, self.first, width = struct.unpack_from("<6I", data, 4)
         at = 28
 
         def take(kind: str, n: int) -> np.ndarray:
@@ -218,22 +325,23 @@ class Blob:
         self.rules = np.split(table[:, :2], np.cumsum(per)[:-1]) if levels else []
         self.start, self.tokens = take("<u4", docs), take("<u8", docs).astype(np.int64)
         raw = np.zeros((symbols, 4), np.uint8)
-        raw[:, :3] = take("u1", 3 * symbols).reshape(-1, 3)
+        raw[:, :width] = take("u1", width * symbols).reshape(-1, width)
         self.seq = raw.view("<u4").ravel()
+        self.expand = Expansions(self.rules, self.first, max(1_000_000, 4 * int(self.tokens.sum())))
 
     def doc(self, i: int) -> np.ndarray:
         """The ids of one document."""
-        return expand(self.seq[self.start[i] : self.start[i + 1] if i + 1 < len(self.start) else None], self.rules, self.first)
+        return self.expand(self.seq[self.start[i] : self.start[i + 1] if i + 1 < len(self.start) else None])
 
     def all(self) -> np.ndarray:
-        return expand(self.seq, self.rules, self.first)
+        return self.expand(self.seq)
 
 
-def write(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 1_000_000) -> None:
+def write(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 1_000_000, least: int = LEAST) -> None:
     """Encode docs and write their shards to path, in ascending order of id, null first, and of text where ids are equal.
 
-    A null or empty text has the end id alone. Documents are range-partitioned and streamed in order; a shard ends with the
-    document that reaches shard_tokens, so a task holds one shard and one batch of rows. Other columns are ignored; an
+    A null or empty text has the end id alone. Documents are range-partitioned and streamed in order; a shard ends
+    about where it reaches shard_tokens, at a document's end, so a task holds one shard and one batch of rows. `least` is compress's. Other columns are ignored; an
     empty table gives an empty one. Each part is written by Spark's committer, so a lost task is just run again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,24 +349,24 @@ def write(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", te
         ids, tokens, parts, total = [], [], [], 0
 
         def shard() -> pa.RecordBatch:
-            blob = to_blob(np.concatenate(parts), np.concatenate(tokens))
+            blob = to_blob(np.concatenate(parts), np.concatenate(tokens), least)
             return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([seq], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([blob], pa.binary())], ["part", "seq", "doc_ids", "blob"])
 
         for b in batches:
-            own, text, size = b.column("doc_id").to_pylist(), [], 0
-            for i, t in enumerate(common.texts(b)):
-                text.append(t)
-                size += len(t)
-                if size >= 1_000_000 or i == b.num_rows - 1:
-                    x, n = own_encoder.encode(text)
-                    parts.append(x)
-                    tokens.append(n)
-                    ids += own[i + 1 - len(text) : i + 1]
-                    total += len(x)
-                    text, size = [], 0
-                    if total >= shard_tokens:
-                        yield shard()
-                        ids, tokens, parts, total, seq = [], [], [], 0, seq + 1
+            text, own = b.column("text"), b.column("doc_id")
+            upto = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            i = 0
+            while i < b.num_rows:
+                # Up to 2 MB of text at once, in whole rows.
+                e = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + 2_000_000, "right")))
+                x, n = own_encoder.encode(text.slice(i, e - i))
+                parts.append(x)
+                tokens.append(n)
+                ids += own.slice(i, e - i).to_pylist()
+                total, i = total + len(x), e
+                if total >= shard_tokens:
+                    yield shard()
+                    ids, tokens, parts, total, seq = [], [], [], 0, seq + 1
         if ids:
             yield shard()
 

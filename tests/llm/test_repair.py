@@ -1,8 +1,11 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pytest
 from tokenizers import Tokenizer
 
 from tessera.llm import repair
@@ -23,11 +26,74 @@ def want(texts):
 def test_ids_are_the_tokenizers():
     e = repair.Encoder(PATH, most=20)
     for texts in (ODD, ODD[::-1], ODD[3:5] + ["plain words"], []):
-        ids, n = e.encode([(t or "").encode() for t in texts])
+        ids, n = e.encode(pa.array(texts, pa.string()))
         own = np.split(ids, np.cumsum(n)[:-1]) if texts else []
         assert [x.tolist() for x in own] == want(texts)
 
 
+def test_other_tokenizers_get_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    ids, n = repair.Encoder(path).encode(pa.array(ODD, pa.string()))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [[*tok.encode(t or "", add_special_tokens=False).ids, 2] for t in ODD]
+
+
+def pair_counts(seq):
+    """Of pairs within a document, by a walk; in a run of one symbol each second pair overlaps."""
+    out, skip = Counter(), False
+    for i, (a, b) in enumerate(zip(seq, seq[1:])):
+        skip = a == b and not skip and i > 0 and seq[i - 1] == a
+        if a != 2 and not skip:
+            out[a, b] += 1
+    return out
+
+
+def naive(ids, least):
+    """Re-Pair by the book: the most frequent pair is replaced, again and again."""
+    seq, rules, new = list(ids), {}, 10_000
+    ends = {2}
+    while True:
+        count = Counter({p: n for p, n in pair_counts(seq).items() if p[0] not in ends})
+        if not count or max(count.values()) < least:
+            return seq, rules
+        pair = max(count, key=lambda p: (count[p], -p[0], -p[1]))
+        out, i = [], 0
+        while i < len(seq):
+            if i + 1 < len(seq) and (seq[i], seq[i + 1]) == pair:
+                out.append(new)
+                i += 2
+            else:
+                out.append(seq[i])
+                i += 1
+        if pair[1] in ends:
+            ends.add(new)
+        rules[new], seq, new = pair, out, new + 1
+
+
+@pytest.mark.parametrize("least", [2, 3, 8])
+def test_grammar_against_naive_re_pair(least):
+    rng = np.random.default_rng(least)
+    for kind in range(4):
+        ids = rng.zipf(1.4, 1500) % 60 + 3 if kind < 2 else np.tile(rng.integers(3, 9, 40), 40) if kind == 2 else np.full(700, 7)
+        ids[rng.integers(0, len(ids), 25)] = 2
+        ids = np.append(ids, 2).astype(np.uint32)
+        seq, rules, first = repair.compress(ids, least)
+        assert (repair.expand(seq, rules, first) == ids).all()
+        assert (repair.Expansions(rules, first, 10**7)(seq) == ids).all() and (repair.Expansions(rules, first, 0)(seq) == ids).all()
+        flat = np.concatenate([*rules, np.empty((0, 2), np.uint32)])
+        ends = {2} | {first + i for i in range(len(flat)) if repair.expand(np.array([first + i], np.uint32), rules, first)[-1] == 2}
+        left = {p: n for p, n in pair_counts(seq.tolist()).items() if p[0] not in ends}
+        assert max(left.values(), default=0) < least
+        by_book, own = naive(ids.tolist(), least)
+        assert len(seq) + 4 * len(flat) <= 1.25 * (len(by_book) + 4 * len(own)) + 20
+
+
+def test_no_symbol_spans_two_documents():
+    ids = np.array([5, 6, 2] * 50, np.uint32)
+    seq, rules, first = repair.compress(ids, 2)
+    assert len(seq) == 50 and repair.expand(seq[:1], rules, first).tolist() == [5, 6, 2]
+
+
 def test_round_trip_and_random_access():
     rng = np.random.default_rng(1)
     tokens = rng.integers(1, 300, 60)
