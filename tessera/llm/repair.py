@@ -185,39 +185,43 @@ def compress(ids: np.ndarray, least: int = LEAST, span: int = 6) -> tuple[np.nda
     at = np.flatnonzero(~last).astype(np.int32)
     while len(at):
         left, right = seq[at], seq[after[at]]
-        bits = min(20, max(8, len(at).bit_length()))
-        slot = _slot(left, right, bits)
-        # A slot's count is no less than that of any of its pairs.
-        may = np.flatnonzero((np.bincount(slot, minlength=1 << bits) >= least)[slot])
-        at, left, right, slot = at[may], left[may], right[may], slot[may]
         key = left.astype(np.int64) << 24 | right
-        second = np.zeros(len(at), bool)  # of a run of one symbol, pairs that overlap the one before
         twins = np.flatnonzero(left == right)
+        second = np.zeros(len(at), bool)  # of a run of one symbol, pairs that overlap the one before
         if len(twins):
             own, i = at[twins], np.arange(len(twins))
             begin = np.maximum.accumulate(np.where(np.r_[True, after[own[:-1]] != own[1:]], i, 0))
             second[twins[(i - begin) % 2 == 1]] = True
-            counted = np.sort(key[~second])
-        else:
-            counted = np.sort(key)
-        begin = np.flatnonzero(np.r_[True, counted[1:] != counted[:-1]]) if len(counted) else np.empty(0, np.int64)
+        counted = key[~second] if len(twins) else key.copy()
+        counted.sort()
+        begin = np.flatnonzero(counted[1:] != counted[:-1]) + 1
+        begin = np.append(0, begin)[: len(counted)]
         count = np.diff(np.append(begin, len(counted)))
         top = int(count.max(initial=0))
         if top < least:
             break
-        frequent = np.flatnonzero(count >= max(least, top >> span))
+        enough = np.flatnonzero(count >= least)
+        pairs, count = counted[begin[enough]], count[enough]
+        bits = min(18, max(8, (4 * len(pairs)).bit_length()))
+        slot = _slot(left, right, bits)
+        full = np.zeros(1 << bits, bool)
+        full[_slot((pairs >> 24).astype(np.uint32), (pairs & 0xFFFFFF).astype(np.uint32), bits)] = True
+        # Only places whose pair is frequent enough, and a few that share its slot, are looked at from now on.
+        may = np.flatnonzero(full[slot])
+        at, key, slot, second = at[may], key[may], slot[may], second[may]
+        frequent = np.flatnonzero(count >= top >> span)
         frequent = frequent[np.argsort(-count[frequent], kind="stable")][: (1 << 24) - base]
-        pairs = counted[begin[frequent]]
+        pairs = pairs[frequent]
         if not len(pairs):  # no symbol is left to name one
             break
         pair = np.stack([pairs >> 24, pairs & 0xFFFFFF], 1).astype(np.uint32)
         where = _slot(pair[:, 0], pair[:, 1], bits)
-        number, holder = np.zeros(1 << bits, np.int32), np.full(1 << bits, -1, np.int64)
+        number = np.full(1 << bits, -1, np.int32)
         number[where[::-1]] = np.arange(len(pairs))[::-1]  # of pairs in one slot the most frequent; others wait
-        own = number[where] == np.arange(len(pairs))
-        holder[where[own]] = pairs[own]
-        hit = np.flatnonzero((holder[slot] == key) & ~second)
-        place, r = at[hit], number[slot[hit]]
+        r = number[slot]
+        hit = np.flatnonzero(r >= 0)
+        hit = hit[(pairs[r[hit]] == key[hit]) & ~second[hit]]
+        place, r = at[hit], r[hit]
         rank[place] = r
         chosen = (r < rank[before[place]]) & (r < rank[after[place]])
         rank[place] = none
