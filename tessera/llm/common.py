@@ -144,3 +144,9 @@ def row_hashes(x: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each row of unsigned integers of up to 32 bits."""
     weight = np.random.default_rng(5).integers(0, 1 << 63, x.shape[1], np.uint64) | np.uint64(1)
     return mix((mix(x.astype(np.uint64) + np.arange(x.shape[1], dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)) * weight).sum(axis=1, dtype=np.uint64))
+
+
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ..., start[0] + size[0] - 1, start[1], ..."""
+    upto = np.cumsum(size, dtype=np.int64)
+    return np.repeat(start - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)

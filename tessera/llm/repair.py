@@ -39,12 +39,6 @@ LETTERS = "^[a-zß-öø-ÿ]+$"
 SPLITS = (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}])
 
 
-def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start[0], start[0] + 1, ..., start[0] + size[0] - 1, start[1], ..."""
-    upto = np.cumsum(size, dtype=np.int64)
-    return np.repeat(start - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)
-
-
 class Table:
     """Numbers of strings in order of their first look-up, and the ids of each."""
 
@@ -62,7 +56,7 @@ class Table:
     def get(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the numbered strings, one after the other, and how many each has."""
         size = self.size[numbers]
-        return self.ids[_ranges(self.start[numbers], size)], size
+        return self.ids[common.ranges(self.start[numbers], size)], size
 
 
 class Encoder:
@@ -140,7 +134,7 @@ class Encoder:
         size, start = np.diff(start), start[:-1]
         rest = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
         start[rest], size[rest] = np.arange(len(numbers) - len(rest), len(numbers)), 1
-        ids, n = self.table.get(numbers[_ranges(start, size)])
+        ids, n = self.table.get(numbers[common.ranges(start, size)])
         upto = np.append(0, np.cumsum(n))[np.append(0, np.cumsum(size))]
         # The words' ids side by side, END behind them; then all words of the texts, in order.
         ids, start, size = np.append(ids, np.uint32(END)), np.append(upto[:-1], len(ids)), np.append(np.diff(upto), 1)
@@ -148,7 +142,7 @@ class Encoder:
         ends = offsets[1:] - offsets[0]
         number = np.insert(found.indices.to_numpy().astype(np.int64), ends, len(each))
         size = size[number]
-        return ids[_ranges(start[number], size)], np.diff(np.cumsum(size)[ends + np.arange(len(ends))], prepend=0)
+        return ids[common.ranges(start[number], size)], np.diff(np.cumsum(size)[ends + np.arange(len(ends))], prepend=0)
 
 
 @lru_cache(1)
@@ -288,14 +282,14 @@ class Expansions:
         base = first
         for pairs in rules:
             flat = pairs.ravel()
-            own = self.ids[_ranges(self.start[flat], size[flat])]
+            own = self.ids[common.ranges(self.start[flat], size[flat])]
             self.ids[self.start[base] : self.start[base] + len(own)] = own
             base += len(pairs)
 
     def __call__(self, seq: np.ndarray) -> np.ndarray:
         if self.ids is None:
             return expand(seq, self.rules, self.first)
-        return self.ids[_ranges(self.start[seq], self.size[seq])]
+        return self.ids[common.ranges(self.start[seq], self.size[seq])]
 
 
 def to_blob(ids: np.ndarray, tokens: np.ndarray, least: int = LEAST) -> bytes:

@@ -1,14 +1,15 @@
 """Repeated passages by sparse suffix arrays.
 
 Of each document's suffixes those at minimiser positions are kept: a position whose k-word hash is the smallest of some
-`window` successive ones. A passage of k + window - 1 = 50 words has one, and the same one wherever it stands. A kept
-suffix is its k-word hash, the words that follow and those before it. Suffixes are sorted by hash; within a run of equal
-ones, matches are extended left and right: for every place that the passage may have around the position, the passages
-of all suffixes in the run are compared."""
+`window` successive ones. A passage of k + window - 1 = 50 words has one such position of its own, the same wherever the
+passage stands. A kept suffix carries its k-word hash and, for the match's extension left and right, a 64-bit hash of
+each passage whose position it is, over the full 64-bit hashes of all its words. Suffixes are sorted by k-word hash;
+within a run of equal ones the passages of all suffixes are compared. Each passage is sent and compared once."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -58,54 +59,70 @@ def binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * n).astype(np.int32)), pa.py_buffer(rows)])
 
 
-def _suffixes(length: int):
-    left, right = length - K, length
+def smallest(values: np.ndarray, window: int) -> np.ndarray:
+    """For each `window` successive values where the smallest stands, the leftmost if their high halves are equal."""
+    u = values >> np.uint64(32) << np.uint64(32) | np.arange(len(values), dtype=np.uint64)
+    size = 1
+    while 2 * size <= window:
+        u = np.minimum(u[:-size], u[size:])
+        size *= 2
+    if size < window:
+        u = np.minimum(u[: len(u) - (window - size)], u[window - size :])
+    return (u & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def rolling(h: np.ndarray, length: int) -> np.ndarray:
+    """A 64-bit hash of each `length` successive words' hashes."""
+    base = 0x9E3779B97F4A7C15
+    power, back = np.full(len(h), base, np.uint64), np.full(len(h) - length + 1, pow(base, -1, 1 << 64), np.uint64)
+    power[:1] = back[:1] = 1
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(common.mix(h.view(np.uint64)) * np.multiply.accumulate(power), out=sums[1:])
+    return common.mix((sums[length:] - sums[:-length]) * np.multiply.accumulate(back))
+
 
+def _suffixes(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = common.Words()
         for b in batches:
             for own, h, begin in word_groups(b, words):
-                size = np.diff(begin)
-                doc = np.repeat(np.arange(len(own)), size)
                 if len(h) < length:
                     continue
+                doc = np.repeat(np.arange(len(own)), np.diff(begin))
                 g = common.grams(h, K)
-                room = begin[1:][doc[: len(g)]] - np.arange(len(g))
-                at = minimisers(g, (room >= K) & (size[doc[: len(g)]] >= length), length - K + 1)
-                for i in range(0, len(at), 20_000):
-                    p = at[i : i + 20_000]
-                    ctx = (h.view(np.uint64) >> np.uint64(48)).astype(np.uint16)[np.clip(p[:, None] + np.arange(-left, right), 0, len(h) - 1)]
-                    p, last, ctx = _chains(p, g[p], doc[p], ctx, (p - begin[doc[p]] >= left) & (room[p] >= right), length)
-                    d = doc[p]
-                    yield pa.RecordBatch.from_arrays([pa.array(g[p].view(np.int64)), pa.array(np.array(own, np.int64)[d]), *(pa.array(x.astype(np.int32)) for x in (p - begin[d], last - begin[d], size[d])), binary(ctx)], ["key", "doc_id", "pos", "last", "n", "ctx"])
+                i = np.arange(len(h) - length + 1)
+                i = i[i + length <= begin[1:][doc[: len(i)]]]  # passages within one document
+                if not len(i):
+                    continue
+                at, passage = smallest(g, length - K + 1)[i], rolling(h, length)[i]
+                first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                size = np.diff(np.append(first, len(i)))
+                key, d, first, last, size, passage = _chains(g[at[first]], doc[i[first]], i[first], size, passage, length)
+                upto = np.append(0, np.cumsum(size))
+                ids = np.array(own, np.int64)
+                for k in range(0, len(key), 20_000):
+                    s = slice(k, k + 20_000)
+                    offsets = upto[k : k + 20_001]
+                    flat = passage[offsets[0] : offsets[-1]]
+                    data = pa.Array.from_buffers(pa.binary(), len(key[s]), [None, pa.py_buffer(((offsets - offsets[0]) * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
+                    start, end = ((x[s] - begin[d[s]]).astype(np.int32) for x in (first, last))
+                    yield pa.RecordBatch.from_arrays([pa.array(key[s].view(np.int64)), pa.array(ids[d[s]]), pa.array(start), pa.array(end), data], ["key", "doc_id", "first", "last", "passages"])
 
     return run
 
 
-def _chains(p: np.ndarray, key: np.ndarray, doc: np.ndarray, ctx: np.ndarray, whole: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first position, last position, words around) of chains: positions of one document whose suffixes and contexts are
-    equal, each at most `length` after the one before. Their passages are the same and join, so periodic text makes one row."""
-    seen = common.mix(common.row_hashes(ctx) ^ key)
-    order = np.lexsort((p, seen, doc))
-    p, seen, doc, whole = p[order], seen[order], doc[order], whole[order]
-    new = np.ones(len(p), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (seen[1:] != seen[:-1]) | (np.diff(p) > length) | ~whole[1:] | ~whole[:-1]
+def _chains(key: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray, passage: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(key, document, first start, last start, number of passages, passages) of chains: suffixes of one document with the
+    same passages, each at most `length` after the one before. Equal passages of a chain join, so periodic text makes one row."""
+    begin = np.cumsum(size) - size
+    within = np.arange(len(passage)) - np.repeat(begin, size)
+    seen = common.mix(np.add.reduceat(common.mix(passage + within.astype(np.uint64)), begin) ^ key)
+    order = np.lexsort((start, seen, doc))
+    p, s, d = start[order], seen[order], doc[order]
+    new = np.r_[True, (d[1:] != d[:-1]) | (s[1:] != s[:-1]) | (np.diff(p) > length)]
     first = np.flatnonzero(new)
-    return p[first], p[np.append(first[1:], len(p)) - 1] if len(p) else p, ctx[order[first]]
-
-
-def _passages(key: np.ndarray, pos: np.ndarray, n: np.ndarray, ctx: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, words before the position, hash) of every passage around the rows' positions."""
-    rng = np.random.default_rng(5)
-    table, weight = rng.integers(0, 1 << 63, 1 << 16, np.uint64), rng.integers(0, 1 << 63, ctx.shape[1], np.uint64) | np.uint64(1)
-    sums = np.zeros((len(key), ctx.shape[1] + 1), np.uint64)
-    np.cumsum(table[ctx] * weight, axis=1, out=sums[:, 1:])
-    left = length - K
-    o = np.arange(left + 1)
-    h = sums[:, left - o + length] - sums[:, left - o]
-    h = common.mix(h ^ common.mix(key.view(np.uint64)[:, None] + o.astype(np.uint64)))
-    row, at = np.nonzero((o <= pos[:, None]) & (pos[:, None] - o + length <= n[:, None]))
-    return row, at, h[row, at]
+    lead, last = order[first], p[np.append(first[1:], len(p)) - 1]
+    return key[lead], doc[lead], start[lead], last, size[lead], passage[common.ranges(begin[lead], size[lead])]
 
 
 def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray, source: np.ndarray) -> pa.RecordBatch:
@@ -121,71 +138,93 @@ def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray, source: np.ndarr
     return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(start[first].astype(np.int64)), pa.array(high.astype(np.int64)), pa.array(low), pa.nulls(len(first), pa.int64())], ["doc_id", "start", "end", "source", "hash"])
 
 
+class Rows(NamedTuple):
+    key: np.ndarray
+    doc: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    upto: np.ndarray  # where each row's passages begin, and the last one's end
+    passage: np.ndarray
+
+    @staticmethod
+    def of(b: pa.RecordBatch) -> Rows:
+        data = b.column("passages").cast(pa.binary())
+        upto = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64) // 8
+        flat = np.frombuffer(data.buffers()[2] or b"", np.uint64, int(upto[-1])) if upto[-1] else np.empty(0, np.uint64)
+        return Rows(*(b.column(c).to_numpy() for c in ("key", "doc_id", "first", "last")), upto - upto[0], flat[upto[0] :])
+
+    @staticmethod
+    def joined(parts: list[Rows]) -> Rows:
+        if len(parts) == 1:
+            return parts[0]
+        size = np.concatenate([np.diff(x.upto) for x in parts])
+        return Rows(*(np.concatenate([x[i] for x in parts]) for i in range(4)), np.append(0, np.cumsum(size)), np.concatenate([x.passage for x in parts]))
+
+    def cut(self, a: int, e: int) -> Rows:
+        u = self.upto[a : e + 1]
+        return Rows(*(x[a:e] for x in self[:4]), u - u[0], self.passage[u[0] : u[-1]])
+
+    def spread(self, length: int) -> tuple[np.ndarray, ...]:
+        """(document, start, end, hash) of each passage."""
+        size = np.diff(self.upto)
+        row = np.repeat(np.arange(len(size)), size)
+        o = np.arange(len(row)) - self.upto[row]
+        return self.doc[row], self.first[row] + o, self.last[row] + o + length, self.passage
+
+
 def _neighbours(length: int, most: int):
     """Suffixes in order of key to spans (doc_id, start, end, source, null); of runs over `most`, all passages with their hash."""
 
-    def resolved(key, doc, pos, last, n, ctx) -> pa.RecordBatch | None:
-        same = np.zeros(len(key), bool)
-        eq = key[1:] == key[:-1]
-        same[1:] |= eq
-        same[:-1] |= eq
-        key, doc, pos, last, n, ctx = (x[same] for x in (key, doc, pos, last, n, ctx))
-        if not len(key):
+    def resolved(x: Rows) -> pa.RecordBatch | None:
+        eq = x.key[1:] == x.key[:-1]
+        same = np.flatnonzero(np.r_[False, eq] | np.r_[eq, False])
+        size = np.diff(x.upto)[same]
+        x = Rows(*(c[same] for c in x[:4]), np.append(0, np.cumsum(size)), x.passage[common.ranges(x.upto[same], size)])
+        doc, start, end, h = x.spread(length)
+        if not len(h):
             return None
-        row, o, h = _passages(key, pos, n, ctx, length)
         order = np.argsort(h)
-        row, o, h = row[order], o[order], h[order]
-        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
-        if not len(first):
-            return None
-        low, high = np.minimum.reduceat(doc[row], first), np.maximum.reduceat(doc[row], first)
+        doc, start, end, h = doc[order], start[order], end[order], h[order]
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        low, high = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
         size = np.diff(np.append(first, len(h)))
         hit = np.repeat(low < high, size)
-        row, o = row[hit], o[hit]
-        return _spans(doc[row], pos[row] - o, last[row] - o + length, np.repeat(low, size)[hit])
+        return _spans(doc[hit], start[hit], end[hit], np.repeat(low, size)[hit])
 
-    def raw(key, doc, pos, last, n, ctx) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(key), 10_000):
-            s = slice(i, i + 10_000)
-            row, o, h = _passages(key[s], pos[s], n[s], ctx[s], length)
-            start, end = ((x[s][row] - o).astype(np.int64) for x in (pos, last + length))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[s][row]), pa.array(start), pa.array(end), pa.nulls(len(row), pa.int64()), pa.array(h.view(np.int64))], ["doc_id", "start", "end", "source", "hash"])
+    def raw(x: Rows) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(x.key), 10_000):
+            doc, start, end, h = x.cut(i, min(i + 10_000, len(x.key))).spread(length)
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start.astype(np.int64)), pa.array(end.astype(np.int64)), pa.nulls(len(h), pa.int64()), pa.array(h.view(np.int64))], ["doc_id", "start", "end", "source", "hash"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[Rows] = []
         count, over = 0, None
-
-        def joined() -> tuple:
-            return tuple(np.concatenate(x) for x in zip(*held, strict=True))
-
         for b in batches:
             if not b.num_rows:
                 continue
-            ctx = b.column("ctx").cast(pa.binary())
-            data = np.frombuffer(ctx.buffers()[2], np.uint8)[ctx.offset * 2 * (2 * length - K) :][: b.num_rows * 2 * (2 * length - K)]
-            own = (*(b.column(c).to_numpy() for c in ("key", "doc_id", "pos", "last", "n")), data.view(np.uint16).reshape(b.num_rows, -1))
+            own = Rows.of(b)
             if over is not None:
-                cut = int(np.searchsorted(own[0], over, "right"))
-                yield from raw(*(x[:cut] for x in own))
-                own = tuple(x[cut:] for x in own)
-                if not len(own[0]):
+                cut = int(np.searchsorted(own.key, over, "right"))
+                yield from raw(own.cut(0, cut))
+                own = own.cut(cut, len(own.key))
+                if not len(own.key):
                     continue
                 over = None
             held.append(own)
-            count += len(own[0])
+            count += len(own.key)
             if count >= 30_000:
-                rows = joined()
-                cut = int(np.searchsorted(rows[0], rows[0][-1]))
-                if cut and (x := resolved(*(x[:cut] for x in rows))):
+                rows = Rows.joined(held)
+                cut = int(np.searchsorted(rows.key, rows.key[-1]))
+                if cut and (x := resolved(rows.cut(0, cut))):
                     yield x
-                rest = tuple(x[cut:].copy() for x in rows)
-                if len(rest[0]) > most:
-                    over = rest[0][0]
-                    yield from raw(*rest)
+                rest = rows.cut(cut, len(rows.key))
+                if len(rest.key) > most:
+                    over = rest.key[0]
+                    yield from raw(rest)
                     held, count = [], 0
                 else:
-                    held, count = [rest], len(rest[0])
-        if held and (x := resolved(*joined())):
+                    held, count = [Rows(*(c.copy() for c in rest))], len(rest.key)
+        if held and (x := resolved(Rows.joined(held))):
             yield x
 
     return run
@@ -234,10 +273,11 @@ def repeated_passages(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
     later_words: how many words these are; source: the smallest doc_id that shares one. A passage that only its own document repeats
     doesn't count. Null, empty and shorter texts have none. Rows of one doc_id are one document; null ids are left out,
     as nothing can name them. Other columns are ignored; an empty table gives an empty one.
-    Documents send one row per 21 words or so. A task compares runs of at most `run` suffixes of one hash; the passages
+    Passages are equal if 64-bit hashes of their words' hashes are: two different ones are taken for equal with a chance of
+    one in 2^64 a pair. Documents send one row per 21 words or so, with 8 bytes a word. A task compares runs of at most `run` suffixes of one hash; the passages
     of longer runs are counted by a grouped aggregation, so a passage that a third of all documents share fits too."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    kept = rows.mapInArrow(_suffixes(length), "key long, doc_id long, pos int, last int, n int, ctx binary")
+    kept = rows.mapInArrow(_suffixes(length), "key long, doc_id long, first int, last int, passages binary")
     found = kept.repartition("key").sortWithinPartitions("key").mapInArrow(_neighbours(length, run), "doc_id long, start long, end long, source long, hash long")
     found = common.stash(found).df
     spans = found.where("hash is null").drop("hash")

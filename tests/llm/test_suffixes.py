@@ -1,7 +1,9 @@
 import random
 from collections import defaultdict
 
-from tessera.llm import suffixes
+import numpy as np
+
+from tessera.llm import common, suffixes
 from tests.llm import data
 
 
@@ -56,6 +58,16 @@ def test_against_brute_force(spark):
             assert r.repeated_words == sum(int(b) - int(a) for a, b in (x.split(":") for x in r.repeated.split(",")))
 
 
+def test_words_that_agree_in_16_bits_differ(spark):
+    hashes = common.Words().hashes([b"id163", b"id172"]).view(np.uint64) >> np.uint64(48)
+    assert hashes[0] == hashes[1]
+    rng, texts = random.Random(3), []
+    for _ in range(10):
+        rest = data.words(rng, 49)
+        texts += [" ".join([w, *rest]) for w in ("id163", "id172")] + [" ".join([*rest, w]) for w in ("id163", "id172")]
+    assert suffixes.repeated_passages(data.frame(spark, texts)).count() == 0
+
+
 def test_cut_leaves_one_copy(spark):
     texts = corpus()
     docs = data.frame(spark, texts)
@@ -66,6 +78,14 @@ def test_cut_leaves_one_copy(spark):
     assert {r.doc_id: r.text for r in left.collect()}[0] == texts[0]
 
 
+def test_cut_odd_cases(spark):
+    docs = data.odd(spark)
+    left = suffixes.cut(docs, suffixes.repeated_passages(docs))
+    assert left.columns == docs.columns and left.count() == docs.count()
+    assert [r.text for r in left.where("doc_id = 7").collect()] == [""]
+    assert suffixes.cut(data.empty(spark), suffixes.repeated_passages(docs)).count() == 0
+
+
 def test_odd_cases(spark):
     got = {r.doc_id: r for r in suffixes.repeated_passages(data.odd(spark)).collect()}
     assert set(got) == {4, 7} and got[7].later == "0:30000" and got[4].later == ""
