@@ -72,8 +72,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, min_literal
     at = common.small(hits.select("doc_id").distinct())
     texts = own.join(at, "doc_id", "left_semi").select("doc_id", F.split(marked(F.col("text")), " ").alias("d"))
     slots = wins.join(items.select("item_id", F.split("i_marked", " ").alias("i")), "item_id").select("item_id", "n", "ipos", "hash", F.expr("slice(i, ipos + 1, n)").alias("i"))
-    found = hits.join(common.small(slots), ["hash", "n"]).join(texts, "doc_id")
-    pairs = F.expr("filter(zip_with(i, slice(d, dpos + 1, n), (a, b) -> struct(a, b)), x -> x.a rlike '^[123]_')")
+    # A document's hits meet its text in one row, which gives each its own words only.
+    per_doc = hits.groupBy("doc_id").agg(F.collect_list(F.struct("n", "dpos", "hash")).alias("hits"))
+    cut = F.expr("transform(hits, x -> struct(x.n as n, x.dpos as dpos, x.hash as hash, slice(d, x.dpos + 1, x.n) as d))")
+    own_words = per_doc.join(texts, "doc_id").select("doc_id", F.explode(cut).alias("x")).select("doc_id", "x.*")
+    found = own_words.join(common.small(slots), ["hash", "n"])
+    pairs = F.expr("filter(zip_with(i, d, (a, b) -> struct(a, b)), x -> x.a rlike '^[123]_')")
     found = found.select("doc_id", "item_id", "n", "ipos", (F.col("dpos") - F.col("ipos")).alias("diag"), F.col("dpos"), pairs.alias("pairs"))
     found = common.stash(found).df
     line = ["doc_id", "item_id", "n", "diag"]

@@ -45,7 +45,7 @@ def pack(docs: DataFrame, capacity: int = 8192, shard_rows: int = 8192, id_col:
 
     Lengths are those of length_col, else UTF-8 bytes (the tokens of a byte-level model). A document longer than the
     capacity is cut into pieces of it and a rest. No bin holds two pieces of one source or of one cluster (cluster_col,
-    else equal texts), nor more than the capacity. Pieces are dealt at random to shards of about shard_rows, which are
+    else equal texts), nor more than the capacity. Pieces are dealt by hash of id and number to shards of about shard_rows, which are
     packed apart, so no task holds more, whatever a source or cluster has; each shard leaves at most its last bins
     looser than one packing of everything would.
     A null or empty text is one piece of length 0 without a cluster; a null source doesn't conflict; null and repeated
@@ -56,9 +56,11 @@ def pack(docs: DataFrame, capacity: int = 8192, shard_rows: int = 8192, id_col:
     count = F.greatest(F.ceil(F.col("n") / capacity), F.lit(1)).cast("long")
     total = own.agg(F.sum(count)).first()[0] or 0
     shards = max(1, -(-total // shard_rows))
+    # By hash, so that input splits don't matter; rows without an id by chance, as all of them may be the same.
+    shard = F.when(F.col("doc_id").isNull(), F.floor(F.rand(7) * shards).cast("long")).otherwise(F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
     pieces = own.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), count - 1))).select(
         "doc_id", "piece", (F.col("piece") * capacity).alias("start"), F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("piece") * capacity).alias("length"),
-        F.when(F.col("has"), F.col("h")).alias("source"), F.when(F.col("dup"), F.col("c")).alias("cluster"), F.floor(F.rand(7) * shards).cast("long").alias("shard"))
+        F.when(F.col("has"), F.col("h")).alias("source"), F.when(F.col("dup"), F.col("c")).alias("cluster"), shard.alias("shard"))
 
     def run(t: pa.Table) -> pa.Table:
         def numbers(name: str) -> list[int]:
@@ -71,3 +73,21 @@ def pack(docs: DataFrame, capacity: int = 8192, shard_rows: int = 8192, id_col:
         return t.select(["doc_id", "piece", "start", "length"]).append_column("bin", pa.array(np.array(bins, np.int64) + base)).append_column("offset", pa.array(np.array(offsets, np.int64)))
 
     return pieces.groupBy("shard").applyInArrow(run, SCHEMA)
+
+
+def sequences(docs: DataFrame, placed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The packed sequences of pack() by bytes: (bin, data, pieces), data being the bytes of the bin's pieces in order.
+
+    doc_id must tell rows apart; rows without one are left out, as are pieces of length 0. A bin has its capacity at most,
+    so no task holds a large group. An empty table gives an empty one."""
+    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("data"))
+    piece = F.expr("substring(data, cast(start + 1 as int), cast(length as int))").alias("data")
+    parts = placed.where("length > 0").join(own, "doc_id").select("bin", "offset", "doc_id", piece)
+    in_order = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "data"))).alias("x")
+    return parts.groupBy("bin").agg(in_order).select("bin", F.expr("aggregate(x, cast('' as binary), (a, y) -> concat(a, y.data))").alias("data"), F.col("x.doc_id").alias("pieces"))
+
+
+def fill(placed: DataFrame, capacity: int = 8192) -> DataFrame:
+    """(bins, filled): how many bins there are, and the share of their room that pieces take."""
+    n = F.count_distinct("bin")
+    return placed.agg(n.alias("bins"), (F.sum("length") / (n * capacity)).alias("filled"))

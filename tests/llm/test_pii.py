@@ -83,3 +83,10 @@ def test_odd_cases(spark):
 def test_no_python_in_the_plan(spark):
     plan = pii.digest(pii.find(data.odd(spark)))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_many_matches_in_one_text(spark):
+    n = 30_000
+    text = " ".join(f"user{i}@example.org" for i in range(n))
+    r = pii.find(data.frame(spark, [text])).first()
+    assert len(r.found) == n and all(text[x.start : x.end] == x.value for x in r.found)

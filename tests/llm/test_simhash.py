@@ -96,3 +96,57 @@ def test_odd_cases(spark):
     assert simhash.dedup(docs).columns == docs.columns
     assert sorted(r.doc_id for r in simhash.dedup(docs).where("doc_id is not null").collect()) == [1, 4, 5]
     assert simhash.near_duplicates(data.empty(spark)).count() == 0 == simhash.dedup(data.empty(spark)).count()
+
+
+def shingles(w):
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_dedup_against_brute_force(spark):
+    rng = random.Random(12)
+    texts = []
+    for _ in range(60):
+        base = data.words(rng, rng.randrange(30, 300))
+        texts.append(base)
+        for _ in range(rng.randrange(4)):
+            own = list(base)
+            for _ in range(rng.randrange(0, max(2, len(base) // 40))):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+            texts.append(own)
+    root, links = list(range(len(texts))), []
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    sets = [shingles(t) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                links.append((j, i))
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    want = {i for i in range(len(texts)) if find(i) == i}
+    docs = data.frame(spark, [" ".join(t) for t in texts])
+    for block, size in ((20_000, 1 << 26), (2, 1 << 26), (20_000, 3000)):
+        kept = {r.doc_id for r in simhash.dedup(docs, block=block, size=size).collect()}
+        assert want <= kept and len(kept - want) <= 0.1 * len(set(range(len(texts))) - want), kept - want
+
+
+def test_dedup_keeps_one_row_of_each_text(spark):
+    docs = spark.createDataFrame([
+        (1, "a b c d e f", "x"), (1, "another text of some words", "x"), (1, "A  b c d e f", "y"), (None, "a b c d e f", "x"), (None, "none other has this one", "x"),
+        (7, "the same row here again", "p"), (7, "the same row here again", "q"), (8, "", "x"), (9, None, "x"), (None, " ", "x"),
+    ], "doc_id long, text string, out_id string")
+    got = simhash.dedup(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, (r.text or "").lower().split()) for r in got.collect()) == sorted([
+        (1, "a b c d e f".split()), (1, "another text of some words".split()), (0, "none other has this one".split()), (7, "the same row here again".split()), (8, [])])
+
+
+def test_dedup_odd_cases(spark):
+    docs = data.odd(spark)
+    got = simhash.dedup(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, len(r.text or "")) for r in got.collect()) == [(0, 24), (1, 0), (4, got.where("doc_id = 4").first().n_chars), (5, 5)]
+    assert simhash.dedup(data.empty(spark)).count() == 0
