@@ -12,18 +12,22 @@ from tessera.llm import common, decontaminate, langid, packing, pii, simhash
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified, with that language. A rejected doc_id goes with all its rows; rows
-    without an id are judged with the others but can't be named, so they go."""
-    model = langid.train(docs)
-    found = langid.identify(docs, model, declared=F.col("lang"), host=F.col("source")).where("kept and doc_id is not null")
-    own, lang = common.fresh(docs, "own_id", "own_lang")
-    found = found.groupBy("doc_id").agg(F.max(F.struct("prob", "lang")).alias("f")).select(F.col("doc_id").alias(own), F.col("f.lang").alias(lang))
-    joined = docs.join(found, F.col("doc_id") == F.col(own))
-    return joined.withColumn("lang", F.col(lang)).select(*docs.columns)
+    """Documents whose language is identified, with that language; each row is judged by itself, with or without an id.
+
+    A verdict is told by a 64-bit hash of the row's id, text, language and source. Only verdicts that change a row are
+    joined back, so texts move only if these are too many for a broadcast."""
+    row, name, gone = common.fresh(docs, "row", "own_lang", "gone")
+    told = F.xxhash64("doc_id", "text", "lang", "source")
+    found = langid.identify(docs.withColumn(row, told), langid.train(docs), id_col=row, declared=F.col("lang"), host=F.col("source"))
+    found = found.select(F.col("doc_id").alias(row), F.col("lang").alias(name), (~F.col("kept")).alias(gone)).dropDuplicates([row])
+    before = docs.select(told.alias(row), "lang").dropDuplicates([row])
+    changed = found.join(before, row).where(F.col(gone) | ~F.col(name).eqNullSafe(F.col("lang"))).select(row, name, gone)
+    out = docs.withColumn(row, told).join(common.small(common.stash(changed).df), row, "left").where(F.coalesce(~F.col(gone), F.lit(True)))
+    return out.withColumn("lang", F.coalesce(name, "lang")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints, that with the smallest id."""
+    """One document of each group of texts with similar sets of five-word shingles (0.8 or more), that with the smallest id."""
     return simhash.dedup(docs)
 
 
