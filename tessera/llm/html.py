@@ -8,6 +8,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -17,15 +18,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea)(?=[\s/>]|\Z).*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
-#: Elements whose content is no text of the page, with their end tags; where there is none, only the tag is skipped.
-HIDDEN = {x: re.compile(rf"</{x}(?:\s[^>]*)?>", re.I) for x in ("template", "svg", "iframe", "select")}
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|data-y)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+#: A tag's name ends at white space, a slash or the tag's end.
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: From a place within a tag: what separates attributes, a name, and an equals sign if a value follows.
+KEY = re.compile(r"[\s/]*+([^\s/>=]?[^\s/>=]*+)(\s*+=\s*+)?")
+BARE = re.compile(r"[^\s>]*+")
+#: Elements whose content is no text of the page, with their end tags. Where there is none, the first two run to the end of
+#: the page, as in browsers; of the others only the tag is skipped, so that no text is lost.
+RAW = ("script", "style")
+HIDDEN = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*>", re.I) for x in (*RAW, "textarea", "template", "svg", "iframe", "select")}
+NAMED = frozenset(("class", "id", "role"))
 WORD = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn del em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: An end tag of an inline element, p or li doesn't reach out of these.
+BARRIER = frozenset("article main body table".split())
 
 
 class Block(NamedTuple):
@@ -35,53 +44,124 @@ class Block(NamedTuple):
     label: bool
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's leaf blocks in order: runs of text that no block element's tag cuts. White space is collapsed, character references are decoded."""
+class Scanner:
+    """Tags of a page, in one pass. What is searched for in vain is never searched for again, so time is linear in the page."""
+
+    def __init__(self, page: str):
+        self.page, self.missing = page, set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.missing:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def attributes(self, at: int) -> tuple[int, list[tuple[str, str]], bool]:
+        """(where the tag that is open at `at` ends, its attributes, whether a slash closes it). A quote without its fellow is a sign like others."""
+        page, out, n = self.page, [], len(self.page)
+        while at < n and page[at] != ">":
+            m = KEY.match(page, at)
+            key, value, at = m[1], "", m.end()
+            if m[2] and at < n:
+                if page[at] in "\"'" and (end := self.find(page[at], at + 1)) >= 0:
+                    value, at = page[at + 1 : end], end + 1
+                else:
+                    v = BARE.match(page, at)
+                    value, at = v[0], v.end()
+            if key:
+                out.append((key.lower(), value))
+            elif m.end() == m.start():  # nothing of a tag, such as an equals sign
+                at += 1
+        return min(at + 1, n), out, page[at - 1] == "/"
+
+    def hidden(self, name: str, at: int) -> int:
+        """Where the end tag of this element ends, or -1."""
+        if name in self.missing:
+            return -1
+        m = HIDDEN[name].search(self.page, at)
+        if not m:
+            self.missing.add(name)
+        return m.end() if m else -1
+
+
+def blocks(page: str, known: frozenset[str] | dict | None = None) -> list[Block]:
+    """The page's leaf blocks: text between the tags of elements that aren't inline, character references decoded and
+    white space (also the non-breaking kind) as one space. Features of ancestors are only those in `known`, if given."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...], bool]] = []
+    where: dict[str, list[int]] = defaultdict(list)  # of each element's name the places in the stack
+    solid: list[int] = []  # places of elements neither inline nor p
+    barriers: list[int] = []
+    path: dict[str, int] = {}  # features of the stack and how often they occur
+    marked = at = linked = 0
     text: list[str] = []
-    linked = at = 0
-    open_ended: set[str] = set()  # names of HIDDEN with no end tag further on
+    scan, n = Scanner(page), len(page)
 
     def flush() -> None:
         nonlocal linked
         if text:
             t = " ".join(html.unescape("".join(text)).split())
             if t:
-                path = tuple(dict.fromkeys(f for x in stack for f in x[1]))
-                out.append(Block(t, path, min(1.0, linked / max(1, sum(map(len, text)))), any(x[2] for x in stack)))
+                out.append(Block(t, tuple(path), min(1.0, linked / max(1, sum(map(len, text)))), marked > 0))
             text.clear()
         linked = 0
 
     def leave(depth: int) -> None:
+        nonlocal marked
         if any(x[0] not in INLINE for x in stack[depth:]):
             flush()
-        del stack[depth:]
-
-    while m := MARKUP.search(page, at):
-        if m.start() > at:
-            t = page[at : m.start()]
-            text.append(t)
-            if any(x[0] == "a" for x in stack):
-                linked += len(t)
-        at = m.end()
-        name = (m[3] or "").lower()
-        if not name:
+        while len(stack) > depth:
+            name, own, label = stack.pop()
+            where[name].pop()
+            marked -= label
+            for places in (solid, barriers):
+                if places and places[-1] == len(stack):
+                    places.pop()
+            for f in own:
+                path[f] -= 1
+                if not path[f]:
+                    del path[f]
+
+    def add(t: str) -> None:
+        nonlocal linked
+        text.append(t)
+        if where["a"]:
+            linked += len(t)
+
+    while at < n:
+        begin = page.find("<", at)
+        if begin < 0:
+            begin = n
+        if begin > at:
+            add(page[at:begin])
+        if begin >= n - 1:
+            if begin < n:
+                add("<")
+            break
+        ch = page[begin + 1]
+        if ch in "!?":
+            comment = page.startswith("<!--", begin)
+            end = scan.find("-->" if comment else ">", begin + 2)
+            at = n if end < 0 else end + (3 if comment else 1)
             continue
-        if name in HIDDEN and not m[2]:
-            if name not in open_ended and not (name == "svg" and m[4].rstrip().endswith("/")):
-                if end := HIDDEN[name].search(page, at):
-                    at = end.end()
-                else:
-                    open_ended.add(name)
+        closing = ch == "/"
+        m = NAME.match(page, begin + 1 + closing)
+        if not m:
+            add("<")
+            at = begin + 1
             continue
-        if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    leave(i)
-                    break
-                if stack[i][0] in ("article", "main", "body", "table") and name in INLINE | {"p", "li"}:
-                    break
+        name = m[0].lower()
+        at, attributes, closed = scan.attributes(m.end())
+        if closing:
+            if where[name] and not (name in INLINE or name in ("p", "li")) or where[name] and (not barriers or barriers[-1] < where[name][-1]):
+                leave(where[name][-1])
+            continue
+        if name in HIDDEN:
+            if not (name == "svg" and closed):
+                end = scan.hidden(name, at)
+                at = end if end >= 0 else n if name in RAW else at
             continue
         if name == "br":
             text.append(" ")
@@ -89,35 +169,39 @@ def blocks(page: str) -> list[Block]:
         if name not in INLINE:
             flush()
             ends = {"p"} if name in CLOSES_P else SIBLING.get(name, ())
-            if ends:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in ends:
-                        leave(i)
-                        break
-                    if stack[i][0] not in INLINE and stack[i][0] != "p":
-                        break
-        if name in VOID or m[4].rstrip().endswith("/"):
+            last = max((where[e][-1] for e in ends if where[e]), default=-1)
+            if last >= 0 and (not solid or solid[-1] <= last):
+                leave(last)
+        if name in VOID or closed:
             continue
-        features, label = [f"tag:{name}"], False
-        if m[4] and "=" in m[4]:
-            for key, value in ATTRIBUTE.findall(m[4]):
-                if key.lower() == "data-y":
-                    label = True
-                else:
-                    features += [f"name:{w}" for w in WORD.findall(value.lower())]
-        stack.append((name, tuple(features), label))
-    if at < len(page):
-        text.append(page[at:])
+        own, label = {f"tag:{name}"}, False
+        for key, value in attributes:
+            if key == "data-y":
+                label = True
+            elif key in NAMED:
+                own |= {f"name:{w}" for w in WORD.findall(value.lower())}
+        kept = tuple(f for f in sorted(own) if known is None or f in known)
+        where[name].append(len(stack))
+        if name not in INLINE and name != "p":
+            solid.append(len(stack))
+        if name in BARRIER:
+            barriers.append(len(stack))
+        stack.append((name, kept, label))
+        marked += label
+        for f in kept:
+            path[f] = path.get(f, 0) + 1
     flush()
     return out
 
 
 def features(all_blocks: list[Block]) -> list[list[str]]:
+    """Names of a block's features: its ancestors', and of its text the length, stops and links, its place and its neighbours' length."""
     out = []
+    sizes = [0, *(min(len(b.text), 2000).bit_length() // 2 for b in all_blocks), 0]
     for i, b in enumerate(all_blocks):
         n = len(b.text)
         stops = sum(map(b.text.count, ".!?,;:"))
-        out.append(["bias", *b.path, f"size:{min(n, 2000).bit_length()}", f"linked:{int(b.linked * 4)}", f"stops:{min(stops, 8)}", "first" if i == 0 else "later", *(["copyright"] if "©" in b.text else [])])
+        out.append(["bias", *b.path, f"size:{min(n, 2000).bit_length()}", f"linked:{int(b.linked * 4)}", f"stops:{min(stops, 8)}", "first" if i == 0 else "later", f"before:{sizes[i]}", f"after:{sizes[i + 2]}", *(["copyright"] if "©" in b.text else [])])
     return out
 
 
@@ -127,17 +211,19 @@ class Field(NamedTuple):
     move: np.ndarray  # label x label
 
 
-def train(pages: list[str], rounds: int = 150, rate: float = 0.1, decay: float = 1e-3) -> Field:
-    """Maximum likelihood by Adam over all pages; a block is labelled main text if an ancestor has data-y."""
+def train(pages: list[str], rounds: int = 120, rate: float = 0.1, decay: float = 1e-3, least: int = 4) -> Field:
+    """Maximum likelihood by Adam over all pages; a block is labelled main text if an ancestor has data-y.
+    A feature of fewer than `least` pages, such as a name of one page's own, says nothing."""
     seen = [b for b in map(blocks, pages) if b]
     names = [features(b) for b in seen]
-    index = {f: i for i, f in enumerate(sorted({f for page in names for block in page for f in block}))}
+    pages_of = Counter(f for page in names for f in {f for block in page for f in block})
+    index = {f: i for i, f in enumerate(sorted(f for f, k in pages_of.items() if k >= least))}
     t = max(map(len, seen))
     x, y, on = np.zeros((len(seen), t, len(index)), np.float32), np.zeros((len(seen), t), int), np.zeros((len(seen), t), bool)
     for p, (own, b) in enumerate(zip(names, seen, strict=True)):
         on[p, : len(b)] = True
         for i, block in enumerate(own):
-            x[p, i, [index[f] for f in block]] = 1
+            x[p, i, [index[f] for f in block if f in index]] = 1
             y[p, i] = b[i].label
     w, a = np.zeros((len(index), 2)), np.zeros((2, 2))
     state = [[np.zeros_like(v), np.zeros_like(v)] for v in (w, a)]
@@ -184,7 +270,7 @@ def decode(field: Field, all_blocks: list[Block]) -> list[bool]:
     return out[::-1]
 
 
-def labelled_pages(n: int = 240, seed: int = 11) -> list[str]:
+def labelled_pages(n: int = 300, seed: int = 11) -> list[str]:
     """Pages of made-up words in varied layouts, the main text's container marked with data-y."""
     rng = random.Random(seed)
     syllables = "ba ce di fo gu la me ni or pu ra se ti vo za al en is ot um".split()
@@ -197,8 +283,10 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[str]:
         return "<ul>" + "".join(f'<li><a href="/{word()}">{phrase(1, 3)}</a></li>' for _ in range(rng.randint(2, k))) + "</ul>"
 
     def named(tags: str, names: str, inner: str) -> str:
-        tag = pick(tags.split())
-        attr = "" if tag not in ("div", "section", "ul") and rng.random() < 0.6 else f' {pick(("class", "id"))}="{pick(names.split())}"'
+        """Names that tell the role, now and then made-up ones or none."""
+        tag, kind = pick(tags.split()), rng.random()
+        telling = tag not in ("div", "section", "ul")
+        attr = "" if telling and kind < 0.5 or kind < 0.04 else f' {pick(("class", "id"))}="{phrase(1, 2) if kind > 0.85 else pick(names.split())}"'
         return f"<{tag}{attr}>{inner}</{tag}>"
 
     def around() -> list:
@@ -241,10 +329,11 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[str]:
     for _ in range(n):
         kinds = around()
         pre = [f() for f in rng.sample([*kinds[:6], kinds[7]], rng.randint(0, 4))]
-        post = [f() for f in rng.sample(kinds[2:], rng.randint(1, 5))]
-        main = f'<{pick(("article", "article", "main", "div", "section"))}'
-        tag = main[1:]
-        main += "" if tag in ("article", "main") and rng.random() < 0.6 else f' {pick(("class", "id"))}="{pick("content main-content post article entry-content post-content story article-body main text".split())}"'
+        post = [f() for f in rng.sample(kinds[2:], rng.randint(0, 5))]
+        tag, kind = pick(("article", "article", "main", "div", "div", "section")), rng.random()
+        told = pick("content main-content post article entry-content post-content story article-body main text".split())
+        attr = "" if tag in ("article", "main") and kind < 0.6 or kind < 0.15 else f' {pick(("class", "id"))}="{phrase(1, 3) if kind > 0.7 else told}"'
+        main = f"<{tag}{attr}"
         inner = body()
         if rng.random() < 0.25:
             cut = inner.find("<p>", len(inner) // 2)
@@ -252,8 +341,14 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[str]:
                 # An inset without the mark: closed before, opened anew after.
                 inner = inner[:cut] + f"</{tag}>" + rng.choice(kinds[2:])() + main + " data-y=1>" + inner[cut:]
         core = f"{main} data-y=1>{inner}</{tag}>"
+        bare = rng.random()
+        if bare < 0.15:  # no container at all: blocks of the body itself
+            core = re.sub(r"<(p|h1|h2|ul|blockquote|pre|table|figure)>", r"<\1 data-y=1>", inner) if tag not in inner else core
         for _ in range(rng.randint(0, 2)):
             core = f'<{pick(("main", "div", "div"))} {pick(("class", "id"))}="{pick("wrapper container page site layout row column grid".split())}">{core}</{"div"}>'
+        if bare < 0.06:
+            pages.append(core)
+            continue
         pages.append(f"<!DOCTYPE html><html><head><title>{phrase(1, 6)}</title></head><body>{''.join(pre)}{core}{''.join(post)}</body></html>")
     return pages
 
@@ -264,7 +359,7 @@ def default_field() -> Field:
 
 
 def main_text(field: Field, page: str) -> str:
-    found = blocks(page)
+    found = blocks(page, field.index)
     return " ".join(b.text for b, y in zip(found, decode(field, found), strict=True) if y)
 
 
@@ -277,7 +372,9 @@ def extract(pages: DataFrame, field: Field | None = None, id_col: str = "page_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [main_text(model, x.as_py() or "") for x in b.column("html")]
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            for i in range(0, b.num_rows, 200):
+                own = b.slice(i, 200)
+                out = [main_text(model, x.as_py() or "") for x in own.column("html")]
+                yield pa.RecordBatch.from_arrays([own.column("page_id"), own.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import common
+from tessera.llm import common, html
 
 BUCKETS = 1 << 16
 PIECE = 1 << 20
@@ -38,7 +39,10 @@ def _pieces(t: bytes) -> Iterator[bytes]:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = 4000, alpha: float = 0.5) -> Model:
-    """Trigram likelihoods from at most `rows` labelled rows, chosen by the smallest hashes of their ids, whole texts."""
+    """Trigram likelihoods from at most `rows` labelled ids, chosen by the smallest hashes of their ids, whole texts.
+
+    Rows without an id or label are left out; a null text is empty; rows of one id count all; of ids whose hashes tie at the
+    limit any may go. Other columns are ignored; an empty table gives a model of one language, und."""
     spark = docs.sparkSession
     labelled = docs.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     ids = [r[0] for r in labelled.select(id_col).orderBy(F.xxhash64(id_col)).limit(rows).collect()]
@@ -96,6 +100,51 @@ def likelihoods(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, declared string, suffix string, host string, letters boolean, n long, ll array<double>")
 
 
+HOST = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*+://(?:[^/?#@]*+@)?+([^/?#:@]+)")
+LANG = re.compile(r"[A-Za-z]{2,3}(?![A-Za-z])")
+
+
+def declared_language(page: str) -> str | None:
+    """The language that the page's first html tag names, without its region; None if it names none."""
+    scan, at = html.Scanner(page), 0
+    while (at := page.find("<", at)) >= 0:
+        m = html.NAME.match(page, at + 1)
+        at += 1
+        if m:
+            at, attributes, _ = scan.attributes(m.end())
+            if m[0].lower() == "html":
+                found = LANG.match(dict(reversed(attributes)).get("lang", "").strip())
+                return found[0].lower() if found else None
+            if m[0].lower() not in ("head", "meta", "title"):
+                return None
+    return None
+
+
+def from_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", field: html.Field | None = None) -> DataFrame:
+    """(id, text, declared, suffix, host) of each web page: its main text, the language its markup declares, and of its
+    address the host and the host's last label, in lower case.
+
+    What is missing is null, as from a null page or an address without host. Null and repeated ids each give a row; other
+    columns are ignored; an empty table gives an empty one."""
+    model = field or html.default_field()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text, declared, suffix, host = [], [], [], []
+            for u, x in zip(b.column("url").to_pylist(), b.column("html"), strict=True):
+                page = x.as_py() or ""
+                m = HOST.match(u or "")
+                name = m[1].lower().rstrip(".") if m else None
+                text.append(html.main_text(model, page))
+                declared.append(declared_language(page))
+                host.append(name)
+                suffix.append(name.rsplit(".", 1)[-1] if name else None)
+            yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(x, pa.string()) for x in (text, declared, suffix, host))], ["id", "text", "declared", "suffix", "host"])
+
+    own = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
+    return own.mapInArrow(run, "id long, text string, declared string, suffix string, host string")
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None, suffix: Column | None = None, host: Column | None = None, effective: int = 60, kappa: float = 20.0, min_prob: float = 0.5, min_gain: float = -1.0) -> DataFrame:
     """One row (doc_id, lang, prob, text_lang, kept) per row of docs.
 
@@ -106,8 +155,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     kept is false, and lang null, if the text has no letter, if no language reaches min_prob, or if the text is
     more than -min_gain nats a trigram less likely than under equally likely trigrams. Null and empty texts are so rejected.
     Null and repeated ids each give a row; other columns are ignored; an empty table gives an empty one.
-    Rows meet counts by shuffle joins on host and suffix, whose hot keys Spark splits; per-language counts of all rows
-    are as many as there are languages."""
+    Counts of hosts and suffixes are broadcast if they are few (common.small); else rows meet them by shuffle joins, whose
+    hot keys Spark splits. Per-language counts of all rows are as many as there are languages."""
     langs, none = model.langs, F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(declared if declared is not None else none, F.lit("")).alias("declared"), F.coalesce(suffix if suffix is not None else none, F.lit("")).alias("suffix"),
         F.coalesce(host if host is not None else none, F.lit("")).alias("host"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"), F.col(text_col).alias("text"))
@@ -123,7 +172,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     whole = [(x or 0.0) + 1.0 for x in whole] or [1.0] * len(langs)
     base = F.array(*(F.lit(x / sum(whole)) for x in whole))
     told = F.broadcast(counts("declared"))  # at most two rows more than languages
-    j = own.join(counts("host", "suffix"), ["host", "suffix"]).join(counts("suffix"), "suffix").join(told, "declared")
+    by_host, by_suffix = (common.small(common.stash(counts(*by)).df) for by in (("host", "suffix"), ("suffix",)))
+    j = own.join(by_host, ["host", "suffix"]).join(by_suffix, "suffix").join(told, "declared")
     j = j.withColumn("base", base).withColumn("me", F.transform(F.sequence(F.lit(0), F.lit(len(langs) - 1)), lambda i: F.when(i == F.col("best"), 1.0).otherwise(0.0)))
     total = lambda c: f"aggregate({c}, 0D, (a, x) -> a + x)"
     j = j.withColumn("by_suffix", F.expr(f"transform(base, (p, i) -> (c_suffix[i] - me[i] + {kappa}D * p) / ({total('c_suffix')} - 1 + {kappa}D))"))

@@ -45,8 +45,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return langid.identify(docs, langid.train(docs), declared=F.col("lang"), host=F.col("source"))
+    """Pages, whose markup and address bear witness; the likelihoods are learnt from the labels of documents."""
+    pages = langid.from_pages(table(spark, sf_dir, "pages"))
+    found = langid.identify(pages, langid.train(table(spark, sf_dir, "documents")), id_col="id", declared=F.col("declared"), suffix=F.col("suffix"), host=F.col("host"))
+    return found.withColumnRenamed("doc_id", "page_id")
 
 
 @query

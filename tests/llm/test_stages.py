@@ -1,8 +1,10 @@
 """Language, decontamination, packing, main text and the pipeline of them."""
 
 import random
+import time
 from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -36,6 +38,56 @@ def test_language_odd_cases(spark):
     assert langid.identify(none, langid.train(none), declared=F.col("lang"), host=F.col("source")).count() == 0
 
 
+def test_posterior_against_brute_force(spark):
+    rng = random.Random(21)
+    model = langid.train(spark.read.parquet(f"{DATA}/documents.parquet"))
+    texts = [r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").where("length(text) > 20").limit(60).collect()]
+    rows = []
+    for i, t in enumerate(texts):
+        at = rng.randrange(len(t))
+        suffix = rng.choice(["org", "fr", None])
+        rows.append((i, t[at : at + rng.randrange(5, 80)], rng.choice(["en", "fr", "tlh", None]), suffix, rng.choice(["a", "b", "c"]) + "." + (suffix or "x")))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, declared string, suffix string, host string")
+    got = {r.doc_id: r for r in langid.identify(docs, model, declared=F.col("declared"), suffix=F.col("suffix"), host=F.col("host")).collect()}
+    n = len(model.langs)
+    codes = [langid._codes(b" " + r[1].encode().lower() + b" ") for r in rows]
+    ll = [model.logp[c].astype(float).sum(axis=0) for c in codes]
+    best = [int(x.argmax()) for x in ll]
+    told = [r[2] if r[2] in model.langs else "other" if r[2] else "" for r in rows]
+
+    def count(same):
+        return np.bincount([best[j] for j in range(len(rows)) if same(j)], minlength=n).astype(float)
+
+    whole = count(lambda j: True) + 1
+    for i, r in enumerate(rows):
+        me = np.eye(n)[best[i]]
+        suffix, host, declared = (count(f) - me for f in (lambda j: rows[j][3] == r[3], lambda j: rows[j][3:] == r[3:], lambda j: told[j] == told[i]))
+        prior = (suffix + 20 * whole / whole.sum()) / (suffix.sum() + 20)
+        prior = (host + 20 * prior) / (host.sum() + 20)
+        score = min(1, 60 / max(1, len(codes[i]))) * (ll[i] - ll[i].max()) + np.log(prior + 1e-9) + np.log((declared + 0.5) / whole)
+        p = np.exp(score - score.max())
+        assert abs(p.max() / p.sum() - got[i].prob) < 1e-6
+        assert got[i].lang in (None, model.langs[int(score.argmax())]) and got[i].text_lang == model.langs[best[i]]
+
+
+def test_evidence_of_pages(spark):
+    page = "<!DOCTYPE html><!-- x --><HTML class=a lang='fr-CA'><head><title>t</title></head><body><article><p>Un mot, puis un autre.</p></article></body></html>"
+    rows = [(1, "https://user@Blog.Example.FR:80/x?y", page, 0), (1, "no address", "<p lang=de>x</p>", 0), (None, None, None, 0), (2, "http://h/", "<html lang=english><p>", 0), (3, "", "<b" * 2000, 0)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host int")
+    got = [tuple(r)[:1] + tuple(r)[2:] for r in langid.from_pages(df).collect()]
+    assert got == [(1, "fr", "fr", "blog.example.fr"), (1, None, None, None), (None, None, None, None), (2, None, "h", "h"), (3, None, None, None)]
+    assert langid.from_pages(df.where("false")).count() == 0
+
+
+def test_pages_language(spark):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    gold = {r.page_id: langid.declared_language(r.html) for r in pages.collect()}
+    rows, model = langid.from_pages(pages), langid.train(spark.read.parquet(f"{DATA}/documents.parquet"))
+    for declared in (F.col("declared"), F.lit(None)):
+        got = langid.identify(rows, model, id_col="id", declared=declared, suffix=F.col("suffix"), host=F.col("host")).collect()
+        assert len(got) == pages.count() and sum(r.lang == gold[r.doc_id] for r in got) >= 0.95 * len(got)
+
+
 ITEMS = [
     (0, "A farmer named Olga sells 12 apples for 5 dollars each and then buys 30 pears from Boris for 2 dollars"),
     (1, "What is the capital city of the largest country on the continent that lies south of here today"),
@@ -150,6 +202,49 @@ def test_main_text_held_out():
     assert same >= 0.85 * len(pages), same
 
 
+#: Pages by another hand than the generator's, and their main text.
+BY_HAND = [
+    ('<p>A long prose paragraph stands here, with commas and a full stop. It goes on for a while.</p><p>Another one follows it, which is also quite long, and says a bit more.</p>',
+     'A long prose paragraph stands here, with commas and a full stop. It goes on for a while. Another one follows it, which is also quite long, and says a bit more.'),
+    ('<html><body><nav><a href=/>Start</a> <a href=/k>Kontakt</a></nav><div class=inhalt><h1>Der Fluss</h1><p>Ein langer Absatz steht hier, mit Kommas und einem Punkt. Er geht noch weiter, bis er endet.</p><p>Noch einer folgt, und auch er sagt etwas.</p></div><footer>&copy; wir</footer></body></html>',
+     'Der Fluss Ein langer Absatz steht hier, mit Kommas und einem Punkt. Er geht noch weiter, bis er endet. Noch einer folgt, und auch er sagt etwas.'),
+    ('<body><div id="mw-head"><ul><li><a href="#">Log in</a></li><li><a href="#">Talk</a></li></ul></div><div id="bodyContent" class="mw-body"><h1>Lake</h1><div class="mw-parser-output"><p>A lake is a body of water, surrounded by land. Lakes lie on land, and are not part of the ocean.</p><ul><li>Some lakes are fresh, others salty.</li><li>Some dry up, and come back.</li></ul></div></div><div id="footer"><ul><li><a href="#">Privacy</a></li><li><a href="#">About</a></li></ul></div></body>',
+     'Lake A lake is a body of water, surrounded by land. Lakes lie on land, and are not part of the ocean. Some lakes are fresh, others salty. Some dry up, and come back.'),
+    ('<body><header class="gh-head"><a class="gh-logo" href="/">My Blog</a><nav class="gh-menu"><a href="/a">Home</a><a href="/b">About</a></nav></header><main class="gh-main"><article class="gh-article"><h1>On bread</h1><p>Good bread takes time, flour, water and salt. Nothing else is needed, as every baker knows.</p><h2>Time</h2><p>Leave the dough overnight, and bake it in the morning.</p></article></main><footer class="gh-foot">&copy; My Blog</footer></body>',
+     'On bread Good bread takes time, flour, water and salt. Nothing else is needed, as every baker knows. Time Leave the dough overnight, and bake it in the morning.'),
+    ('<body><div class="cookie-consent"><p>We use cookies to improve this site.</p><button>OK</button></div><div class="story-wrap"><h1>Storm hits coast</h1><p>A storm hit the coast on Monday, and trees fell in many towns. Nobody was hurt, said the mayor.</p><p>More rain is due, so people should stay at home.</p></div><aside class="sidebar"><h3>Related</h3><ul><li><a href=1>Other news</a></li><li><a href=2>Sports</a></li></ul></aside><section id="comments"><h3>Comments</h3><div class="comment"><p>I saw it all happen, it was quite a sight.</p></div></section></body>',
+     'Storm hits coast A storm hit the coast on Monday, and trees fell in many towns. Nobody was hurt, said the mayor. More rain is due, so people should stay at home.'),
+]
+
+
+def test_main_text_of_pages_by_hand():
+    assert [html.main_text(html.default_field(), p) for p, _ in BY_HAND] == [w for _, w in BY_HAND]
+
+
+def test_main_text_of_the_tables_pages(spark):
+    """Their article element tells the main text; names of elements are no part of the text's own features."""
+    field = html.default_field()
+    for r in spark.read.parquet(f"{DATA}/pages.parquet").collect():
+        own = html.blocks(r.html or "")
+        assert html.main_text(field, r.html or "") == " ".join(b.text for b in own if "tag:article" in b.path)
+
+
+def test_scanner_takes_linear_time():
+    field = html.default_field()
+    for page in ("<a b" * 250_000 + '"', "<div class=x>y" * 70_000, "<b>x" * 250_000, "<p class='it s>x" * 60_000, "<script x" * 100_000, "<!-" * 300_000, "<a =" * 250_000, "<i>" * 100_000 + "<article>" + "</i>" * 100_000):
+        began = time.process_time()
+        html.main_text(field, page)
+        assert time.process_time() - began < 20
+
+
+def test_tags_and_attributes():
+    text = lambda page: " ".join(b.text for b in html.blocks(page))
+    assert text("<p class=it's>One</p><p>Two it's</p>") == "One Two it's"
+    assert text("a < b and <3 c<") == "a < b and <3 c<"
+    assert text('<p title="x>One</p><p>Two</p>') == "One Two"
+    assert text("<p title=\"a > b\" data-x='</p>'>One&nbsp;&amp;\u2003two</p>") == "One & two"
+
+
 def test_main_text_odd_cases(spark):
     page = "<nav><a href=x>Menu</a></nav><article><h1>Title</h1><p>First &amp; foremost\n text, with commas.<p>Second one here.</article><footer>&copy; us</footer>"
     df = spark.createDataFrame([(0, "u", page, 1), (0, None, page, 1), (None, "u", None, 1), (2, "u", "", 1), (3, "u", "<p>" * 3000, 1), (4, "u", "<b" * 3000, 1), (5, "u", "x&#0;&#xD800;<!-- y", 1)], "page_id long, url string, html string, text int")
