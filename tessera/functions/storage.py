@@ -14,15 +14,19 @@ class Table(NamedTuple):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where that is unset (one machine, tests) a folder under /tmp."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """The folder of spark.checkpoint.dir. Where it is unset, one under /tmp if Spark runs on this machine alone, else an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return path or "file:///tmp/checkpoints"
 
 
-def save(df: DataFrame) -> Table:
-    """df written as Parquet and read again; any executor may be lost afterwards."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tessera-{uuid.uuid4().hex}"
+def save(df: DataFrame, path: str | None = None) -> Table:
+    """df written as Parquet, to path or a new folder, and read again: lineage ends there, and any executor may be lost after it."""
+    spark = df.sparkSession
+    path = path or f"{shared_dir(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return Table(df.sparkSession.read.schema(df.schema).parquet(path), path)
+    return Table(spark.read.schema(df.schema).parquet(path), path)
 
 
 def delete(spark: SparkSession, table: Table) -> None:

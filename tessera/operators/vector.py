@@ -81,8 +81,9 @@ class Vector:
         return self._with(x, lambda v, w: (a * v).cast(self.dtype) + w)
 
     def dot_df(self, x: Vector) -> DataFrame:
-        """One row (value). Partial sums come before the exchange; the sum of nothing is 0."""
-        return self._with(x, lambda v, w: v * w).df.agg(F.coalesce(F.sum("v"), F.lit(0.0)).cast(self.dtype).alias("value"))
+        """One row (value) of the entry type. Products are of that type, their sum is a double until the end; partial sums
+        come before the exchange; the sum of nothing is 0."""
+        return self._with(x, lambda v, w: (v * w).cast(self.dtype)).df.agg(F.coalesce(F.sum("v"), F.lit(0.0)).cast(self.dtype).alias("value"))
 
     def dot(self, x: Vector) -> Scalar:
         return Scalar.of(self.dot_df(x), self.dtype)

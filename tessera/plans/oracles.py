@@ -20,7 +20,8 @@ for name, value in {
     SQL[f"vec_{name}"] = f"SELECT p_partkey AS i, {value} AS v FROM (SELECT p_partkey, p_size::DOUBLE AS u, p_retailprice::DOUBLE AS w FROM part)"
 SQL["vec_dot"] = "SELECT sum(p_size * 2 * p_size)::DOUBLE AS value FROM part"
 SQL["vec_norm2"] = "SELECT sqrt(sum(p_size * p_size)::DOUBLE) AS value FROM part"
-SQL["vec_dot_float"] = "SELECT p_partkey AS i, (0.5 * p_size)::FLOAT AS v FROM part"
+SQL["vec_dot_float"] = "SELECT sum(p_size * 0.5::FLOAT * p_size)::FLOAT AS value FROM part"
+SQL["vec_scal_float"] = "SELECT p_partkey AS i, (0.5 * p_size)::FLOAT AS v FROM part"
 
 A = "(SELECT l_partkey AS row, l_suppkey AS col, sum(l_quantity)::DOUBLE AS entry FROM lineitem GROUP BY ALL)"
 S = "(SELECT s_suppkey AS i, (1 + s_suppkey % 7)::DOUBLE AS v FROM supplier)"
@@ -128,3 +129,40 @@ def bicgstab(a: str, b: str, steps: int, out: str) -> str:
 
 
 SQL["bicgstab_stencil_2d"] = bicgstab(stencil("2d5", (16, 16)), ones(256), 4, "round(rr, 4)")
+
+
+def gmres(a: str, b: str, restart: int, cycles: int, out: str, unit: bool = False) -> str:
+    """Residuals by projection, without a least squares problem: a cycle leaves of r what is orthogonal to A times its
+    Krylov space, whose orthonormal basis is built by two passes of Gram-Schmidt. unit: r less A times the sum of the
+    orthonormal Krylov vectors."""
+    t = [f"a AS MATERIALIZED ({a})", f"r0 AS MATERIALIZED ({b})"]
+    for c in range(cycles):
+        name = lambda kind, j: f"{kind}{c}_{j}"  # noqa: B023,E731
+        t.append(f"{name('v', 0)} AS MATERIALIZED (SELECT i, v / sqrt((SELECT sum(v * v) FROM r{c})) AS v FROM r{c})")
+        basis = [name("v", 0)] if unit else []
+        last, images = name("v", 0), []
+        for j in range(restart):
+            w = name("w", j)
+            t.append(f"{w} AS MATERIALIZED (SELECT row AS i, sum(entry * v) AS v FROM a JOIN {last} ON col = i GROUP BY row)")
+            images.append(w)
+            if unit and j == restart - 1:
+                break
+            for turn in range(2 if basis else 0):
+                all_of = " UNION ALL ".join(f"SELECT {k} AS j, i, v FROM {x}" for k, x in enumerate(basis))
+                t.append(f"{w}d{turn} AS MATERIALIZED (SELECT j, sum(w.v * q.v) AS x FROM {w} w JOIN ({all_of}) q ON w.i = q.i GROUP BY j)")
+                t.append(f"{w}s{turn} AS MATERIALIZED (SELECT w.i, any_value(w.v) - sum(d.x * q.v) AS v FROM {w} w JOIN ({all_of}) q ON w.i = q.i JOIN {w}d{turn} d ON d.j = q.j GROUP BY w.i)")
+                w = f"{w}s{turn}"
+            last = name("q", j + 1)
+            t.append(f"{last} AS MATERIALIZED (SELECT i, v / sqrt((SELECT sum(v * v) FROM {w})) AS v FROM {w})")
+            basis.append(last)
+        if unit:
+            taken = " UNION ALL ".join(f"SELECT i, v FROM {x}" for x in images)
+        else:
+            taken = " UNION ALL ".join(f"SELECT i, v * (SELECT sum(x.v * r.v) FROM {x} x JOIN r{c} r ON x.i = r.i) AS v FROM {x}" for x in basis)
+        t.append(f"r{c + 1} AS MATERIALIZED (SELECT r.i, any_value(r.v) - sum(x.v) AS v FROM r{c} r JOIN ({taken}) x ON r.i = x.i GROUP BY r.i)")
+    rows = " UNION ALL ".join(f"SELECT {k}::INTEGER AS it, sum(v * v) AS rr FROM r{k}" for k in range(cycles + 1))
+    return f"WITH {', '.join(t)} SELECT it, {out} AS rr FROM ({rows})"
+
+
+SQL["gmres_ls_stencil_2d"] = gmres(stencil("2d5", (16, 16)), ones(256), 6, 2, "round(rr, 4)")
+SQL["gmres_unit_stencil_2d"] = gmres(stencil("2d5", (16, 16)), ones(256), 6, 2, "round(rr, 3)", unit=True)

@@ -72,10 +72,20 @@ def vec_norm2(spark: SparkSession, d: str) -> DataFrame:
     return _uw(spark, d)[0].norm2().to_df(spark)
 
 
+def _float(spark: SparkSession, d: str) -> Vector:
+    return Vector.of_column(table(spark, d, "part"), "p_partkey", "p_size", dtype="float")
+
+
 @query
 def vec_dot_float(spark: SparkSession, d: str) -> DataFrame:
-    u = Vector.of_column(table(spark, d, "part"), "p_partkey", "p_size", dtype="float")
-    return u.scal(0.5).df.select("i", "v")
+    """Entries, products and the result are floats."""
+    u = _float(spark, d)
+    return u.scal(0.5).dot_df(u)
+
+
+@query
+def vec_scal_float(spark: SparkSession, d: str) -> DataFrame:
+    return _float(spark, d).scal(0.5).df
 
 
 # Matrices from the lines: part by supplier.

@@ -164,10 +164,11 @@ class GMRES(Solver):
         for j in range(m):
             w = self.basis(j + 1)
             p.matvec(w, self.basis(j))
-            for i in range(j + 1):
-                x = p.dot(w, self.basis(i))
-                p.axpy(w, -x, self.basis(i))
-                h[i, j] = float(x)
+            # Classical Gram-Schmidt, twice: all products of a pass by one aggregation.
+            for _ in range(2):
+                for i, x in enumerate(p.dots(*((w, self.basis(i)) for i in range(j + 1)))):
+                    p.axpy(w, -x, self.basis(i))
+                    h[i, j] += float(x)
             if j + 1 < m or self.coefficients == "least_squares":
                 n = p.dot(w, w)
                 h[j + 1, j] = float(n.sqrt())

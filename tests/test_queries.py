@@ -1,5 +1,7 @@
 import pytest
 
+from tessera.operators.vector import Vector, coordinates, linear
+from tessera.types import Rect
 from tests.compare import DATA, oracle, rows
 from tessera.plans.oracles import SQL
 from tessera.plans.registry import QUERIES
@@ -14,3 +16,39 @@ def test_query(spark, name):
     want = oracle(SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+SHAPES = ((100,), (10, 10), (4, 5, 5))
+
+
+@pytest.mark.parametrize("dtype", ["float", "double"])
+@pytest.mark.parametrize("shape", SHAPES)
+def test_vectors_of_more_dimensions(spark, dtype, shape):
+    """u - (v - u) / 2 - (u + v) / 2 is 0."""
+    rect = Rect.of(*shape)
+    points = coordinates(spark.range(rect.volume).withColumnRenamed("id", "i"), rect).select(linear(rect).alias("i"))
+    assert sorted(r.i for r in points.collect()) == list(range(100))
+    u = Vector(points.selectExpr("i", "1.5 as v"), dtype=dtype, check=True)
+    v = Vector(points.selectExpr("i", "2.7 as v"), dtype=dtype, check=True)
+    w = u.copy().axpy(1.0, v)
+    v = v.xpay(-1.0, u)
+    u = u.axpy(-0.5, v).axpy(-0.5, w)
+    assert abs(float(u.dot(u))) < (1e-12 if dtype == "float" else 1e-28)
+
+
+def test_different_index_spaces_are_refused(spark):
+    u, v = (Vector.of_size(spark, n, 1.0, check=True) for n in (5, 6))
+    with pytest.raises(ValueError):
+        u.axpy(1.0, v)
+
+
+def test_partition_predicates(spark):
+    from tessera.operators import partition
+
+    space = spark.range(20).withColumnRenamed("id", "i")
+    parts = partition.equal(spark, 20, 4)
+    assert [(r.color, r.i) for r in partition.lines(parts).collect()] == [(k // 5, k) for k in range(20)]
+    assert partition.is_disjoint(parts) and partition.is_complete(parts, space)
+    more = parts.union(parts.where("i = 5").selectExpr("0", "i"))
+    assert not partition.is_disjoint(more) and partition.is_complete(more, space)
+    assert not partition.is_complete(parts.where("i <> 7"), space)
