@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
+import ctypes
+import gc
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -12,33 +12,36 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import storage
+
 #: At most this many narrow rows (ids, hashes) are broadcast: about 64 MB in an executor. More take a shuffle join.
 BROADCAST_ROWS = 1_000_000
 
 
-class Stash(NamedTuple):
-    df: DataFrame
-    path: str
+Stash = storage.Table
+shared_dir = storage.shared_dir
+stash = storage.save
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset, one under /tmp, which serves a single machine only."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+def drop(spark: SparkSession, *stashes: Stash) -> None:
+    """Delete tables that nothing reads any more."""
+    for s in stashes:
+        storage.delete(spark, s)
 
 
-def stash(df: DataFrame, path: str | None = None) -> Stash:
-    """Write df to the shared folder and read it back: lineage ends there, and any executor may be lost after it."""
-    spark = df.sparkSession
-    path = path or f"{shared_dir(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return Stash(spark.read.schema(df.schema).parquet(path), path)
+def frugal(run):
+    """run(batches), after which a Python worker, which lives on, gives back what it no longer uses."""
 
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
 
-def drop(spark: SparkSession, *stashes: Stash) -> None:
-    """Delete tables that nothing reads any more."""
-    for s in stashes:
-        p = spark._jvm.org.apache.hadoop.fs.Path(s.path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return wrapped
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -98,7 +101,7 @@ def components(edges: DataFrame) -> DataFrame:
 class Words:
     """64-bit hashes of words (bytes), kept for the words met lately: at most `most` of them."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 250_000):
         self.most, self.known = most, {}
 
     def hashes(self, words: list[bytes]) -> np.ndarray:

@@ -60,7 +60,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(own[at])], ["lang", "code", "n"])
 
-    found = chosen.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    found = chosen.mapInArrow(common.frugal(count), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(found.lang.unique().tolist()) or ["und"]
     n = np.full((BUCKETS, len(langs)), alpha)
     n[found.code.to_numpy(np.int64), found.lang.map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64)] += found.n.to_numpy(np.float64)
@@ -97,7 +97,7 @@ def likelihoods(docs: DataFrame, model: Model) -> DataFrame:
             flush()
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "declared", "suffix", "host", "letters")), pa.array(n), pa.array(list(ll), pa.list_(pa.float64()))], ["doc_id", "declared", "suffix", "host", "letters", "n", "ll"])
 
-    return docs.mapInArrow(run, "doc_id long, declared string, suffix string, host string, letters boolean, n long, ll array<double>")
+    return docs.mapInArrow(common.frugal(run), "doc_id long, declared string, suffix string, host string, letters boolean, n long, ll array<double>")
 
 
 HOST = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*+://(?:[^/?#@]*+@)?+([^/?#:@]+)")

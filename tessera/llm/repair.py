@@ -369,7 +369,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", te
             yield shard()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, "part int, seq int, doc_ids array<bigint>, blob binary").write.parquet(path)
+    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(common.frugal(run), "part int, seq int, doc_ids array<bigint>, blob binary").write.parquet(path)
 
 
 def read(shards: DataFrame) -> DataFrame:
@@ -386,7 +386,7 @@ def read(shards: DataFrame) -> DataFrame:
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([seq] * n, pa.int32()), pa.array(ids, pa.int64()), pa.array(upto - x.tokens), pa.array(x.tokens), pa.array(crc, pa.int64())], ["part", "seq", "doc_id", "local", "n_tokens", "ids_crc32"])
 
-    docs = common.stash(shards.mapInArrow(run, "part int, seq int, doc_id long, local long, n_tokens long, ids_crc32 long")).df
+    docs = common.stash(shards.mapInArrow(common.frugal(run), "part int, seq int, doc_id long, local long, n_tokens long, ids_crc32 long")).df
     per = docs.groupBy("part", "seq").agg(F.sum("n_tokens").alias("n"))
     before = "coalesce(sum(n) over (partition by part order by seq rows between unbounded preceding and 1 preceding), 0)"
     per = per.select("part", "seq", F.expr(before).alias("before"))

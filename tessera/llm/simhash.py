@@ -283,6 +283,8 @@ SEGMENTS, LIST = 8, 3
 #: Two shingle sets of similarity 0.8 differ in 29 of 192 bits, give or take 5; pairs of more than 44 aren't looked at.
 WIDE_NEAR = 44
 WIDTH = 5
+#: Shingles whose 192 bits are unpacked at once.
+WIDE_CHUNK = 30_000
 
 
 def shingle_sets(docs: list[np.ndarray], shingle: int = WIDTH) -> list[np.ndarray]:
@@ -300,11 +302,11 @@ def wide_fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     size = np.array([len(x) for x in sets], np.int64)
     i = 0
     while i < n:
-        e = max(i + 1, int(np.searchsorted(np.cumsum(size[i:]), CHUNK, "right")) + i)
+        e = max(i + 1, int(np.searchsorted(np.cumsum(size[i:]), WIDE_CHUNK, "right")) + i)
         flat = np.concatenate(sets[i:e]) if e > i + 1 else sets[i]
         total = np.zeros((e - i, 24 * SEGMENTS), np.int64)
-        for k in range(0, len(flat), CHUNK):  # a long text's shingles take several turns
-            part = flat[k : k + CHUNK]
+        for k in range(0, len(flat), WIDE_CHUNK):  # a long text's shingles take several turns
+            part = flat[k : k + WIDE_CHUNK]
             bits = np.unpackbits(np.stack([common.mix(part + np.uint64(0xA0761D6478BD642F * (j + 1) & 0xFFFFFFFFFFFFFFFF)) for j in range(3)], 1).view(np.uint8), axis=1)
             if e == i + 1:
                 total[0] += bits.sum(axis=0, dtype=np.int64)
@@ -442,7 +444,7 @@ EDGES = "a long, b long, part long, fp binary, shingles binary"
 
 def _links(rows: DataFrame, solve, block: int, size: int) -> DataFrame:
     """Distinct edges (a, b) of rows (key, node, fp, shingles). Each pair of blocks of a large key is a task of its own."""
-    found = common.stash(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_runs(solve, block, size), EDGES)).df
+    found = common.stash(rows.repartition("key").sortWithinPartitions("key").mapInArrow(common.frugal(_runs(solve, block, size)), EDGES)).df
     out = found.where("part is null").select("a", "b")
     large = found.where("part is not null").select(F.col("a").alias("key"), F.col("b").alias("node"), "part", "fp", "shingles")
     if large.limit(1).count():
@@ -491,7 +493,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
                 at += len(own)
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("raw"), pa.array(same[:, 0]), pa.array(same[:, 1]), suffixes.binary(fp), pa.array(keys, pa.list_(pa.int64()))], ["id", "raw", "h1", "h2", "fp", "keys"])
 
-    own = common.stash(rows.select("id", raw.alias("raw"), "text").mapInArrow(narrow, "id long, raw long, h1 long, h2 long, fp binary, keys array<bigint>"))
+    own = common.stash(rows.select("id", raw.alias("raw"), "text").mapInArrow(common.frugal(narrow), "id long, raw long, h1 long, h2 long, fp binary, keys array<bigint>"))
     first = F.min(F.struct(F.col("id").isNull().alias("x"), "id", "raw")).alias("first")
     classes = own.df.groupBy("h1", "h2").agg(first, F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.count("*").alias("rows"))
     classes = common.stash(classes.select("h1", "h2", "first", "fp", "keys", "rows", F.monotonically_increasing_id().alias("node")))
@@ -511,7 +513,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     asked = near.df.join(classes.df.select("node", "first", "fp"), "node").select(F.col("root").alias("key"), "node", "fp", F.col("first.id").alias("f_id"), F.col("first.raw").alias("f_raw"))
     asked = common.stash(asked)
     texts = rows.select("id", raw.alias("raw"), "text").join(common.small(asked.df), F.col("id").eqNullSafe(F.col("f_id")) & (F.col("raw") == F.col("f_raw")))
-    texts = texts.select("id", "text", "key", "node", "fp").mapInArrow(sets_of, "key long, node long, fp binary, shingles binary")
+    texts = texts.select("id", "text", "key", "node", "fp").mapInArrow(common.frugal(sets_of), "key long, node long, fp binary, shingles binary")
     linked = common.stash(common.components(_links(texts, _verified(WIDE_NEAR, least), block, size)))
     led = linked.df.join(classes.df.select("node", "first"), "node")
     gone = led.join(led.groupBy("root").agg(F.min("first").alias("least")), "root").where("first != least").select("node", F.lit(True).alias("gone"))
