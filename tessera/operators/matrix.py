@@ -109,11 +109,13 @@ class COOMatrix(Matrix):
         ptr = per.withColumn("b", F.floor(F.col("row") / size)).withColumn("own", within).join(blocks, "b")
         ptr = ptr.select("row", (F.col("base") + F.col("own")).cast("long").alias("lo"), (F.col("base") + F.col("own") + F.col("n") - 1).cast("long").alias("hi"))
         ranked = self.entries.withColumn("at", F.expr("row_number() over (partition by row order by col, k)")).join(ptr, "row")
-        return CSRMatrix(ranked.select((F.col("lo") + F.col("at") - 1).alias("k"), "col", "entry"), ptr)
+        return CSRMatrix(ranked.select((F.col("lo") + F.col("at") - 1).alias("k"), "row", "col", "entry"), ptr)
 
 
 class CSRMatrix(Matrix):
-    """Compressed rows: kernel (k, col, entry), and rowptr (row, lo, hi) with an inclusive range of k per row, empty where hi = lo - 1."""
+    """Compressed rows: kernel (k, col, entry), and rowptr (row, lo, hi) with an inclusive range of k per row, empty where hi = lo - 1.
+
+    A kernel that has a column row already needs no join with the pointers to get its entries."""
 
     def __init__(self, kernel: DataFrame, rowptr: DataFrame):
         self.kernel, self.rowptr = kernel, rowptr
@@ -124,7 +126,8 @@ class CSRMatrix(Matrix):
 
     @property
     def entries(self) -> DataFrame:
-        return self.kernel.join(self.pointers(), "k").select("k", "row", "col", "entry")
+        rows = self.kernel if "row" in self.kernel.columns else self.kernel.join(self.pointers(), "k")
+        return rows.select("k", "row", "col", "entry")
 
     def to_coo(self) -> COOMatrix:
         return COOMatrix(self.entries)

@@ -12,7 +12,8 @@ from tessera.types import ENTRY_TYPES, IndexOrder, Rect
 class Vector:
     """A vector over an index space. Every operation returns a new one; columns are computed by Catalyst when read.
 
-    Two vectors must have the same indices: check=True counts them before an operation joins two frames."""
+    Two vectors must have the same indices: a result read where they differ is an error. check=True counts the indices
+    before an operation joins two frames, and so raises ValueError at once."""
 
     def __init__(self, df: DataFrame, name: str = "v", dtype: str = "double", partition: DataFrame | None = None, check: bool = False):
         if dtype not in ENTRY_TYPES:
@@ -45,10 +46,13 @@ class Vector:
     def _with(self, x: Vector, f) -> Vector:
         if self.dtype != x.dtype:
             raise TypeError("entry types differ")
-        both = self.df.join(x.df.select("i", F.col("v").alias("x")), "i")
-        if self.check and not self.size() == x.size() == both.count():
+        mine, its = self.df.withColumn("mine", F.lit(True)), x.df.select("i", F.col("v").alias("x"), F.lit(True).alias("its"))
+        both = mine.join(its, "i", "full")
+        if self.check and not self.size() == x.size() == both.where("mine and its").count():
             raise ValueError("index spaces differ")
-        return self._like(both.select("i", f(F.col("v"), F.col("x")).alias("v")))
+        alone = F.col("mine").isNull() | F.col("its").isNull()
+        value = F.when(alone, F.raise_error(F.lit("index spaces differ")).cast(self.dtype)).otherwise(f(F.col("v"), F.col("x")).cast(self.dtype))
+        return self._like(both.select("i", value.alias("v")))
 
     def _coefficient(self, f: tuple) -> Column:
         return lit(alpha(*f)).cast(self.dtype)

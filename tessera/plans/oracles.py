@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.plans.registry import COLORS, SHAPES, N
+from math import prod
+
+from tessera.plans.registry import COLORS, LAYOUTS, RECTS, SHAPES, N
 from tessera.sources.generators import STENCILS
 
 SQL: dict[str, str] = {}
 
 XY = "(SELECT (SELECT sum(l_quantity) FROM lineitem)::DOUBLE AS x, (SELECT count(*) FROM supplier)::DOUBLE AS y)"
-for name, value in {"neg": "-x", "add": "x + y", "sub": "x - y", "mul": "x * y", "div": "x / y", "sqrt": "sqrt(x)", "rsqrt": "1::DOUBLE / sqrt(y)", "div_zero": "'inf'::DOUBLE"}.items():
+for name, value in {"pos": "x", "neg": "-x", "add": "x + y", "sub": "x - y", "mul": "x * y", "div": "x / y", "sqrt": "sqrt(x)", "rsqrt": "1::DOUBLE / sqrt(y)", "div_zero": "'inf'::DOUBLE"}.items():
     SQL[f"scalar_{name}"] = f"SELECT {value} AS value FROM {XY}"
 for n, value in enumerate(("1::DOUBLE", "x", "x / y", "x * y / (y + 1)", "x * y / ((y + 1) * (x + 3))")):
     SQL[f"alpha_{n}"] = f"SELECT {value} AS value FROM {XY}"
@@ -22,6 +24,16 @@ SQL["vec_dot"] = "SELECT sum(p_size * 2 * p_size)::DOUBLE AS value FROM part"
 SQL["vec_norm2"] = "SELECT sqrt(sum(p_size * p_size)::DOUBLE) AS value FROM part"
 SQL["vec_dot_float"] = "SELECT sum(p_size * 0.5::FLOAT * p_size)::FLOAT AS value FROM part"
 SQL["vec_scal_float"] = "SELECT p_partkey AS i, (0.5 * p_size)::FLOAT AS v FROM part"
+SQL["vec_fill_scalar"] = "SELECT p_partkey AS i, (SELECT count(*) FROM supplier)::DOUBLE AS v FROM part"
+SQL["vec_random_fill"] = "SELECT count(*) AS n, count(*) AS inside FROM part"
+for name, rest in LAYOUTS.items():
+    at, points = "(p_partkey - 1)", []
+    for d, size in reversed(list(enumerate(rest, 1))):
+        points.append(f"({at} % {size})::BIGINT AS c{d}")
+        at = f"({at} // {size})"
+    points.append(f"{at}::BIGINT AS c0")
+    for dtype in ("double", "float"):
+        SQL[f"vec_axpy_{name}_{dtype}"] = f"SELECT {', '.join(points)}, (p_size::{dtype} + 0.5::{dtype} * p_retailprice::{dtype})::{dtype} AS v FROM part"
 
 A = "(SELECT l_partkey AS row, l_suppkey AS col, sum(l_quantity)::DOUBLE AS entry FROM lineitem GROUP BY ALL)"
 S = "(SELECT s_suppkey AS i, (1 + s_suppkey % 7)::DOUBLE AS v FROM supplier)"
@@ -31,8 +43,10 @@ RMATVEC = f"SELECT u.i AS i, coalesce(s.v, 0)::DOUBLE AS v FROM {S} u LEFT JOIN
 SQL |= {"coo_matvec": MATVEC, "coo_matvec_duplicates": MATVEC, "csr_matvec": MATVEC, "coo_rmatvec": RMATVEC, "csr_rmatvec": RMATVEC}
 SQL["coo_print"] = f"SELECT (row * (SELECT max(s_suppkey) + 1 FROM supplier) + col)::BIGINT AS k, entry, row, col FROM {A}"
 SQL["csr_print"] = f"SELECT (row_number() OVER (ORDER BY row, col) - 1)::BIGINT AS k, entry, row, col FROM {A}"
-SQL["csr_rowptr"] = f"SELECT i AS row, (h - n)::BIGINT AS lo, (h - 1)::BIGINT AS hi FROM (SELECT i, n, sum(n) OVER (ORDER BY i) AS h FROM (SELECT i, count(row) AS n FROM {U} LEFT JOIN {A} ON row = i GROUP BY i))"
+SQL["coo_kernel_space"] = f"SELECT (row * (SELECT max(s_suppkey) + 1 FROM supplier) + col)::BIGINT AS k FROM {A}"
+SQL["csr_rowptr"] = SQL["csr_auxiliary"] = f"SELECT i AS row, (h - n)::BIGINT AS lo, (h - 1)::BIGINT AS hi FROM (SELECT i, n, sum(n) OVER (ORDER BY i) AS h FROM (SELECT i, count(row) AS n FROM {U} LEFT JOIN {A} ON row = i GROUP BY i))"
 SQL["block_matvec"] = f"SELECT 0::INTEGER AS space, i, v FROM ({MATVEC}) UNION ALL SELECT 1::INTEGER, i, v FROM ({RMATVEC})"
+SQL["planner_vectors"] = f"SELECT space, i, v * 4.75 AS w0, v * 3.1875 AS w1, v * 0.5 AS w2, 0::DOUBLE AS w3 FROM (SELECT 0::INTEGER AS space, * FROM {U} UNION ALL SELECT 1::INTEGER, * FROM {S})"
 SQL["multi_space_dot"] = f"SELECT (SELECT sum(2 * v * v) FROM {U}) + (SELECT sum(2 * v * v) FROM {S}) AS value"
 
 ENTRIES = f"(SELECT k, (k + 1) // 3 AS row, k - 2 * ((k + 1) // 3) AS col, CASE WHEN k % 3 = 0 THEN 2.0 ELSE -1.0 END::DOUBLE AS entry FROM (SELECT range AS k FROM range({3 * N - 2})))"
@@ -40,7 +54,7 @@ PART = f"(SELECT (range * {COLORS} // {N})::INTEGER AS color, range AS i FROM ra
 SQL["laplacian_1d_coo"] = SQL["laplacian_1d_csr"] = f"SELECT * FROM {ENTRIES}"
 ROWPTR = f"SELECT range AS row, greatest(3 * range - 1, 0)::BIGINT AS lo, least(3 * range + 1, {3 * N - 3})::BIGINT AS hi FROM range({N})"
 SQL["laplacian_1d_rowptr"] = ROWPTR
-SQL["part_equal"] = f"SELECT * FROM {PART}"
+SQL["part_equal"] = SQL["part_print"] = f"SELECT * FROM {PART}"
 _step = lambda part, key, to: f"(SELECT DISTINCT color, {to} AS i FROM {ENTRIES} e JOIN {part} p ON e.{key} = p.i)"
 _kr, _kd = _step(PART, "row", "k"), _step(PART, "col", "k")
 _dr, _rd = _step(_kr, "k", "col"), _step(_kd, "k", "row")
@@ -49,6 +63,10 @@ for of in ("coo", "csr"):
         SQL[f"{of}_{name}"] = f"SELECT * FROM {q}"
 SQL["part_overlaps"] = f"SELECT i FROM {_dr} GROUP BY i HAVING count(*) > 1"
 SQL["part_missing"] = f"SELECT i FROM {PART} WHERE color = 3"
+SQL["part_predicates"] = " UNION ALL ".join(
+    f"SELECT '{n}' AS part, NOT EXISTS (SELECT i FROM {q} GROUP BY i HAVING count(*) > 1) AS is_disjoint, (SELECT count(DISTINCT i) FROM {q}) = {N} AS is_complete"
+    for n, q in {"equal": PART, "ghosts": _dr, "gap": f"(SELECT * FROM {PART} WHERE color <> 3)"}.items()
+)
 SQL["csr_local_pointers"] = f"SELECT color, row, lo - min(lo) OVER (PARTITION BY color) AS begin FROM ({ROWPTR}) JOIN {PART} ON row = i"
 
 
@@ -74,6 +92,17 @@ for name, shape in SHAPES.items():
     SQL[f"stencil_{name}_row_major"] = stencil(name, shape)
     SQL[f"stencil_{name}_column_major"] = stencil(name, shape, True)
     SQL[f"stencil_{name}_rowptr"] = f"SELECT row, min(k) AS lo, max(k) AS hi FROM ({stencil(name, shape)}) GROUP BY row"
+for name, rect in RECTS.items():
+    at = lambda of, out, shape=rect.shape, lo=rect.lo: ", ".join(f"({of} // {prod(shape[d + 1:])} % {shape[d]} + {lo[d]})::BIGINT AS {out}{d}" for d in range(len(shape)))
+    all_of = f"({stencil(name, rect.shape)})"
+    SQL[f"stencil_{name}_points"] = f"SELECT k, {at('row', 'r')}, {at('col', 'd')}, entry FROM {all_of}"
+    SQL[f"stencil_{name}_csr_points_kernel"] = f"SELECT k, {at('col', 'd')}, entry FROM {all_of}"
+    SQL[f"stencil_{name}_csr_points_rowptr"] = f"SELECT {at('row', 'r')}, min(k) AS lo, max(k) AS hi FROM {all_of} GROUP BY row"
+_lo, _n = RECTS["3d7"].lo, RECTS["3d7"].shape
+_points = ", ".join(f"(c{d} + {_lo[d]})::BIGINT AS c{d}" for d in range(3))
+for name, i in {"row": f"(c0 * {_n[1]} + c1) * {_n[2]} + c2", "column": f"(c2 * {_n[1]} + c1) * {_n[0]} + c0"}.items():
+    SQL[f"linearize_{name}_major"] = f"SELECT {_points}, ({i})::BIGINT AS i FROM range({_n[0]}) x(c0), range({_n[1]}) y(c1), range({_n[2]}) z(c2)"
+SQL["laplacian_2d_size"] = f"SELECT count(*) AS nnz FROM ({stencil('2d5', SHAPES['2d5'])})"
 SQL["stencil_size"] = " UNION ALL ".join(f"SELECT '{n}' AS stencil, count(*) AS nnz FROM ({stencil(n, s)})" for n, s in SHAPES.items())
 
 
@@ -108,6 +137,28 @@ GRAPH = f"SELECT s AS row, t AS col, -w AS entry FROM {W} UNION ALL SELECT s_sup
 SQL["cg_supplier_graph"] = cg(GRAPH, f"SELECT * FROM {S}", 3, "round(rr / (SELECT rr FROM h0), 4)")
 
 
+def iterates(a: str, b: str, x: str, steps: int, digits: int) -> str:
+    """The solutions of conjugate gradients from the guess x (i, v): each from the last by its own chain of tables."""
+    t = [
+        f"a AS MATERIALIZED ({a})",
+        f"x AS MATERIALIZED ({x})",
+        f"m AS MATERIALIZED (SELECT row AS i, sum(entry * v) AS y FROM a JOIN x ON col = i GROUP BY row)",
+        f"s0 AS MATERIALIZED (SELECT b.i, x.v AS x, b.v - y AS r, b.v - y AS p FROM ({b}) b JOIN x ON b.i = x.i JOIN m ON b.i = m.i)",
+    ]
+    for k in range(steps):
+        t += [
+            f"q{k} AS MATERIALIZED (SELECT i, x, r, p, q FROM s{k} JOIN (SELECT row, sum(entry * p) AS q FROM a JOIN s{k} ON col = i GROUP BY row) ON i = row)",
+            f"l{k} AS MATERIALIZED (SELECT sum(r * r) AS rr, sum(r * r) / sum(p * q) AS y FROM q{k})",
+            f"g{k} AS MATERIALIZED (SELECT i, x + y * p AS x, r - y * q AS r, p FROM q{k}, l{k})",
+            f"s{k + 1} AS MATERIALIZED (SELECT i, x, r, r + (SELECT sum(r * r) FROM g{k}) / rr * p AS p FROM g{k}, l{k})",
+        ]
+    rows = " UNION ALL ".join(f"SELECT {k}::INTEGER AS it, i, x FROM s{k}" for k in range(steps + 1))
+    return f"WITH {', '.join(t)} SELECT it, i, round(x, {digits}) AS v FROM ({rows})"
+
+
+SQL["cg_iterates"] = iterates(LAPLACE, "SELECT range AS i, (1 + range % 7)::DOUBLE AS v FROM range(100)", ones(100), 3, 6)
+
+
 def bicgstab(a: str, b: str, steps: int, out: str) -> str:
     product = lambda name, of, x: f"{name} AS MATERIALIZED (SELECT row AS i, sum(entry * {x}) AS y FROM a JOIN {of} ON col = i GROUP BY row)"
     t = [f"a AS MATERIALIZED ({a})", f"b AS MATERIALIZED ({b})", "s0 AS MATERIALIZED (SELECT i, v AS z, v AS r, 0::DOUBLE AS p, 0::DOUBLE AS v FROM b)", "c0 AS MATERIALIZED (SELECT 1::DOUBLE AS rho, 0::DOUBLE AS al, 1::DOUBLE AS om)", "h0 AS MATERIALIZED (SELECT sum(z * r) AS zr, sum(r * r) AS rr FROM s0)"]
@@ -128,6 +179,7 @@ def bicgstab(a: str, b: str, steps: int, out: str) -> str:
     return f"WITH {', '.join(t)} SELECT it, {out} AS rr FROM ({rows})"
 
 
+SQL["bicgstab_two_copies_3d27"] = bicgstab(stencil("3d27", (8, 8, 8)), ones(512), 3, "round(2 * rr, 4)")
 SQL["bicgstab_stencil_2d"] = bicgstab(stencil("2d5", (16, 16)), ones(256), 4, "round(rr, 4)")
 
 

@@ -1,7 +1,10 @@
 """Square systems of several components.
 
 All vectors of a system are columns of one frame keyed by (space, i), so copies, sums and dot products are column
-expressions without a join. Only a product with the operators joins, and writes the frame to the shared folder, which keeps plans short."""
+expressions without a join. Only a product with the operators joins, and writes the frame to the shared folder, which keeps plans short.
+
+A frame of many rows is kept in buckets by (space, i), and the operators by the same columns of their domain. A product then
+exchanges nothing but the partial sums of its result."""
 
 from __future__ import annotations
 
@@ -14,11 +17,14 @@ from tessera.operators.matrix import Matrix
 from tessera.operators.vector import Vector
 
 SOL, RHS = 0, 1
+#: Frames of this many rows are kept in buckets; smaller ones Spark broadcasts or exchanges at little cost.
+BUCKET_ROWS = 1_000_000
 
 
 class SquarePlanner:
-    def __init__(self, spark: SparkSession, dtype: str = "double"):
-        self.spark, self.dtype = spark, dtype
+    def __init__(self, spark: SparkSession, dtype: str = "double", bucket_rows: int = BUCKET_ROWS):
+        self.spark, self.dtype, self.bucket_rows = spark, dtype, bucket_rows
+        self.buckets: int | None = None
         self.sol: list[Vector] = []
         self.rhs: list[Vector] = []
         self.matrices: list[tuple[Matrix, int, int]] = []
@@ -65,14 +71,18 @@ class SquarePlanner:
         self.workspace = n
         df = df.select("*", *(F.lit(0.0).cast(self.dtype).alias(f"w{k}") for k in range(n)))
         self._save(df)
-        if not self.state.where("sol is null or rhs is null").isEmpty():
+        rows, odd = self.state.agg(F.count("*"), F.count_if(F.col("sol").isNull() | F.col("rhs").isNull())).first()
+        if odd:
             raise ValueError("a solution and its right-hand side have different index spaces")
+        if rows >= self.bucket_rows:
+            self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            self._save(self.state)
 
     def name(self, v: int) -> str:
         return ("sol", "rhs")[v] if v < 2 else f"w{v - 2}"
 
     def _save(self, df: DataFrame) -> None:
-        old, self.table = self.table, storage.save(df)
+        old, self.table = self.table, storage.save_bucketed(df, self.buckets, "space", "i") if self.buckets else storage.save(df)
         self.state = self.table.df
         if old:
             storage.delete(self.spark, old)
@@ -111,18 +121,22 @@ class SquarePlanner:
             for a, d, r in self.matrices:
                 one = a.entries.select(F.lit(d).alias("dspace"), F.lit(r).alias("rspace"), "row", "col", "entry")
                 df = one if df is None else df.union(one)
-            self.operator_table = storage.save(df)
+            self.operator_table = storage.save_bucketed(df, self.buckets, "dspace", "col") if self.buckets else storage.save(df)
             self.operators = self.operator_table.df
         return self.operators
 
-    def matvecs(self, *pairs: tuple[int, int]) -> None:
-        """Products of all operators with the sources, each into its destination, by one join and one aggregation."""
+    def _product(self, *pairs: tuple[int, int]) -> DataFrame:
+        """The state with the products of all operators with the sources, each in its destination."""
         x = self.state.select(F.col("space").alias("dspace"), F.col("i").alias("col"), *(F.col(self.name(s)).alias(f"x{k}") for k, (_, s) in enumerate(pairs)))
         sums = self._operators().join(x, ["dspace", "col"]).groupBy(F.col("rspace").alias("space"), F.col("row").alias("i")).agg(*(F.sum(F.col("entry") * F.col(f"x{k}")).alias(f"y{k}") for k in range(len(pairs))))
         df, columns = self.state.join(sums, ["space", "i"], "left"), self.state.columns
         for k, (dst, _) in enumerate(pairs):
             df = df.withColumn(self.name(dst), F.coalesce(f"y{k}", F.lit(0.0)).cast(self.dtype))
-        self._save(df.select(*columns))
+        return df.select(*columns)
+
+    def matvecs(self, *pairs: tuple[int, int]) -> None:
+        """Several products by one join and one aggregation."""
+        self._save(self._product(*pairs))
 
     def matvec(self, dst: int, src: int) -> None:
         self.matvecs((dst, src))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions.scalar import Scalar, alpha
 from tessera.operators import partition as P
 from tessera.operators.matrix import COOMatrix
-from tessera.operators.vector import Vector
-from tessera.plans.planner import RHS, SquarePlanner
+from tessera.operators.vector import Vector, coordinates, linear
+from tessera.plans.planner import RHS, SOL, SquarePlanner
 from tessera.plans.solvers import CG, GMRES, BiCGStab, DoubleCG
 from tessera.sources import generators as G
 from tessera.types import IndexOrder, Rect
@@ -35,7 +35,7 @@ def _xy(spark: SparkSession, d: str) -> tuple[Scalar, Scalar]:
 
 
 SCALAR = {
-    "neg": lambda x, y: -x, "add": lambda x, y: x + y, "sub": lambda x, y: x - y, "mul": lambda x, y: x * y,
+    "pos": lambda x, y: +x, "neg": lambda x, y: -x, "add": lambda x, y: x + y, "sub": lambda x, y: x - y, "mul": lambda x, y: x * y,
     "div": lambda x, y: x / y, "sqrt": lambda x, y: x.sqrt(), "rsqrt": lambda x, y: y.rsqrt(), "div_zero": lambda x, y: x / (y - y),
 }
 for _name, _f in SCALAR.items():
@@ -88,6 +88,34 @@ def vec_scal_float(spark: SparkSession, d: str) -> DataFrame:
     return _float(spark, d).scal(0.5).df
 
 
+@query
+def vec_fill_scalar(spark: SparkSession, d: str) -> DataFrame:
+    return _uw(spark, d)[0].fill(_xy(spark, d)[1]).df
+
+
+@query
+def vec_random_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How many entries there are, and how many lie in [0, 1)."""
+    return _uw(spark, d)[0].random_fill(7).df.agg(F.count("*").alias("n"), F.count_if((F.col("v") >= 0) & (F.col("v") < 1)).alias("inside"))
+
+
+#: The parts laid out in two and three dimensions; the first one's size follows from their number.
+LAYOUTS = {"2d": (20,), "3d": (4, 5)}
+
+
+def _laid_out(spark: SparkSession, d: str, rest: tuple[int, ...], dtype: str) -> DataFrame:
+    part = table(spark, d, "part").withColumn("at", F.col("p_partkey") - 1)
+    rect = Rect.of(-(-part.count() // 20), *rest)
+    points = coordinates(part, rect, index="at").withColumn("i", linear(rect))
+    u, w = (Vector.of_column(points, "i", c, dtype=dtype) for c in ("p_size", "p_retailprice"))
+    return coordinates(u.axpy(0.5, w).df, rect).select(*(f"c{k}" for k in range(len(rest) + 1)), "v")
+
+
+for _name, _rest in LAYOUTS.items():
+    for _dtype in ("double", "float"):
+        QUERIES[f"vec_axpy_{_name}_{_dtype}"] = lambda spark, d, r=_rest, t=_dtype: _laid_out(spark, d, r, t)
+
+
 # Matrices from the lines: part by supplier.
 
 
@@ -126,6 +154,16 @@ def coo_print(spark: SparkSession, d: str) -> DataFrame:
     return _summed(spark, d).lines()
 
 
+@query
+def coo_kernel_space(spark: SparkSession, d: str) -> DataFrame:
+    return _summed(spark, d).kernel_space()
+
+
+@query
+def csr_auxiliary(spark: SparkSession, d: str) -> DataFrame:
+    return _summed(spark, d).to_csr(_uw(spark, d)[0].df).auxiliary()["rowptr"]
+
+
 @query
 def csr_rowptr(spark: SparkSession, d: str) -> DataFrame:
     return _summed(spark, d).to_csr(_uw(spark, d)[0].df).rowptr
@@ -185,6 +223,19 @@ def part_missing(spark: SparkSession, d: str) -> DataFrame:
     return P.missing(P.equal(spark, N, COLORS).where("color <> 3"), spark.range(N).withColumnRenamed("id", "i"))
 
 
+@query
+def part_print(spark: SparkSession, d: str) -> DataFrame:
+    return P.lines(P.equal(spark, N, COLORS))
+
+
+@query
+def part_predicates(spark: SparkSession, d: str) -> DataFrame:
+    """Of the equal partition, its image with ghosts and that without one color."""
+    space, equal = spark.range(N).withColumnRenamed("id", "i"), P.equal(spark, N, COLORS)
+    parts = {"equal": equal, "ghosts": _chain("coo", "domain_from_range")(spark, d), "gap": equal.where("color <> 3")}
+    return spark.createDataFrame([(n, P.is_disjoint(p), P.is_complete(p, space)) for n, p in parts.items()], "part string, is_disjoint boolean, is_complete boolean")
+
+
 @query
 def csr_local_pointers(spark: SparkSession, d: str) -> DataFrame:
     return G.laplacian_csr(spark, N).local_pointers(P.equal(spark, N, COLORS))
@@ -215,6 +266,21 @@ for _name, _shape in SHAPES.items():
     QUERIES[f"stencil_{_name}_rowptr"] = lambda spark, d, n=_name, s=_shape: G.stencil_csr(spark, G.STENCILS[n], Rect.of(*s)).rowptr
 
 
+#: Bounds that don't start at zero.
+RECTS = {"1d3": Rect((5,), (40,)), "2d5": Rect((2, 3), (9, 14)), "3d7": Rect((1, 0, 2), (6, 4, 7)), "3d27": Rect((0, 2, 1), (4, 5, 6))}
+for _name, _rect in RECTS.items():
+    QUERIES[f"stencil_{_name}_points"] = lambda spark, d, n=_name, r=_rect: G.stencil_points(spark, G.STENCILS[n], r)
+    for _k, _of in enumerate(("kernel", "rowptr")):
+        QUERIES[f"stencil_{_name}_csr_points_{_of}"] = lambda spark, d, n=_name, r=_rect, k=_k: G.stencil_csr_points(spark, G.STENCILS[n], r)[k]
+for _order in IndexOrder:
+    QUERIES[f"linearize_{_order.value}_major"] = lambda spark, d, o=_order: (lambda r: coordinates(spark.range(r.volume), r, o, "id").select("c0", "c1", "c2", linear(r, o).alias("i")))(RECTS["3d7"])
+
+
+@query
+def laplacian_2d_size(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(G.laplacian_2d_size(*SHAPES["2d5"]),)], "nnz long")
+
+
 @query
 def stencil_size(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(n, G.stencil_size(G.STENCILS[n], Rect.of(*s))) for n, s in SHAPES.items()], "stencil string, nnz long")
@@ -257,6 +323,25 @@ def multi_space_dot(spark: SparkSession, d: str) -> DataFrame:
     return p.dot(0, 1).to_df(spark)
 
 
+@query
+def planner_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Copies, sums with one to three factors and a zero fill, over parts and suppliers."""
+    p = SquarePlanner(spark)
+    for v in (_uw(spark, d)[0], _supp(spark, d)):
+        p.add_sol_vector(v)
+        p.add_rhs_vector(v.scal(2.0))
+    p.allocate_workspace(4)
+    p.copy(2, SOL)
+    p.axpy(2, 3.0, 5.0, 8.0, RHS)
+    p.copy(3, 2)
+    p.xpay(3, 1.0, 4.0, RHS)
+    p.copy(4, RHS)
+    p.scal(4, 0.25)
+    p.copy(5, 2)
+    p.zero_fill(5)
+    return p.state.select("space", "i", "w0", "w1", "w2", "w3")
+
+
 def _rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     return df.select("it", (F.round("rr", digits) + 0.0).alias("rr"))
 
@@ -291,6 +376,21 @@ def cg_two_copies_3d27(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(CG(_stencil(spark, "3d27", 8, 8, 8, copies=2)).run(4).history())
 
 
+@query
+def cg_iterates(spark: SparkSession, d: str) -> DataFrame:
+    """The solutions of three steps from a guess of ones."""
+    p, b = SquarePlanner(spark), Vector.of_column(spark.range(100), "id", 1.0 + F.col("id") % 7)
+    p.add_sol_vector(b.fill(1.0))
+    p.add_rhs_vector(b)
+    p.add_row_partitioned_matrix(G.laplacian_coo(spark, 100), 0, 0)
+    return CG(p, use_initial_guess=True).iterates(3).select("it", "i", F.round("v", 6).alias("v"))
+
+
+@query
+def bicgstab_two_copies_3d27(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(BiCGStab(_stencil(spark, "3d27", 8, 8, 8, copies=2)).run(3).history())
+
+
 @query
 def bicgstab_stencil_2d(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(BiCGStab(_stencil(spark, "2d5", 16, 16)).run(4).history())

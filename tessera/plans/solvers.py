@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from tessera.functions import storage
 from tessera.functions.scalar import Scalar
 from tessera.plans.planner import RHS, SOL, SquarePlanner
 
@@ -29,6 +33,15 @@ class Solver:
             self.step()
         return self
 
+    def iterates(self, iterations: int) -> DataFrame:
+        """(it, space, i, v): the solution before the first of the next steps and after each, in a table of its own."""
+        kept = []
+        for k in range(iterations + 1):
+            if k:
+                self.step()
+            kept.append(storage.save(self.p.state.select(F.lit(k).alias("it"), "space", "i", F.col(self.p.name(SOL)).alias("v"))).df)
+        return reduce(DataFrame.union, kept)
+
     def solve(self, tolerance: float = 1e-10, iterations: int = 1000):
         """Until the squared residual norm is at most tolerance squared times the first, or nothing is left to do."""
         first = float(self.residual_norm_squared[0])

@@ -102,6 +102,15 @@ def stencil_points(spark: SparkSession, stencil: Stencil, rect: Rect, order: Ind
     return df.select((F.col("lo") + F.col("p")).alias("k"), *((F.col(f"c{d}") + rect.lo[d]).alias(f"r{d}") for d in dims), *((F.col(f"c{d}") + F.col(f"x.o{d}") + rect.lo[d]).alias(f"d{d}") for d in dims), F.col("x.entry").alias("entry"))
 
 
+def stencil_csr_points(spark: SparkSession, stencil: Stencil, rect: Rect, order: IndexOrder = IndexOrder.ROW_MAJOR) -> tuple[DataFrame, DataFrame]:
+    """Compressed rows with points instead of linear indices: the kernel (k, d0.., entry), and the pointers (r0.., lo, hi)."""
+    kernel = stencil_points(spark, stencil, rect, order)
+    dims = range(len(rect.shape))
+    points = ((F.col(f"c{d}") + rect.lo[d]).alias(f"r{d}") for d in dims)
+    rowptr = _rows(spark, stencil, rect, order).select(*points, "lo", (F.col("lo") + F.size("hits") - 1).alias("hi"))
+    return kernel.drop(*(f"r{d}" for d in dims)), rowptr
+
+
 def stencil_csr(spark: SparkSession, stencil: Stencil, rect: Rect, order: IndexOrder = IndexOrder.ROW_MAJOR) -> CSRMatrix:
     rowptr = _rows(spark, stencil, rect, order).select("row", "lo", (F.col("lo") + F.size("hits") - 1).alias("hi"))
     return CSRMatrix(stencil_entries(spark, stencil, rect, order).drop("row"), rowptr)

@@ -52,3 +52,34 @@ def test_partition_predicates(spark):
     more = parts.union(parts.where("i = 5").selectExpr("0", "i"))
     assert not partition.is_disjoint(more) and partition.is_complete(more, space)
     assert not partition.is_complete(parts.where("i <> 7"), space)
+
+
+def test_results_over_different_indices_are_errors(spark):
+    u, v = (Vector.of_size(spark, n, 1.0) for n in (5, 6))
+    assert [r.v for r in u.axpy(1.0, u).df.collect()] == [2.0] * 5
+    for df in (u.axpy(1.0, v).df, v.xpay(1.0, u).df, u.dot_df(v)):
+        with pytest.raises(Exception, match="index spaces differ"):
+            df.collect()
+
+
+def test_bucketed_systems_exchange_sums_only(spark):
+    from tessera.plans.planner import SquarePlanner
+    from tessera.plans.solvers import CG
+    from tessera.sources.generators import laplacian_coo
+
+    p, b = SquarePlanner(spark, bucket_rows=1), Vector.of_size(spark, 100, 1.0)
+    p.add_sol_vector(b.zero_fill())
+    p.add_rhs_vector(b)
+    p.add_row_partitioned_matrix(laplacian_coo(spark, 100), 0, 0)
+    solver = CG(p).run(3)
+    assert [r.rr for r in solver.history().collect()] == [100.0, 4900.0, 4704.0, 4512.0]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = p._product((3, 2))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 1
+    name = p.table.name
+    p.close()
+    assert not spark.catalog.tableExists(name)
