@@ -19,7 +19,7 @@ def marked(text: Column) -> Column:
     A name is a word of one capital and small letters that follows, on one line, a word or comma; a unit is one of UNITS after a number."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), "_", " ")
     t = F.regexp_replace(t, r"(?<=[\p{L}\p{N},;:] )(\p{Lu}\p{Ll}++)(?!\p{L})", "2_$1")
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}_])([0-9]+(?:[.,][0-9]+)*+)", " 1_$1 ")
+    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}_])([0-9]++(?:[.,][0-9]+)*+)(?!_)", " 1_$1 ")
     t = F.regexp_replace(t, rf"(1_[0-9.,]+)\s+((?i:{UNITS})(?![\p{{L}}\p{{N}}])|[%€$£])", "$1 3_$2")
     t = F.regexp_replace(F.lower(t), r"(?<=[0-9])[.,](?=[0-9])", "_")
     return F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}\p{M}_%€$£]+", " "))

@@ -125,6 +125,71 @@ def test_one_altered_slot_leaves_the_other_windows(spark):
     assert got == {0: (n, True), 1: (len(kept(second)), True), 2: (n, False), 3: (len(kept(first)), True)}
 
 
+def brute_templates(docs, items, n=10, least=5):
+    """By comparing every window of every item with every window of every document. Words are (text, template)."""
+    out = set()
+    for d, doc in enumerate(docs):
+        for i, item in enumerate(items):
+            k, lines = min(len(item), n), {}
+            for p in range(len(item) - k + 1 if k >= least else 0):
+                own = item[p : p + k]
+                if sum(t == w for w, t in own) < least:
+                    continue
+                for q in range(len(doc) - k + 1):
+                    other = doc[q : q + k]
+                    if [t for _, t in own] == [t for _, t in other]:
+                        lines.setdefault(q - p, []).append((p, {(a[0], b[0]) for a, b in zip(own, other, strict=True) if a[0] != a[1]}))
+            best = []
+            for found in lines.values():
+                met = set().union(*(v for _, v in found))
+                clash = {x for x in met for y in met if (x[0] == y[0]) != (x[1] == y[1])}
+                good = [(p, v) for p, v in found if all(a == b for a, b in v) or not v & clash]
+                if good:
+                    at = {p for p, _ in good}
+                    best.append((len(at), min(len(at) * k, max(at) - min(at) + k), all(a == b for _, v in good for a, b in v)))
+            if best:
+                out.add((d, i, *max(best)))
+    return out
+
+
+def test_templates_against_brute_force(spark):
+    rng = random.Random(8)
+
+    def some(n):
+        """Words, numbers, names and units, the first an ordinary word."""
+        out = [("so", "so")]
+        while len(out) < n:
+            kind = rng.random()
+            if kind < 0.7:
+                w = rng.choice(("red", "ball", "sells", "apples", "takes", "from", "each", "box"))
+                out.append((w, w))
+            elif kind < 0.85:
+                out.append((str(rng.randrange(4, 9)), "#"))
+                if rng.random() < 0.5:
+                    out.append((rng.choice(("kg", "hours")), "unit"))
+            else:
+                out.append((rng.choice(("Vera", "Ivan", "Nora")), "name"))
+        return out
+
+    def altered(words):
+        """Some values replaced everywhere, or in one place only."""
+        out, swap = list(words), {"4": "7", "Vera": "Nora", "kg": "hours"}
+        for k, (w, t) in enumerate(out):
+            if w != t and rng.random() < 0.1:
+                out[k] = (rng.choice([x for x, y in words if y == t]), t)
+        return [(swap.get(w, w) if w != t else w, t) for w, t in out] if rng.random() < 0.5 else out
+
+    items = [some(n) for n in (4, 5, 7, 12, 18, 25, 30)]
+    docs = [some(rng.randrange(1, 30)) + altered(rng.choice(items)) + some(rng.randrange(1, 30)) for _ in range(120)] + [some(40) for _ in range(10)]
+    docs.append(docs[0] + docs[1] + docs[0])
+    line = lambda x: " ".join(w for w, _ in x)
+    bench = spark.createDataFrame([(i, line(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = decontaminate.contaminated(data.frame(spark, [line(x) for x in docs]), bench)
+    want = brute_templates(docs, items)
+    assert {(r.doc_id, r.item_id, r.n_windows, r.n_words, r.exact) for r in got.collect()} == want
+    assert len({exact for *_, exact in want}) == 2 and len(want) > 50
+
+
 def test_decontamination_odd_cases(spark):
     docs, bench = data.odd(spark), spark.createDataFrame(ITEMS, "item_id long, text string")
     assert decontaminate.contaminated(docs, bench).count() == 0
