@@ -72,13 +72,13 @@ def _blocks(k: int, cutoff: bool):
 def search(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", rows: int = ROWS, queries: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest inner products of floor(256 * x), for each row whose id is divisible by `every`.
 
-    All if fewer; ties go to the smaller id. A vector that is null or empty, or holds null or non-finite components, and
-    one without an id take no part. Of vectors of unequal length the missing components count as 0. A row is its query's own if it has its
+    All if fewer; ties go to the smaller id. A vector that is null or holds null or non-finite components, and one
+    without an id take no part; an empty vector scores 0. Of vectors of unequal length the missing components count as 0. A row is its query's own if it has its
     id; rows of one id other than the query's are candidates each; queries of one id are one, that which sorts first. Scores are exact while they stay below 2^53.
     Other columns are ignored; an empty table gives an empty one. A task gets a block of about `rows` rows and `queries`
     queries at most, dealt at random, and keeps k rows a query."""
     v = F.col(vector_col)
-    sound = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")), F.lit(False)))
+    sound = v.isNotNull() & F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")), F.lit(False)))
     own = common.stash(vectors.where(sound & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("v"))).df
     asked = own.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     n, m = own.count(), asked.count()
@@ -101,9 +101,9 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_i
 SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(CASE WHEN least(len(q.v), len(c.v)) = 0 THEN 0 ELSE list_dot_product(q.v, c.v) END AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
 ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5

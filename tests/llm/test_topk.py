@@ -11,7 +11,9 @@ def frame(spark, vectors):
 
 
 def brute(vectors, every=50, k=5):
-    ok = [(i, np.floor(np.array(v, np.float32).astype(float) * 256)) for i, v in vectors if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    width = max(len(v or ()) for _, v in vectors)
+    filled = lambda v: np.pad(np.floor(np.array(v, np.float32).astype(float) * 256), (0, width - len(v)))
+    ok = [(i, filled(v)) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for q, v in ok:
         if q % every == 0:
@@ -23,7 +25,7 @@ def brute(vectors, every=50, k=5):
 def test_against_brute_force(spark):
     rng = np.random.default_rng(1)
     vectors = [(i, (rng.integers(-3, 4, 8) / 4).tolist()) for i in range(400)]
-    vectors += [(1000, None), (1050, [None] * 8), (1100, [float("nan")] * 8), (1150, [float("inf")] + [0.0] * 7), (None, [1.0] * 8), (1200, [])]
+    vectors += [(1000, None), (1050, [None] * 8), (1100, [float("nan")] * 8), (1150, [float("inf")] + [0.0] * 7), (None, [1.0] * 8), (1200, []), (1201, []), (1250, [1.5, -2.0])]
     for n, m in ((topk.ROWS, topk.QUERIES), (30, 3)):
         got = topk.search(frame(spark, vectors), rows=n, queries=m).collect()
         assert sorted(map(tuple, got)) == brute(vectors)
