@@ -177,13 +177,16 @@ class GMRES(Solver):
         for j in range(m):
             w = self.basis(j + 1)
             p.matvec(w, self.basis(j))
-            # Classical Gram-Schmidt, twice: all products of a pass by one aggregation.
+            # Classical Gram-Schmidt, twice: all products of a pass by one aggregation. What the second takes off is
+            # tiny, so the norm follows from the one before it.
             for _ in range(2):
-                for i, x in enumerate(p.dots(*((w, self.basis(i)) for i in range(j + 1)))):
-                    p.axpy(w, -x, self.basis(i))
-                    h[i, j] += float(x)
+                *x, n = p.dots(*((w, self.basis(i)) for i in range(j + 1)), (w, w))
+                for i, y in enumerate(x):
+                    p.axpy(w, -y, self.basis(i))
+                    h[i, j] += float(y)
             if j + 1 < m or self.coefficients == "least_squares":
-                n = p.dot(w, w)
+                for y in x:
+                    n = n - y * y
                 h[j + 1, j] = float(n.sqrt())
                 if self.coefficients == "least_squares" and float(n) <= 1e-28 * max(1.0, float(np.sum(h[:, j] ** 2))):
                     used = j + 1
