@@ -15,6 +15,7 @@ their spans by doubling range minima, which gives the same tree without a loop o
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,11 @@ from tessera.llm import common, suffixes
 
 SHINGLE, WORDS, FUNCTIONS, SIMILARITY = 5, 50, 4, 0.8
 #: Passages of one signature that a task compares by itself; a larger group is dealt out in pairs of blocks.
-BLOCK = 4096
+BLOCK = 16_384
+#: Passages whose shingles are counted at once.
+CHUNK = 4096
+#: Rows of a signature, if so many, are sifted after so many turns of a component, or twice, four times ... as many if that left most.
+SIFT = 16
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 def spans(v: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -276,67 +281,156 @@ class Joined:
         self.up[self.find(x)] = self.find(y)
 
 
+def _begins(g: np.ndarray, width: int) -> np.ndarray:
+    """A shingle counts, as its first in the passage, at the places from here to its own position."""
+    order = np.argsort(g, axis=1, kind="stable")
+    ranked = np.take_along_axis(g, order, 1)
+    before = np.where(ranked[:, 1:] == ranked[:, :-1], order[:, :-1], -1)
+    last = np.full(g.shape, -1, np.int64)
+    np.put_along_axis(last, order[:, 1:], before, 1)
+    return np.maximum(last + 1, np.arange(g.shape[1]) - width + 1).astype(np.int16)
+
+
+def _pair(g: np.ndarray, width: int, least: float) -> float | None:
+    """similar() of two rows; None if a row repeats a shingle, so that passages may have fewer than `width` different ones."""
+    x, y = g.tolist()
+    p, q = set(x) - {0}, set(y) - {0}
+    if len(p) + x.count(0) < len(x) or len(q) + y.count(0) < len(y):
+        return None
+    common = 2 * width * least / (1 + least) - 1e-9
+    if len(p & q) < common:
+        return 0.0
+    upto = [0, *accumulate(k in p for k in y)]
+    places = [o for o in range(len(y) - width + 1) if upto[o + width] - upto[o] >= common]
+    return similar(g[0], g[1], width, least, places)
+
+
 def forest(doc: np.ndarray, root: np.ndarray, g: np.ndarray, width: int, least: float, joined: Joined) -> list[tuple[int, int, float]]:
     """Links (a, b, similarity) that join what similar passages join and neither roots nor earlier links do.
 
-    Each row reached is compared with all rows not yet reached; with a row, all of its component are. Two similar passages
-    have at least least / (1 + least) times as many different shingles in common as they have together; a bitmap of one
-    row's shingles tells for all rows at once where that may be, and those places are compared exactly."""
+    A row is compared with all rows of other components, and then done with. Two similar passages have at least
+    least / (1 + least) times as many different shingles in common as they have together; a bitmap of the shingles of one
+    row, or first of all rows of a component, tells for all others at once where that may be, and those places are compared exactly.
+    Of a passage, a similar one lacks at most a share of 1 - least, and less if there is no shorter one. So a row that
+    has, at each place, more shingles than that which no other component has is done with unseen, and no longer counts for
+    the others. What is left is sifted so again and again, as components grow."""
     comp = np.array([joined.find(x) for x in root.tolist()])
     if (comp == comp[0]).all():
         return []
     n, wide = g.shape
-    places = wide - width + 1
-    order = np.argsort(g, axis=1, kind="stable")
-    ranked = np.take_along_axis(g, order, 1)
-    before = np.where(ranked[:, 1:] == ranked[:, :-1], order[:, :-1], -1)
-    last = np.full(g.shape, -1, np.int64)
-    np.put_along_axis(last, order[:, 1:], before, 1)
-    # A shingle counts, as its first in the passage, at the places from `begin` to its own position.
-    begin = np.maximum(last + 1, np.arange(wide) - width + 1)
+    places, share = wide - width + 1, least / (1 + least)
+    if n == 2 and (alike := _pair(g, width, least)) is not None:
+        if alike < least:
+            return []
+        joined.join(int(root[0]), int(root[1]))
+        return [(int(doc.min()), int(doc.max()), alike)]
+    begin = np.concatenate([_begins(g[k : k + CHUNK], width) for k in range(0, n, CHUNK)])
     end = np.minimum(np.arange(wide), places - 1) + 1
 
     def distinct(rows: np.ndarray, hit: np.ndarray) -> np.ndarray:
         """How many different shingles of those hit each passage of the rows has."""
+        if len(rows) > CHUNK:
+            return np.concatenate([distinct(rows[k : k + CHUNK], hit[k : k + CHUNK]) for k in range(0, len(rows), CHUNK)])
         r, p = np.nonzero(hit & (begin[rows] < end))
         at = r * (places + 1)
         steps = np.bincount(at + begin[rows[r], p], minlength=len(rows) * (places + 1)) - np.bincount(at + end[p], minlength=len(rows) * (places + 1))
-        return np.cumsum(steps.reshape(len(rows), places + 1), axis=1)[:, :-1]
+        return np.cumsum(steps.reshape(len(rows), places + 1), axis=1)[:, :-1].astype(np.int16)
 
     there = np.zeros((n, wide + 1), np.int16)
     np.cumsum(g == 0, axis=1, out=there[:, 1:])
     size = np.where(there[:, width:] == there[:, :-width], distinct(np.arange(n), g > 0), 0)
     least_size = np.where(size > 0, size, wide).min(axis=1)
     low = (g & np.uint32(0xFFFF)).astype(np.uint16)
-    share = least / (1 + least)
     known, out = np.zeros(1 << 16, bool), []
-    left = np.arange(len(g))
+    members: dict[int, np.ndarray] = {}
+    by = np.argsort(comp, kind="stable")
+    first = np.flatnonzero(np.r_[True, comp[by][1:] != comp[by][:-1]])
+    for k, rows in zip(comp[by][first].tolist(), np.split(by, first[1:]), strict=True):
+        members[k] = rows
+
+    def sift(left: np.ndarray) -> np.ndarray:
+        """The rows that may still be similar to one of another component, those of the largest component first."""
+        while len(left):
+            x, own = g[left], comp[left]
+            flat = np.argsort(x, axis=None)
+            token = x.ravel()[flat]
+            run = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            whose = own[flat // wide]
+            alone = np.empty(x.shape, bool)
+            one = np.minimum.reduceat(whose, run) == np.maximum.reduceat(whose, run)
+            alone.ravel()[flat] = np.repeat(one, np.diff(np.r_[run, len(flat)]))
+            here = size[left]
+            lacks = here - np.maximum(least * here, share * (here + np.where(here > 0, here, wide).min(axis=0)))
+            may = ((here > 0) & (distinct(left, alone & (x > 0)) <= lacks + 1e-9)).any(axis=1)
+            few = may.sum() > 0.9 * len(left)
+            left = left[may]
+            if few:
+                break
+        return left
+
+    def smallest_first(left: np.ndarray) -> np.ndarray:
+        _, kind, count = np.unique(comp[left], return_inverse=True, return_counts=True)
+        return left[np.lexsort((kind, count[kind]))]
+
+    def fits(rows: np.ndarray, those: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows that may be similar to one of those, and at which places."""
+        sizes = size[those]
+        seen = low[those]
+        known[seen] = True
+        hit = known[low[rows]] & (g[rows] > 0)
+        known[seen] = False
+        some = np.flatnonzero(hit.sum(axis=1) >= share * (least_size[rows] + least_size[those].min()) - 1e-9)
+        if not len(some):
+            return rows[:0], np.empty((0, places), bool)
+        rows = rows[some]
+        at = (size[rows] > 0) & (sizes > 0).any(axis=0) & (distinct(rows, hit[some]) >= share * (size[rows] + np.where(sizes > 0, sizes, wide).min(axis=0)) - 1e-9)
+        may = at.any(axis=1)
+        return rows[may], at[may]
+
+    left = np.flatnonzero((size > 0).any(axis=1))
+    turns, wait, fresh = 0, SIFT, True
+    if n < SIFT:
+        wait = n + 1
+    else:
+        left = smallest_first(sift(left))
     while len(left):
-        mine = comp[left] == comp[left[0]]
-        todo, left = left[mine].tolist(), left[~mine]
-        while todo and len(left):
-            i = todo.pop()
-            known[low[i]] = True
-            own = known[low[left]] & (g[left] > 0)
-            known[low[i]] = False
-            some = np.flatnonzero(own.sum(axis=1) >= share * (least_size[left] + least_size[i]) - 1e-9)
-            count = distinct(left[some], own[some])
-            fits = (size[left[some]] > 0) & (size[i] > 0) & (count >= share * (size[left[some]] + size[i]) - 1e-9)
-            may = np.flatnonzero(fits.any(axis=1))
-            reached: set[int] = set()
-            for k in may.tolist():
-                j = int(left[some[k]])
-                if comp[j] in reached:
+        if turns >= wait:
+            kept = sift(left)
+            turns, wait = 0, SIFT if len(kept) < 0.9 * len(left) else 2 * wait
+            left, fresh = smallest_first(kept), True
+            continue
+        turns += 1
+        # One row of the largest component joins most of what is similar; then the small components have their turns.
+        mine = np.arange(len(left)) == len(left) - 1 if fresh else comp[left] == comp[left[0]]
+        rows, left = left[mine], left[~mine]
+        fresh = False
+        others = left[comp[left] != comp[rows[0]]]
+        if not len(others):
+            break
+        others, at = fits(others, rows)
+        if len(rows) > 1 and len(others):
+            rows = fits(rows, others)[0]
+        links = len(out)
+        for i in rows.tolist() if len(others) else ():
+            near = others[comp[others] != comp[i]]
+            if not len(near):
+                break
+            if len(rows) > 1:
+                near, at = fits(near, np.array([i]))
+            else:
+                at = at[comp[others] != comp[i]]
+            for j, where in zip(near.tolist(), at, strict=True):
+                if comp[j] == comp[i]:
                     continue
-                s = similar(g[i], g[j], width, least, np.flatnonzero(fits[k]).tolist())
+                s = similar(g[i], g[j], width, least, np.flatnonzero(where).tolist())
                 if s >= least:
-                    reached.add(comp[j])
                     joined.join(int(root[i]), int(root[j]))
                     out.append((int(min(doc[i], doc[j])), int(max(doc[i], doc[j])), s))
-            if reached:
-                mine = np.isin(comp[left], list(reached))
-                todo += left[mine].tolist()
-                left = left[~mine]
+                    a, b = sorted((int(comp[i]), int(comp[j])), key=lambda c: len(members[c]))
+                    comp[members[a]] = b
+                    members[b] = np.concatenate([members[b], members.pop(a)])
+        if len(out) > links and n >= SIFT:
+            left = smallest_first(left)
     return out
 
 
@@ -431,8 +525,9 @@ def near_passages(docs: DataFrame, words: int = WORDS, functions: int = FUNCTION
     if large.limit(1).count():
         parts = large.groupBy("key").agg((F.max("part") + 1).alias("n"))
         pairs = large.join(parts, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        # Each block meets itself as it meets another.
         job = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))
-        dealt = pairs.select(job.alias("key"), "doc_id", "root", "g").repartition("key").sortWithinPartitions("key")
+        dealt = pairs.where("part != other").select(job.alias("key"), "doc_id", "root", "g").repartition("key").sortWithinPartitions("key")
         near = near.union(dealt.mapInArrow(_compare(width, least, 1 << 62), schema).select("a", "b", "similarity"))
     near = common.stash(near.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))).df
     links = equal.withColumn("similarity", F.lit(1.0)).unionByName(near).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -113,3 +114,46 @@ def test_exact_passages_of_templated_text(spark):
         texts += [" ".join(records), " ".join(own[0] + records[at : at + 60] + own[1])]
     got = {r.doc_id: r.class_id for r in windows.near_passages(data.frame(spark, texts))[1].collect()}
     assert [i for i in range(0, 80, 2) if i not in got or got[i] != got.get(i + 1)] == []
+
+
+def frequent(n):
+    """(documents, roots, shingles) of n passages around one line. Half are changed copies of one root; of the others,
+    nine out of ten have nothing else in common, the rest are two of a kind, alike or not."""
+    rng = np.random.default_rng(n)
+    g = rng.integers(1, 1 << 31, (n, 91), np.uint32) | np.uint32(1)
+    g[: n // 2] = g[0]
+    for i in range(n // 2):
+        p = rng.integers(0, 30)
+        g[i, p : p + 5] = rng.integers(1, 1 << 31, 5)
+    for i in range(n - n // 20, n, 2):
+        g[i + 1] = g[i]
+        g[i + 1, 40 : 40 + 3 * (i // 2 % 5)] = 1 << 31
+        g[i + 1, 50:60] = rng.integers(1, 1 << 31, 10) if i % 4 else g[i, 50:60]
+    g[:, 35:56] = rng.integers(1, 1 << 31, 21, np.uint32) | np.uint32(1)
+    root = np.arange(n)
+    root[: n // 2] = 0
+    return np.arange(n), root, g
+
+
+def test_forest_of_a_frequent_line_leaves_out_no_row():
+    doc, root, g = frequent(120)
+    roots = list(enumerate(root.tolist()))
+    want = classes([*roots, *((i, j) for i in range(120) for j in range(i) if windows.similar(g[i], g[j], 46, 0.8) >= 0.8)])
+    got = windows.forest(doc, root, g, 46, 0.8, windows.Joined())
+    assert got and classes([*roots, *((a, b) for a, b, _ in got)]) == want
+    for i in range(0, 120, 2):
+        pair = slice(i, i + 2)
+        s = windows.similar(*g[pair], 46, 0.8)
+        assert [x for _, _, x in windows.forest(doc[pair], doc[pair], g[pair], 46, 0.8, windows.Joined())] == [s] * (s >= 0.8)
+
+
+def test_forest_of_a_frequent_line_grows_with_its_rows():
+    took = []
+    for n in (1000, 8000):
+        group, best = frequent(n), []
+        for _ in range(2):
+            began = time.process_time()
+            windows.forest(*group, 46, 0.8, windows.Joined())
+            best.append(time.process_time() - began)
+        took.append(min(best))
+    assert took[1] < 20 * took[0], took
