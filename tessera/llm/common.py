@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import storage
 
+#: Rows with texts that go to a Python worker at once.
+BATCH_ROWS = 1000
 #: At most this many narrow rows (ids, hashes) are broadcast: about 64 MB in an executor. More take a shuffle join.
 BROADCAST_ROWS = 1_000_000
 
@@ -44,6 +47,19 @@ def frugal(run):
     return wrapped
 
 
+@contextmanager
+def batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """What runs inside sends its Python workers at most so many rows at once: the executor and the worker hold a batch each."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    now = int(before)
+    spark.conf.set(key, str(min(rows, now) if now > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each with underscores in front until no column of df has it."""
     have, out = {c.lower() for c in df.columns}, []

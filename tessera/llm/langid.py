@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from tessera.llm import common, html
 
 BUCKETS = 1 << 16
-PIECE = 1 << 20
+#: Bytes of text that are scored at once; a worker holds a row of likelihoods for each.
+PIECE = 1 << 17
 
 
 class Model(NamedTuple):
@@ -47,7 +48,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     labelled = docs.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     ids = [r[0] for r in labelled.select(id_col).orderBy(F.xxhash64(id_col)).limit(rows).collect()]
     chosen = labelled.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    chosen = chosen.join(F.broadcast(spark.createDataFrame([(int(i),) for i in ids], "id long")), "id", "left_semi")
+    wanted = spark.createDataFrame(pa.table({"id": pa.array([int(i) for i in ids], pa.int64())}))  # of Arrow: from rows it takes Python workers of its own
+    chosen = chosen.join(F.broadcast(wanted), "id", "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -67,34 +69,39 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     return Model(langs, np.log(n / n.sum(axis=0)).astype(np.float32))
 
 
+def scores(texts: Iterable[bytes], count: int, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums of log likelihoods by language, numbers of trigrams) of so many texts."""
+    ll, n = np.zeros((count, logp.shape[1])), np.zeros(count, np.int64)
+    part, rows, size = [], [], 0
+
+    def flush() -> None:
+        nonlocal part, rows, size
+        if part:
+            codes = [_codes(p) for p in part]
+            where = np.cumsum([0, *(len(c) for c in codes[:-1])])
+            np.add.at(ll, rows, np.add.reduceat(logp[np.concatenate(codes)], where, axis=0, dtype=np.float64))
+            np.add.at(n, rows, [len(c) for c in codes])
+        part, rows, size = [], [], 0
+
+    for i, t in enumerate(texts):
+        for p in _pieces(_padded(t)):
+            if len(p) > 2:
+                part.append(p)
+                rows.append(i)
+                size += len(p)
+            if size >= PIECE:
+                flush()
+    flush()
+    return ll, n
+
+
 def likelihoods(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, declared, suffix, host, n trigrams with a letter in them or not, letters, ll: one sum per language)."""
     logp = model.logp
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ll = np.zeros((b.num_rows, logp.shape[1]))
-            n = np.zeros(b.num_rows, np.int64)
-            part, rows, size = [], [], 0
-
-            def flush() -> None:
-                nonlocal part, rows, size
-                if part:
-                    codes = [_codes(p) for p in part]
-                    where = np.cumsum([0, *(len(c) for c in codes[:-1])])
-                    np.add.at(ll, rows, np.add.reduceat(logp[np.concatenate(codes)], where, axis=0, dtype=np.float64))
-                    np.add.at(n, rows, [len(c) for c in codes])
-                part, rows, size = [], [], 0
-
-            for i, t in enumerate(common.texts(b)):
-                for p in _pieces(_padded(t)):
-                    if len(p) > 2:
-                        part.append(p)
-                        rows.append(i)
-                        size += len(p)
-                    if size >= PIECE:
-                        flush()
-            flush()
+            ll, n = scores(common.texts(b), b.num_rows, logp)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "declared", "suffix", "host", "letters")), pa.array(n), pa.array(list(ll), pa.list_(pa.float64()))], ["doc_id", "declared", "suffix", "host", "letters", "n", "ll"])
 
     return docs.mapInArrow(common.frugal(run), "doc_id long, declared string, suffix string, host string, letters boolean, n long, ll array<double>")
@@ -162,7 +169,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         F.coalesce(host if host is not None else none, F.lit("")).alias("host"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"), F.col(text_col).alias("text"))
     rows = rows.withColumn("declared", F.when(F.col("declared").isin([*langs, ""]), F.col("declared")).otherwise("other"))
     own = likelihoods(rows, model).withColumn("best", F.expr("cast(array_position(ll, array_max(ll)) - 1 as int)"))
-    own = common.stash(own.select("*", F.col("ll")[F.col("best")].alias("top"))).df
+    with common.batches(docs.sparkSession):
+        own = common.stash(own.select("*", F.col("ll")[F.col("best")].alias("top"))).df
 
     def counts(*by: str) -> DataFrame:
         per = [F.sum((F.col("best") == i).cast("double")) for i in range(len(langs))]

@@ -284,7 +284,9 @@ SEGMENTS, LIST = 8, 3
 WIDE_NEAR = 44
 WIDTH = 5
 #: Shingles whose 192 bits are unpacked at once.
-WIDE_CHUNK = 30_000
+WIDE_CHUNK = 10_000
+#: Fingerprints decoded at once; a worker holds several numbers for each one's 2,048 codewords a segment.
+DECODED = 16
 
 
 def shingle_sets(docs: list[np.ndarray], shingle: int = WIDTH) -> list[np.ndarray]:
@@ -316,11 +318,11 @@ def wide_fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         i = e
     fp = np.packbits(balance > 0, axis=1).view(np.uint64)
     own = np.empty((n, SEGMENTS, LIST), np.int64)
-    for i in range(0, n, 128):
-        part = balance[i : i + 128].reshape(-1, 24) @ CODE
+    for i in range(0, n, DECODED):
+        part = balance[i : i + DECODED].reshape(-1, 24) @ CODE
         top = np.argpartition(-np.abs(part), LIST, axis=1)[:, :LIST]
         turned = np.take_along_axis(part, top, 1) < 0
-        own[i : i + 128] = (top + 2048 * turned).reshape(-1, SEGMENTS, LIST)
+        own[i : i + DECODED] = (top + 2048 * turned).reshape(-1, SEGMENTS, LIST)
     x, y = own[:, ::2, :, None], own[:, 1::2, None, :]
     table = np.arange(SEGMENTS // 2)[None, :, None, None]
     return fp, (table << 24 | x << 12 | y).reshape(n, -1)
@@ -493,7 +495,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
                 at += len(own)
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("raw"), pa.array(same[:, 0]), pa.array(same[:, 1]), suffixes.binary(fp), pa.array(keys, pa.list_(pa.int64()))], ["id", "raw", "h1", "h2", "fp", "keys"])
 
-    own = common.stash(rows.select("id", raw.alias("raw"), "text").mapInArrow(common.frugal(narrow), "id long, raw long, h1 long, h2 long, fp binary, keys array<bigint>"))
+    with common.batches(spark):
+        own = common.stash(rows.select("id", raw.alias("raw"), "text").mapInArrow(common.frugal(narrow), "id long, raw long, h1 long, h2 long, fp binary, keys array<bigint>"))
     first = F.min(F.struct(F.col("id").isNull().alias("x"), "id", "raw")).alias("first")
     classes = own.df.groupBy("h1", "h2").agg(first, F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.count("*").alias("rows"))
     classes = common.stash(classes.select("h1", "h2", "first", "fp", "keys", "rows", F.monotonically_increasing_id().alias("node")))
@@ -514,7 +517,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     asked = common.stash(asked)
     texts = rows.select("id", raw.alias("raw"), "text").join(common.small(asked.df), F.col("id").eqNullSafe(F.col("f_id")) & (F.col("raw") == F.col("f_raw")))
     texts = texts.select("id", "text", "key", "node", "fp").mapInArrow(common.frugal(sets_of), "key long, node long, fp binary, shingles binary")
-    linked = common.stash(common.components(_links(texts, _verified(WIDE_NEAR, least), block, size)))
+    with common.batches(spark):
+        linked = common.stash(common.components(_links(texts, _verified(WIDE_NEAR, least), block, size)))
     led = linked.df.join(classes.df.select("node", "first"), "node")
     gone = led.join(led.groupBy("root").agg(F.min("first").alias("least")), "root").where("first != least").select("node", F.lit(True).alias("gone"))
     marked = common.stash(classes.df.join(gone, "node", "left").where("gone or rows > 1").select("h1", "h2", "first", F.coalesce("gone", F.lit(False)).alias("gone")))
