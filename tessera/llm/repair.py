@@ -16,6 +16,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +31,13 @@ END = 2
 MAGIC = b"RPG1"
 #: A rule takes 12 bytes and saves 2 or 3 each time it is used, so one used 7 times pays.
 LEAST = 8
-#: What a word may hold to be split here: of these characters the tokenizer's own normalizing only changes letters' case.
-PLAIN = "^[\x21-\x7eÀ-ÖØ-öø-ÿ]*$"
-#: The tokenizer's own pattern within these characters, in lower case, but for white space.
-PART = r"('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+)"
-LETTERS = "^[a-zß-öø-ÿ]+$"
+#: Bytes that no word to be split here holds: it has only \x21-\x7e and the letters À-ÿ (0xC3 and another byte), of which
+#: the tokenizer's own normalizing only changes the case.
+ODD = np.isin(np.arange(256), [*range(0x21), 0x7F, *range(0xC0, 0xC3), *range(0xC4, 0x100)])
+#: What a byte of such a word in lower case belongs to: 0 letters, 1 signs, 2 a digit.
+KIND = np.ones(256, np.uint8)
+KIND[[*range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = 0
+KIND[ord("0") : ord("9") + 1] = 2
 #: What a tokenizer's file must say for this splitting to hold. Other tokenizers get whole texts.
 SPLITS = (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}])
 
@@ -53,18 +56,70 @@ class Table:
         self.start = np.append(self.start, len(self.ids) + np.cumsum(size) - size)
         self.size, self.ids = np.append(self.size, size), np.append(self.ids, ids)
 
+    def trim(self, keep: np.ndarray) -> None:
+        """Leave only the entries of these ascending numbers."""
+        names, (ids, size) = list(self.at), self.get(keep)
+        self.at = {names[i]: n for n, i in enumerate(keep.tolist())}
+        self.ids, self.size, self.start = ids, size, np.cumsum(size) - size
+
     def get(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the numbered strings, one after the other, and how many each has."""
         size = self.size[numbers]
         return self.ids[common.ranges(self.start[numbers], size)], size
 
 
+def _bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The words' UTF-8, one after the other, and where each begins; the end is the last."""
+    upto = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int32)
+    raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)[upto[0] : upto[-1]]
+    return raw, upto - upto[0]
+
+
+def _per_word(mark: np.ndarray, upto: np.ndarray) -> np.ndarray:
+    """How many of a word's bytes are marked."""
+    return np.diff(np.append(0, np.cumsum(mark))[upto])
+
+
+def plain(words: pa.Array) -> np.ndarray:
+    """Which words `split` may have: no ODD byte, no × nor ÷, and no "<|", which may begin a special token."""
+    raw, upto = _bytes(words)
+    mark = ODD[raw]
+    a = np.flatnonzero((raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7)) | (raw[:-1] == ord("<")) & (raw[1:] == ord("|")))
+    begins = np.zeros(len(raw) + 1, bool)
+    begins[upto] = True
+    mark[a[~begins[a + 1]]] = True
+    return _per_word(mark, upto) == 0
+
+
+def split(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The parts of plain words in lower case, one after the other, and the number of each word's: the tokenizer's own pattern but for white space."""
+    raw, upto = _bytes(words)
+    n, kind = len(raw), KIND[raw]
+    begins = np.zeros(n + 2, bool)
+    begins[upto] = begins[n:] = True
+    cut = begins[:n] | (kind == 2)
+    cut[1:] |= kind[1:] != kind[:-1]
+    # 's, 't, 'm, 'd, 're, 've and 'll are parts where no sign precedes them.
+    at = np.flatnonzero((raw == ord("'")) & cut)
+    at = at[~begins[at + 1]]
+    x, y = raw[at + 1], np.append(raw, np.uint8(0))[at + 2]
+    one = np.isin(x, list(b"stmd"))
+    two = ((x == ord("r")) | (x == ord("v"))) & (y == ord("e")) | (x == ord("l")) & (y == ord("l"))
+    two &= ~begins[at + 2]
+    cut[at[one | two] + 1] = False
+    ends = np.append(at[one] + 2, at[two] + 3)
+    cut[ends[ends < n]] = True
+    offsets = np.append(np.flatnonzero(cut), n).astype(np.int32)
+    return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(raw)), _per_word(cut, upto)
+
+
 class Encoder:
     """Ids of whole texts.
 
     Of a tokenizer that splits as SPLITS says, no token crosses ASCII white space. A batch's different words are taken:
-    PLAIN ones are split to parts, each of which the tokenizer is asked for once, by itself; others go through the whole
-    tokenizer, once each. The table of parts and such words starts anew at `most` entries."""
+    plain ones are split to parts, each of which the tokenizer is asked for once, by itself; others go through the whole
+    tokenizer, once each. When the table of parts and such words exceeds `most` entries, the half of that which most
+    batches had is kept, of those met in at least two."""
 
     def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -75,65 +130,71 @@ class Encoder:
         splits = [x["pattern"].get("Regex") for x in pre.get("pretokenizers", []) if x.get("type") == "Split"]
         self.known = (splits, normalizer.get("normalizers")) == ([SPLITS[0]], SPLITS[1]) and all(x.content.startswith("<|") for x in self.tok.get_added_tokens_decoder().values())
         self.whole = self.tok.normalizer, self.tok.pre_tokenizer
+        self.ascii = normalizers.Sequence([]), pre_tokenizers.CharDelimiterSplit(" ")  # whose bytes' characters are their own
         self.bare = normalizers.Sequence([]), pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tok.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.table = self.fresh()
+        self.table, self.met = Table(), np.empty(0, np.int64)
 
-    def fresh(self) -> Table:
-        return Table(("", []))
-
-    def _ask(self, texts: list[str], bare: bool) -> list[list[int]]:
-        self.tok.normalizer, self.tok.pre_tokenizer = self.bare if bare else self.whole
+    def _ask(self, texts: list[str], how: tuple) -> list[list[int]]:
+        self.tok.normalizer, self.tok.pre_tokenizer = how
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
         """Parts many at once, as a part's last token shows where it ends; words, which have a line break in front, one by one."""
-        parts = [x for x in new if x[0] != "\n"]
-        found = [np.array(x, np.uint32) for x in self._ask([" ".join(parts[i : i + 1000]) for i in range(0, len(parts), 1000)], True)]
-        if found:
-            ids = np.concatenate(found)
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) != len(parts):
-                raise ValueError("this tokenizer doesn't mark the ends of words")
-            self.table.add(parts, ids, np.diff(ends, prepend=0))
-        words = [x for x in new if x[0] == "\n"]
+        words, parts, others = [], [], []
+        for x in new:
+            (words if x[0] == "\n" else parts if x.isascii() else others).append(x)
+        for own, how in ((parts, self.ascii), (others, self.bare)):
+            found = [np.array(x, np.uint32) for x in self._ask([" ".join(own[i : i + 1000]) for i in range(0, len(own), 1000)], how)]
+            if found:
+                ids = np.concatenate(found)
+                ends = np.flatnonzero(self.last[ids]) + 1
+                if len(ends) != len(own):
+                    raise ValueError("this tokenizer doesn't mark the ends of words")
+                self.table.add(own, ids, np.diff(ends, prepend=0))
         if words:
-            own = self._ask([x[1:] for x in words], False)
+            own = self._ask([x[1:] for x in words], self.whole)
             self.table.add(words, np.array([i for x in own for i in x], np.uint32), np.array([len(x) for x in own], np.int64))
 
+    def _numbers(self, names: list[str]) -> np.ndarray:
+        """The numbers of different parts and words, learnt if they are new."""
+        if len(self.table.at) > self.most:
+            keep = np.argsort(-self.met, kind="stable")[: self.most // 2]
+            keep = np.sort(keep[self.met[keep] > 1])
+            self.table.trim(keep)
+            self.met = self.met[keep] // 2  # what is met no more makes room
+        at = self.table.at
+        out = np.fromiter(map(at.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            own = [names[i] for i in new.tolist()]
+            self._learn(own)
+            out[new] = [at[x] for x in own]
+            self.met = np.append(self.met, np.zeros(len(own), np.int64))
+        self.met[out] += 1
+        return out
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by END, and the number of each text's. A null is empty."""
         if not len(texts):
             return np.empty(0, np.uint32), np.empty(0, np.int64)
         texts = pc.fill_null(texts, "")
         if not self.known:
-            own = [[*x, END] for x in self._ask(texts.to_pylist(), False)]
+            own = [[*x, END] for x in self._ask(texts.to_pylist(), self.whole)]
             return np.array([i for x in own for i in x], np.uint32), np.array([len(x) for x in own], np.int64)
         words = pc.ascii_split_whitespace(texts)
         found = words.flatten().dictionary_encode()
-        each = found.dictionary
-        plain = pc.and_(pc.match_substring_regex(each, PLAIN), pc.invert(pc.match_substring(each, "<|")))
-        low = pc.utf8_lower(each)
-        one = pc.match_substring_regex(low, LETTERS)  # a part as it is
-        split = pc.replace_substring_regex(pc.if_else(one, "", low), PART, r"\1 ")
-        parts = pc.ascii_split_whitespace(pc.if_else(one, low, pc.if_else(plain, split, "")))
-        strings = pa.concat_arrays([parts.flatten(), pc.binary_join_element_wise("\n", each.filter(pc.invert(plain)), "")]).dictionary_encode()
-        names = strings.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.table.at) > self.most:
-            self.table = self.fresh()
-        at = self.table.at
-        known = list(map(at.get, names))
-        if None in known:
-            self._learn([x for x, i in zip(names, known, strict=True) if i is None])
-            known = list(map(at.get, names))
-        numbers = np.array(known, np.int64)[strings.indices.to_numpy()]
+        each = found.dictionary.cast(pa.string())
+        own = plain(each)
+        parts, n = split(pc.utf8_lower(each.filter(pa.array(own))))
+        rest = pc.binary_join_element_wise("\n", each.filter(pa.array(~own)), "")
+        strings = pa.concat_arrays([parts, rest]).dictionary_encode()
+        numbers = self._numbers(strings.dictionary.to_numpy(zero_copy_only=False).tolist())[strings.indices.to_numpy()]
         # The entries of each different word: its parts, or the one that stands behind all parts.
-        start = parts.offsets.to_numpy().astype(np.int64)
-        size, start = np.diff(start), start[:-1]
-        rest = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
-        start[rest], size[rest] = np.arange(len(numbers) - len(rest), len(numbers)), 1
+        size, start = np.ones(len(each), np.int64), np.empty(len(each), np.int64)
+        size[own], start[own], start[~own] = n, np.cumsum(n) - n, np.arange(len(parts), len(numbers))
         ids, n = self.table.get(numbers[common.ranges(start, size)])
         upto = np.append(0, np.cumsum(n))[np.append(0, np.cumsum(size))]
         # The words' ids side by side, END behind them; then all words of the texts, in order.
@@ -170,24 +231,28 @@ def compress(ids: np.ndarray, least: int = LEAST, span: int = 6) -> tuple[np.nda
     n, first = len(ids), int(ids.max(initial=END)) + 1
     base, rules = first, []
     seq = np.append(ids, END).astype(np.uint32)
-    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
     before[0] = n
     last = np.append(ids == END, True)  # ends a document, or is gone
     gone = np.zeros(n + 1, bool)
     none = np.int32(2**31 - 1)
     rank = np.full(n + 1, none, np.int32)
-    at = np.flatnonzero(~last).astype(np.int32)
+    at = np.flatnonzero(~last)
     while len(at):
         left, right = seq[at], seq[after[at]]
-        key = left.astype(np.int64) << 24 | right
+        half = 16 if base <= 1 << 16 else 24  # bits of a symbol; pairs of 32 bits sort faster
+        key = left.astype(np.uint32 if half == 16 else np.int64) << half | right
         twins = np.flatnonzero(left == right)
         second = np.zeros(len(at), bool)  # of a run of one symbol, pairs that overlap the one before
+        counted = key.copy()
         if len(twins):
             own, i = at[twins], np.arange(len(twins))
             begin = np.maximum.accumulate(np.where(np.r_[True, after[own[:-1]] != own[1:]], i, 0))
-            second[twins[(i - begin) % 2 == 1]] = True
-        counted = key[~second] if len(twins) else key.copy()
+            twins = twins[(i - begin) % 2 == 1]
+            second[twins] = True
+            counted[twins] = np.iinfo(counted.dtype).max  # sorted to the end, and cut off there
         counted.sort()
+        counted = counted[: len(at) - len(twins)]
         begin = np.flatnonzero(counted[1:] != counted[:-1]) + 1
         begin = np.append(0, begin)[: len(counted)]
         count = np.diff(np.append(begin, len(counted)))
@@ -199,16 +264,16 @@ def compress(ids: np.ndarray, least: int = LEAST, span: int = 6) -> tuple[np.nda
         bits = min(18, max(8, (4 * len(pairs)).bit_length()))
         slot = _slot(left, right, bits)
         full = np.zeros(1 << bits, bool)
-        full[_slot((pairs >> 24).astype(np.uint32), (pairs & 0xFFFFFF).astype(np.uint32), bits)] = True
+        pair = np.stack([pairs >> half, pairs & (1 << half) - 1], 1).astype(np.uint32)
+        full[_slot(pair[:, 0], pair[:, 1], bits)] = True
         # Only places whose pair is frequent enough, and a few that share its slot, are looked at from now on.
         may = np.flatnonzero(full[slot])
         at, key, slot, second = at[may], key[may], slot[may], second[may]
         frequent = np.flatnonzero(count >= top >> span)
         frequent = frequent[np.argsort(-count[frequent], kind="stable")][: (1 << 24) - base]
-        pairs = pairs[frequent]
+        pairs, pair = pairs[frequent], pair[frequent]
         if not len(pairs):  # no symbol is left to name one
             break
-        pair = np.stack([pairs >> 24, pairs & 0xFFFFFF], 1).astype(np.uint32)
         where = _slot(pair[:, 0], pair[:, 1], bits)
         number = np.full(1 << bits, -1, np.int32)
         number[where[::-1]] = np.arange(len(pairs))[::-1]  # of pairs in one slot the most frequent; others wait
@@ -229,10 +294,10 @@ def compress(ids: np.ndarray, least: int = LEAST, span: int = 6) -> tuple[np.nda
         last[taken] = gone[taken] = True
         after[place] = after[taken]
         before[after[place]] = place
-        if len(at) > n // 16:
+        if len(at) > n // 256:
             again = np.zeros(n + 1, bool)
             again[at] = again[place] = again[before[place]] = True
-            at = np.flatnonzero(again & ~last).astype(np.int32)
+            at = np.flatnonzero(again & ~last)
         else:
             at = np.unique(np.concatenate([at, place, before[place]]))
             at = at[~last[at]]

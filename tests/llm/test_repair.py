@@ -1,10 +1,12 @@
 import random
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from tokenizers import Tokenizer
 
@@ -38,6 +40,39 @@ def test_other_tokenizers_get_whole_texts():
     assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [[*tok.encode(t or "", add_special_tokens=False).ids, 2] for t in ODD]
 
 
+def test_parts_met_often_are_asked_for_once():
+    rng = random.Random(3)
+    e, asked = repair.Encoder(PATH, most=200), Counter()
+    ask = e._ask
+
+    def count(texts, bare):
+        asked.update(x for t in texts for x in t.split())
+        return ask(texts, bare)
+
+    e._ask = count
+    names = ["".join(rng.choices("abcdefghij", k=9)) for _ in range(2000)]
+    often, rare = names[:40], iter(names[40:])
+    for _ in range(30):
+        texts = [" ".join([*often, *(next(rare) for _ in range(60))]), "日本 often"]
+        ids, n = e.encode(pa.array(texts, rng.choice([pa.string(), pa.large_string()])))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want(texts)
+        assert len(e.table.at) <= 320
+    assert [asked[x] for x in often] == [1] * 40 and asked["日本"] == 1
+
+
+def test_splitting_is_the_pattern():
+    rng = random.Random(5)
+    words = ["", "'", "'s", "''s", "x'", "don't", "'t's", "'re've'll", "'r", "'l", "'ve", ".'s", "9's", "'street", "é'm", "a<", "|b", "<|", "a<|b", "×", "a÷", "\x7f", "½", "K", "ÿß", "日本", "a\x1cb"]
+    words += ["".join(rng.choices("aé'''strevlmd09.,|<-ß×", k=rng.randrange(9))) for _ in range(5000)]
+    for own in (words, words[::-1], [], [""]):
+        array = pa.array(["cut", *own], pa.string())[1:]
+        plain = [bool(re.fullmatch("[\x21-\x7eÀ-ÖØ-öø-ÿ]*", w)) and "<|" not in w for w in own]
+        assert repair.plain(array).tolist() == plain
+        parts, n = repair.split(pc.utf8_lower(array.filter(pa.array(plain, pa.bool_()))))
+        found = [re.findall(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+", w.lower()) for w, x in zip(own, plain) if x]
+        assert parts.to_pylist() == [x for p in found for x in p] and n.tolist() == [len(p) for p in found]
+
+
 def pair_counts(seq):
     """Of pairs within a document, by a walk; in a run of one symbol each second pair overlaps."""
     out, skip = Counter(), False
@@ -88,6 +123,17 @@ def test_grammar_against_naive_re_pair(least):
         assert len(seq) + 4 * len(flat) <= 1.25 * (len(by_book) + 4 * len(own)) + 20
 
 
+@pytest.mark.parametrize("top", [65535, 65500, 65536, 70000])
+def test_symbols_around_16_bits(top):
+    rng = np.random.default_rng(top)
+    ids = np.r_[np.full(99, top), 2, np.tile(np.r_[rng.integers(top - 30, top, 50), 2], 30), top - rng.zipf(1.4, 3000) % 60, 2].astype(np.uint32)
+    seq, rules, first = repair.compress(ids, 2)
+    n = sum(map(len, rules))
+    assert first + n > 1 << 16 and (repair.expand(seq, rules, first) == ids).all()
+    ends = {2} | {s for s in range(first, first + n) if repair.expand(np.array([s], np.uint32), rules, first)[-1] == 2}
+    assert max((k for p, k in pair_counts(seq.tolist()).items() if p[0] not in ends), default=0) < 2
+
+
 def test_no_symbol_spans_two_documents():
     ids = np.array([5, 6, 2] * 50, np.uint32)
     seq, rules, first = repair.compress(ids, 2)
