@@ -112,6 +112,26 @@ class COOMatrix(Matrix):
         return CSRMatrix(ranked.select((F.col("lo") + F.col("at") - 1).alias("k"), "row", "col", "entry"), ptr)
 
 
+class Gram(LinearOperator):
+    """scale times the transpose of a matrix times the matrix, never multiplied out: a product goes to the rows and back, so it
+    takes as long as the factor has entries, however many columns share a row. Each product reads the factor twice; have it
+    saved, in buckets by row if it is large."""
+
+    def __init__(self, factor: Matrix, scale: float = 1.0):
+        self.factor, self.scale = factor, scale
+
+    def _to_itself(self, part: DataFrame) -> DataFrame:
+        return self.factor.domain_from_range(self.factor.range_from_domain(part))
+
+    domain_from_range = range_from_domain = _to_itself
+
+    def sums(self, x: DataFrame, columns: list[str]) -> DataFrame:
+        """(i, columns): the products with x's columns, in the rows that have an entry."""
+        entries = self.factor.entries.select("row", "col", "entry")
+        rows = entries.join(x.withColumnRenamed("i", "col"), "col").groupBy("row").agg(*(F.sum(F.col("entry") * F.col(c)).alias(c) for c in columns))
+        return entries.join(rows, "row").groupBy(F.col("col").alias("i")).agg(*((self.scale * F.sum(F.col("entry") * F.col(c))).alias(c) for c in columns))
+
+
 class CSRMatrix(Matrix):
     """Compressed rows: kernel (k, col, entry), and rowptr (row, lo, hi) with an inclusive range of k per row, empty where hi = lo - 1.
 

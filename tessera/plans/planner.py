@@ -4,16 +4,18 @@ All vectors of a system are columns of one frame keyed by (space, i), so copies,
 expressions without a join. Only a product with the operators joins, and writes the frame to the shared folder, which keeps plans short.
 
 A frame of many rows is kept in buckets by (space, i), and the operators by the same columns of their domain. A product then
-exchanges nothing but the partial sums of its result."""
+exchanges nothing but the partial sums of its result. A Gram operator's products are summed apart and added."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import storage
 from tessera.functions.scalar import Scalar, alpha, lit
-from tessera.operators.matrix import Matrix
+from tessera.operators.matrix import Gram, Matrix
 from tessera.operators.vector import Vector
 
 SOL, RHS = 0, 1
@@ -27,7 +29,7 @@ class SquarePlanner:
         self.buckets: int | None = None
         self.sol: list[Vector] = []
         self.rhs: list[Vector] = []
-        self.matrices: list[tuple[Matrix, int, int]] = []
+        self.matrices: list[tuple[Matrix | Gram, int, int]] = []
         self.workspace: int | None = None
         self.table: storage.Table | None = None
         self.state: DataFrame | None = None
@@ -53,7 +55,7 @@ class SquarePlanner:
             raise ValueError("a square system has as many solution as right-hand side vectors")
         return len(self.sol)
 
-    def add_row_partitioned_matrix(self, a: Matrix, domain: int, range_: int) -> None:
+    def add_row_partitioned_matrix(self, a: Matrix | Gram, domain: int, range_: int) -> None:
         """May be called several times for one pair of spaces; products add up. Partitions follow Spark's own of the operators' rows."""
         self.matrices.append((a, domain, range_))
         self.operators = None
@@ -115,21 +117,34 @@ class SquarePlanner:
     def dot(self, a: int, b: int) -> Scalar:
         return self.dots((a, b))[0]
 
-    def _operators(self) -> DataFrame:
-        if self.operators is None:
+    def _operators(self) -> DataFrame | None:
+        """The entries of all matrices; none if all operators are Gram's."""
+        matrices = [m for m in self.matrices if not isinstance(m[0], Gram)]
+        if self.operators is None and matrices:
             df = None
-            for a, d, r in self.matrices:
+            for a, d, r in matrices:
                 one = a.entries.select(F.lit(d).alias("dspace"), F.lit(r).alias("rspace"), "row", "col", "entry")
                 df = one if df is None else df.union(one)
             self.operator_table = storage.save_bucketed(df, self.buckets, "dspace", "col") if self.buckets else storage.save(df)
             self.operators = self.operator_table.df
         return self.operators
 
+    def _sums(self, *sources: int) -> DataFrame:
+        """(space, i, y0, y1, ...): the products with the sources in the rows that have an entry."""
+        names = [f"y{k}" for k in range(len(sources))]
+        x = self.state.select("space", "i", *(F.col(self.name(s)).alias(y) for s, y in zip(sources, names, strict=True)))
+        out, grams = [], [m for m in self.matrices if isinstance(m[0], Gram)]
+        if (operators := self._operators()) is not None:
+            values = x.withColumnsRenamed({"space": "dspace", "i": "col"})
+            out.append(operators.join(values, ["dspace", "col"]).groupBy(F.col("rspace").alias("space"), F.col("row").alias("i")).agg(*(F.sum(F.col("entry") * F.col(y)).alias(y) for y in names)))
+        for a, d, r in grams:
+            out.append(a.sums(x.where(F.col("space") == d).drop("space"), names).select(F.lit(r).alias("space"), "i", *names))
+        df = reduce(DataFrame.union, out)
+        return df.groupBy("space", "i").agg(*(F.sum(y).alias(y) for y in names)) if len(out) > 1 else df
+
     def _product(self, *pairs: tuple[int, int]) -> DataFrame:
         """The state with the products of all operators with the sources, each in its destination."""
-        x = self.state.select(F.col("space").alias("dspace"), F.col("i").alias("col"), *(F.col(self.name(s)).alias(f"x{k}") for k, (_, s) in enumerate(pairs)))
-        sums = self._operators().join(x, ["dspace", "col"]).groupBy(F.col("rspace").alias("space"), F.col("row").alias("i")).agg(*(F.sum(F.col("entry") * F.col(f"x{k}")).alias(f"y{k}") for k in range(len(pairs))))
-        df, columns = self.state.join(sums, ["space", "i"], "left"), self.state.columns
+        df, columns = self.state.join(self._sums(*(s for _, s in pairs)), ["space", "i"], "left"), self.state.columns
         for k, (dst, _) in enumerate(pairs):
             df = df.withColumn(self.name(dst), F.coalesce(f"y{k}", F.lit(0.0)).cast(self.dtype))
         return df.select(*columns)

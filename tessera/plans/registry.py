@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import storage
 from tessera.functions.scalar import Scalar, alpha
 from tessera.operators import partition as P
-from tessera.operators.matrix import COOMatrix
+from tessera.operators.matrix import COOMatrix, Gram
 from tessera.operators.vector import Vector, coordinates, linear
-from tessera.plans.planner import RHS, SOL, SquarePlanner
+from tessera.plans.planner import BUCKET_ROWS, RHS, SOL, SquarePlanner
 from tessera.plans.solvers import CG, GMRES, BiCGStab, DoubleCG
 from tessera.sources import generators as G
 from tessera.types import IndexOrder, Rect
@@ -406,20 +407,27 @@ def gmres_unit_stencil_2d(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(GMRES(_stencil(spark, "2d5", 16, 16), 6, "unit").run(2).history(), 3)
 
 
-def supplier_graph(spark: SparkSession, d: str) -> COOMatrix:
-    """I + the Laplacian of suppliers weighted by the parts they share: W = S^T S for the distinct pairs S of part and supplier."""
-    pairs = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).distinct()
-    w = pairs.join(pairs.withColumnRenamed("s", "t"), "p").where("s <> t").groupBy("s", "t").agg(F.count("*").cast("double").alias("w"))
-    n = table(spark, d, "supplier").agg(F.max("s_suppkey")).first()[0] + 1
-    off = w.select((F.col("s") * n + F.col("t")).alias("k"), F.col("s").alias("row"), F.col("t").alias("col"), (-F.col("w")).alias("entry"))
-    diagonal = table(spark, d, "supplier").join(w.groupBy(F.col("s").alias("s_suppkey")).agg(F.sum("w").alias("w")), "s_suppkey", "left")
-    s = F.col("s_suppkey")
-    return COOMatrix(off.union(diagonal.select((s * n + s).alias("k"), s.alias("row"), s.alias("col"), (1.0 + F.coalesce("w", F.lit(0.0))).alias("entry"))))
+def supplier_graph(spark: SparkSession, d: str, bucket_rows: int = BUCKET_ROWS) -> tuple[COOMatrix, Gram, storage.Table]:
+    """I + the Laplacian of suppliers weighted by the parts they share. The weights are W = S^T S off the diagonal, for the distinct
+    pairs S of part and supplier. They grow with the square of a part's suppliers, so they aren't made: the sum is a diagonal, 1
+    and the suppliers of all of a supplier's parts (itself too), less S^T S. Both read S's table, which is the caller's to delete."""
+    lines = table(spark, d, "lineitem").select(F.col("l_partkey").cast("long").alias("p"), F.col("l_suppkey").cast("long").alias("s"))
+    pairs = lines.dropna().distinct()
+    saved = storage.save_bucketed(pairs, int(spark.conf.get("spark.sql.shuffle.partitions")), "p") if lines.count() >= bucket_rows else storage.save(pairs)
+    per = saved.df.join(saved.df.groupBy("p").agg(F.count("*").alias("n")), "p").groupBy(F.col("s").alias("s_suppkey")).agg(F.sum("n").alias("n"))
+    s, n = F.col("s_suppkey"), F.coalesce("n", F.lit(0)).cast("double")
+    diagonal = table(spark, d, "supplier").join(per, "s_suppkey", "left").select(s.alias("k"), s.alias("row"), s.alias("col"), (1.0 + n).alias("entry"))
+    return COOMatrix(diagonal), Gram(COOMatrix.of_columns(saved.df.withColumn("one", F.lit(1.0)), "p", "s", "one"), -1.0), saved
 
 
 @query
 def cg_supplier_graph(spark: SparkSession, d: str) -> DataFrame:
     b = _supp(spark, d)
-    h = CG(_system(spark, supplier_graph(spark, d), 0, b=b)).run(3).history()
+    diagonal, gram, saved = supplier_graph(spark, d)
+    p = _system(spark, diagonal, 0, b=b)
+    p.add_row_partitioned_matrix(gram, 0, 0)
+    h = CG(p).run(3).history()
+    p.close()
+    storage.delete(spark, saved)
     first = h.where("it = 0").select(F.col("rr").alias("r0"))
     return h.crossJoin(F.broadcast(first)).select("it", F.round(F.col("rr") / F.col("r0"), 4).alias("rr"))  # four rows by one

@@ -83,3 +83,79 @@ def test_bucketed_systems_exchange_sums_only(spark):
     name = p.table.name
     p.close()
     assert not spark.catalog.tableExists(name)
+
+
+def _supplier_tables(folder):
+    """Parts that share many of 150 suppliers, with repeated lines, nulls, a supplier that the table lacks and one without lines."""
+    import random
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    r = random.Random(3)
+    lines = [(p, s) for p in range(30) for s in r.sample(range(150), r.randint(20, 60))]
+    lines += lines[:50] + [(0, 7000), (1, 7000), (None, 1), (None, 2), (2, None)]
+    table = pa.table({"l_partkey": pa.array([p for p, _ in lines], pa.int64()), "l_suppkey": pa.array([s for _, s in lines], pa.int64())})
+    pq.write_table(table, folder / "lineitem.parquet")
+    pq.write_table(pa.table({"s_suppkey": pa.array(range(151), pa.int64())}), folder / "supplier.parquet")
+    return len(lines), 151
+
+
+def test_supplier_graph_grows_as_its_lines(spark, tmp_path, monkeypatch):
+    """The weights of all pairs of suppliers would be over 20,000 rows; no table of the query has more than the input."""
+    from tessera.functions import storage
+
+    lines, suppliers = _supplier_tables(tmp_path)
+    saved, deleted, save, delete = {}, [], storage.save, storage.delete
+
+    def counted(*a):
+        t = save(*a)
+        saved[t.path] = t.df.count()
+        return t
+
+    monkeypatch.setattr(storage, "save", counted)
+    monkeypatch.setattr(storage, "delete", lambda s, t: (deleted.append(t.path), delete(s, t)))
+    got = QUERIES["cg_supplier_graph"](spark, str(tmp_path)).toPandas()
+    assert rows(got) == rows(oracle(SQL["cg_supplier_graph"], str(tmp_path)))
+    assert max(saved.values()) <= lines + suppliers
+    assert sorted(deleted) == sorted(saved)
+
+
+def test_gram_operator_in_buckets(spark, tmp_path):
+    """Its products are those of the matrix multiplied out, and only sums by column are exchanged."""
+    from tessera.functions import storage
+    from tessera.operators.matrix import COOMatrix, Gram
+    from tessera.plans.planner import RHS, SquarePlanner
+    from tessera.plans.registry import supplier_graph
+
+    _supplier_tables(tmp_path)
+    diagonal, gram, saved = supplier_graph(spark, str(tmp_path), bucket_rows=1)
+    assert saved.name
+    pairs = saved.df.toPandas().astype(float)
+    s = {(p, t) for p, t in zip(pairs["p"], pairs["s"], strict=True)}
+    of = {p: [t for q, t in s if q == p] for p, _ in s}
+    b = Vector.of_column(spark.read.parquet(f"{tmp_path}/supplier.parquet"), "s_suppkey", "s_suppkey")
+    want = [float(i) + sum(i - (t if t <= 150 else 0.0) for p, u in s if u == i for t in of[p] if t != i) for i in range(151)]
+    for one in ([diagonal, gram], [gram, diagonal]):
+        p = SquarePlanner(spark)
+        for k in range(2):
+            p.add_sol_vector(b.zero_fill())
+            p.add_rhs_vector(b if k else b.scal(2.0))
+            for a in one:
+                p.add_row_partitioned_matrix(a, k, 1 - k)
+        p.allocate_workspace(1)
+        p.matvec(2, RHS)
+        got = {(r.space, r.i): r.v for r in p.state.selectExpr("space", "i", "w0 as v").collect()}
+        assert got == {(k, i): (1 if k == 0 else 2) * v for k in range(2) for i, v in enumerate(want)}
+        p.close()
+    plan = gram.sums(b.df, ["v"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    storage.delete(spark, saved)
+    p = SquarePlanner(spark)
+    p.add_sol_vector(b)
+    p.add_rhs_vector(b)
+    p.add_row_partitioned_matrix(Gram(COOMatrix(spark.sql("select 0 as k, 5 as row, 3 as col, 2.0D as entry")), 0.5), 0, 0)
+    p.allocate_workspace(1)
+    p.matvec(2, RHS)
+    assert [(r.i, r.w0) for r in p.state.where("w0 <> 0").collect()] == [(3, 6.0)]
+    p.close()
